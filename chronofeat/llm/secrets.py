@@ -1,0 +1,145 @@
+"""Secret scans by character Markov models.
+
+Base kinds are patterns. The method adds tokens of secret-like characters whose characters follow a
+Markov model of random strings rather than one of ordinary identifiers: the sum over the token's character pairs
+of the log-likelihood ratio, in total and per character, must pass a threshold, and the token may overlap no base span.
+Both models are counts of character pairs over labelled samples: random strings of hex, base64 and
+upper-case kinds, made from digests of a range; and ordinary words, alone and joined as
+identifiers, of at most SAMPLE_DOCS documents, those with the smallest checksums. The model is a
+table of (pair, ratio), at most the alphabet squared, and is broadcast.
+
+Places of matches are sums of lengths of the pieces between them, in code points.
+
+Defined cases: a null text is empty; without spans the digest is that of the empty string; rows that repeat get the
+same result each; a null id is a value like any other; an empty table gives an empty result; other
+columns are ignored.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from chronofeat.llm.common import cut, read
+
+KINDS = ["assign", "access", "hex", "markov"]
+#: kind: pattern, group whose length counts, least length.
+BASE = {
+    "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    "access": (r"AKIA[A-Z0-9]+", 0, 18),
+    "hex": (r"[0-9a-f]{16,}", 0, 16),
+}
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Tokens that the models judge; thresholds in nats, in total and per pair.
+CANDIDATE, LEAST_TOTAL, LEAST_MEAN = r"[A-Za-z0-9+/_=-]{20,}", 15.0, 0.75
+SAMPLE_DOCS, SAMPLE_STRINGS, SMOOTH = 2000, 3000, 0.5
+
+
+def places(rows: DataFrame, kind: str, pattern: str, group: int, least: int) -> DataFrame:
+    """(doc_id, _th, kind, start, end, token) of the pattern's matches over rows of doc_id, _th, text."""
+    hits = rows.filter(F.col("text").rlike(pattern)).withColumn("_row", F.monotonically_increasing_id())
+    p = F.lit(pattern)
+    match = F.regexp_extract_all("text", p, F.lit(0))
+    counted = F.regexp_extract_all("text", p, F.lit(group)) if group else match
+    parts = F.arrays_zip(F.split("text", pattern, -1).alias("before"), match.alias("match"), counted.alias("counted"))
+    flat = hits.select("doc_id", "_th", "_row", F.posexplode(parts).alias("i", "p")).select("doc_id", "_th", "_row", "i", F.char_length("p.before").alias("gap"), F.col("p.match").alias("token"), F.char_length("p.counted").alias("size"))
+    w = Window.partitionBy("_row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    length = F.coalesce(F.char_length("token"), F.lit(0))
+    placed = flat.withColumn("end", F.sum(F.col("gap") + length).over(w).cast("long")).withColumn("start", F.col("end") - length)
+    return placed.filter(F.col("token").isNotNull() & (F.col("size") >= least)).select("doc_id", "_th", F.lit(kind).alias("kind"), "start", "end", "token").distinct()
+
+
+def pairs(token: Column) -> Column:
+    """The character pairs of a token."""
+    return F.transform(F.sequence(F.lit(1), F.char_length(token) - 1), lambda i: F.substring(token, i, F.lit(2)))
+
+
+def model(docs: DataFrame) -> DataFrame:
+    """(pair, ratio): log of the pair's likelihood given its first character, in random strings over ordinary ones."""
+    spark = docs.sparkSession
+    digest = F.sha2(F.col("id").cast("string"), 256)
+    base64 = F.base64(F.unhex(digest))
+    random = spark.range(SAMPLE_STRINGS).select(F.explode(F.array(F.substring(digest, 1, 40), base64, F.regexp_replace(F.upper(base64), "[+/=]", ""))).alias("token"))
+    words = F.filter(F.split("text", r"[^A-Za-z]+"), lambda w: F.char_length(w) > 1)
+    sample = docs.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE_DOCS).select(words.alias("w"))
+    joined = F.zip_with("w", F.slice("w", 2, F.lit(1 << 30)), lambda a, b: F.concat_ws("_", a, F.lower(b)))
+    plain = sample.select(F.explode(F.concat("w", joined, F.transform(joined, lambda x: F.replace(F.initcap(F.replace(x, F.lit("_"), F.lit(" "))), F.lit(" "), F.lit(""))))).alias("token"))
+    both = random.select("token", F.lit(1).alias("y")).union(plain.filter(F.char_length("token") > 1).select("token", F.lit(0).alias("y")))
+    counts = both.select("y", F.explode(pairs(F.col("token"))).alias("pair")).groupBy("pair").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
+    letters = F.array(*[F.lit(c) for c in ALPHABET])
+    every = spark.range(1).select(F.explode(letters).alias("a")).select("a", F.explode(letters).alias("b")).select("a", F.concat("a", "b").alias("pair"))
+    filled = every.join(F.broadcast(counts), "pair", "left").select("a", "pair", F.coalesce("n1", F.lit(0)).alias("n1"), F.coalesce("n0", F.lit(0)).alias("n0"))
+    w = Window.partitionBy("a")
+    share = lambda n: F.log((F.col(n) + SMOOTH) / (F.sum(n).over(w) + SMOOTH * len(ALPHABET)))
+    return filled.select("pair", (share("n1") - share("n0")).alias("ratio"))
+
+
+def likely(found: DataFrame, ratios: DataFrame) -> DataFrame:
+    """Those candidates that the models take for random strings."""
+    scored = found.select("doc_id", "_th", "start", "end", F.explode(pairs(F.col("token"))).alias("pair")).join(F.broadcast(ratios), "pair")
+    total = scored.groupBy("doc_id", "_th", "start", "end").agg(F.sum("ratio").alias("total"), F.avg("ratio").alias("mean"))
+    return total.filter((F.col("total") >= LEAST_TOTAL) & (F.col("mean") >= LEAST_MEAN)).select("doc_id", "_th", F.lit("markov").alias("kind"), "start", "end")
+
+
+def apart(spans: DataFrame) -> DataFrame:
+    """Spans without those of the models that overlap a base span."""
+    base = F.col("kind") != "markov"
+    w = Window.partitionBy("doc_id", "_th").orderBy("start", "end", "kind")
+    before = F.max(F.when(base, F.col("end"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min(F.when(base, F.col("start"))).over(w.rowsBetween(1, Window.unboundedFollowing))
+    clear = (F.coalesce(before, F.lit(0)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
+    return spans.withColumn("_clear", clear).filter(base | F.col("_clear")).drop("_clear")
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("_th"), text.alias("text"))
+
+
+def spans_by_row(rows: DataFrame) -> DataFrame:
+    """(doc_id, _th, spans) of rows with any; spans are structs (start, k, end), k the kind's number, sorted."""
+    base = None
+    for kind, rule in BASE.items():
+        found = places(rows, kind, *rule).drop("token")
+        base = found if base is None else base.unionByName(found)
+    ratios = cut(model(rows), "ratios")
+    spans = apart(base.unionByName(likely(places(rows, "markov", CANDIDATE, 0, 20), ratios)))
+    number = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
+    return spans.groupBy("doc_id", "_th").agg(F.array_sort(F.collect_set(F.struct("start", number.alias("k"), "end"))).alias("spans"))
+
+
+def joined(spans: Column) -> Column:
+    name = lambda s: F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["k"])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with `spans`, an empty array where there are none."""
+    spans = spans_by_row(keyed(docs, id_col, text_col)).select(F.col("doc_id").alias("_id"), F.col("_th").alias("_h"), "spans")
+    held = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    on = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h"))
+    return held.join(spans, on, "left").drop("_th", "_id", "_h").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,k:int,end:bigint>>")))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    rows = keyed(docs)
+    spans = spans_by_row(rows)
+    out = rows.select("doc_id", "_th").alias("r").join(spans.alias("s"), F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("r._th") == F.col("s._th")), "left")
+    out = out.select("r.doc_id", F.coalesce("spans", F.array().cast("array<struct<start:bigint,k:int,end:bigint>>")).alias("spans"))
+    n = lambda k: F.size(F.filter("spans", lambda s: s["k"] == k)).cast("long")
+    return out.select("doc_id", n(1).alias("n_assign"), n(2).alias("n_access"), n(3).alias("n_hex"), F.sha2(joined(F.filter("spans", lambda s: s["k"] <= 3)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
+    """text with every span replaced; spans are merged where they overlap."""
+    state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+
+    def step(s: Column, x: Column) -> Column:
+        gap = F.when(x["start"] >= s["at"], F.concat(F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark))).otherwise("")
+        return F.struct(F.concat(s["out"], gap).alias("out"), F.greatest(s["at"], x["end"]).alias("at"))
+
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, state, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.char_length(text)))))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read(spark, sf_dir, "documents"))
