@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["warc", "sharding", "ann", "packing", "licenses", "jaccard", "toxicity", "secrets"]
+MODULES = ["warc", "sharding", "ann", "packing", "licenses", "jaccard", "toxicity", "secretscan"]
 
 
 def _all(what):
