@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofeat.queries import asof
+from chronofeat.queries import asof, encodings, features
 
-MODULES = [asof]
+MODULES = [asof, encodings, features]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

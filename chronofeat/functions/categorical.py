@@ -53,9 +53,8 @@ def bag_features(bag: Column) -> dict[str, Column]:
 
 def document_frequency(rows: DataFrame, bag: Column) -> DataFrame:
     """word, documents, occurrences."""
-    each = rows.select(F.monotonically_increasing_id().alias("_r"), F.explode(bag).alias("word"))
-    per = each.groupBy("_r", "word").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("word").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("occurrences"))
+    distinct = F.transform(F.array_distinct(bag), lambda w: F.struct(w.alias("word"), F.size(F.filter(bag, lambda x: x == w)).alias("n")))
+    return rows.select(F.explode(distinct).alias("d")).groupBy(F.col("d.word").alias("word")).agg(F.count(F.lit(1)).alias("documents"), F.sum("d.n").alias("occurrences"))
 
 
 def top_word_counts(rows: DataFrame, bag: Column, n: int = 10) -> DataFrame:

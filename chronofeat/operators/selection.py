@@ -71,13 +71,13 @@ def time_split(rows: DataFrame, time: str, share: float = 0.2) -> DataFrame:
 
 
 def log_pair_gain(rows: DataFrame, numbers: list[str], label: str, least: float = 0.01, most: int = 10) -> DataFrame:
-    """Pairs of nonnegative numbers whose log1p sum or difference separates the label better than either alone: (a, b, sign, gain), the best `most`."""
+    """Pairs of nonnegative numbers whose log1p sum or difference separates the label better than either alone: (a, b, sign, gain), the best `most`. Values alike to nine decimals are ties."""
     from chronofeat.functions.scalar import log_pair
 
     ends = rows.agg(*[F.min(c).alias(c) for c in numbers]).first()
     fine = [c for c in numbers if ends[c] is not None and ends[c] >= 0]
     pairs = [(a, b, s) for i, a in enumerate(fine) for b in fine[i + 1 :] for s in (1, -1)]
-    wide = rows.select(label, *fine, *[log_pair(a, b, s).alias(f"_p{i}") for i, (a, b, s) in enumerate(pairs)])
+    wide = rows.select(label, *fine, *[F.round(log_pair(a, b, s), 9).alias(f"_p{i}") for i, (a, b, s) in enumerate(pairs)])
     table = {r["feature"]: r["auc"] for r in auc_table(wide, [*fine, *[f"_p{i}" for i in range(len(pairs))]], label).collect()}  # a row per feature
     far = lambda f: abs(table[f] - 0.5) if table.get(f) is not None else 0.0
     gains = [(a, b, s, far(f"_p{i}") - max(far(a), far(b))) for i, (a, b, s) in enumerate(pairs)]
