@@ -42,12 +42,3 @@ def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows stay within the bound; otherwise as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
-def row_key(text: str = "text") -> list:
-    """Columns that name a row by content, so that repeated ids and repeated rows are told apart or fall together."""
-    return [F.xxhash64(F.col(text)).alias("_th")]
-
-
-def with_columns_of(df: DataFrame, like: list[str]) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in like])
