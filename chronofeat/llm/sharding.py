@@ -45,10 +45,12 @@ def feistel(x: Column, a: int, b: int, seed: int) -> Column:
 
 
 def walk_length(spark: SparkSession, n: int, a: int, b: int, seed: int) -> int:
-    """Most steps that a cycle walk needs: the values outside, fewer than a, are followed until all are inside."""
+    """Most steps that a cycle walk from inside needs. Values outside, fewer than a, that no other one outside leads to are followed until all are inside; cycles that stay outside are never entered."""
+    onward = lambda df: df.select(feistel(F.col("id"), a, b, seed).alias("id")).filter(F.col("id") >= n)
     outside, steps = spark.range(n, a * b), 1
+    outside = outside.join(onward(outside), "id", "left_anti")
     while outside.limit(1).count():
-        outside, steps = outside.select(feistel(F.col("id"), a, b, seed).alias("id")).filter(F.col("id") >= n), steps + 1
+        outside, steps = onward(outside), steps + 1
     return steps
 
 
