@@ -2,20 +2,22 @@
 
 1. Equal shingle sets fold into one unit (a set and its 64-bit name).
 2. Similar units are gathered. If two sets of one size class reach the threshold, they differ in
-   at most d tokens; with tokens dealt to d+1 parts by hash, one part of both is the
-   same. The hashed parts of a unit are its rows of a matrix; a part that several units
-   hold has its smallest unit as leader. So every pair that can link shares a leader.
-3. Members are verified against their leaders; links found make components.
-4. Families (all units with one leader) that are still in several components are cut
-   into groups of bounded size. Each group keeps the union of its members' tokens; a
-   query's overlap with the union bounds its similarity to any member, and only groups
-   whose bound reaches the threshold are opened. Queries come in blocks of bounded
-   size; one row holds one block and one group.
+   at most d tokens; with tokens dealt to d+1 parts by hash, one part of both is the same. Every
+   part that several units hold has its smallest unit as leader, so all pairs that can link
+   share a leader. Of units alike in a part within a batch only the first is dealt, the
+   others follow its leader: a part that a third of all documents hold stays a short list.
+3. Each unit is verified against the leader with which it shares most parts; links make components.
+4. Families (all units with one leader) that are still in several components are searched by the
+   matrix. Its rows are coarse tokens: the tokens of a set dealt to eight times as many parts, and each part
+   hashed to a byte. Sets that differ in d tokens differ in d coarse tokens at most. A family is cut into
+   groups of bounded size; a group keeps the union of its members' coarse tokens. The overlap of a
+   query with the union bounds that with any member, and only groups whose bound reaches the
+   threshold are opened; there, members that can link are verified by their whole sets. Queries come
+   in blocks of bounded size; one row holds a block and a group; a pair in several families is left to
+   the smallest leader that both share. A first round verifies for
+   each query the nearest member of each component, a second one all that are still apart.
 5. Components of all links.
 
-No step gathers a family in one task or emits its pairs: leaders are a
-pre-aggregated minimum, and the second join deals blocks.
-
 Defined cases: a text of fewer words than a shingle has its whole word sequence as
 one; null, empty and wordless texts have an empty set, which links with nothing; a
 null id takes part, and a component's id is its smallest non-null one; rows that
@@ -34,12 +36,15 @@ from pyspark.sql import functions as F
 
 from chronofeat.llm.common import cut, read, small
 from chronofeat.llm.components import components
+from chronofeat.llm.deals import dealt, freeze, thaw
 from chronofeat.llm.textnum import U, chunks, mix, pack, shingle_sets, unpack
 
 #: Units to a group and queries to a block of the matrix search.
 GROUP, QUERY = 64, 256
-#: Size classes grow by this factor.
-CLASS = 1.3
+#: Size classes grow by this factor; coarse tokens to a part.
+CLASS, FINE = 1.5, 8
+#: The low bits of a signature name its size class.
+SLOTS = 64
 
 
 def class_bounds(most: int = 1 << 31) -> np.ndarray:
@@ -61,29 +66,35 @@ def set_names(g: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(U)).view(np.int64)
 
 
-def signatures(g: np.ndarray, first: np.ndarray, percent: int, bounds: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set index): a set's parts in its own class, and in the next one if a set of that class can be near enough."""
+def part_hashes(g: np.ndarray, first: np.ndarray, percent: int, fine: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(set, its size class, parts of it, hash of every part): sets in their own class, then in the next one where a set of that class can be near enough."""
+    bounds = class_bounds()
+    parts = parts_of(bounds, percent) * fine
     size = np.diff(first)
     own = np.searchsorted(bounds, size, side="right") - 1
-    out = []
     for up in (0, 1):
         chosen = np.flatnonzero((size > 0) if not up else (size > 0) & (100 * size >= percent * bounds[own + 1]))
-        if not len(chosen):
-            continue
         slot = own[chosen] + up
         n = parts[slot]
         start = np.concatenate(([0], np.cumsum(n)))
         length = size[chosen]
         stop = np.cumsum(length)
-        token = g[np.arange(stop[-1]) + np.repeat(first[chosen] - (stop - length), length)]
-        salt = mix(slot.astype(U) + U(0x51ED270B))
-        at = np.repeat(start[:-1], length) + (mix(token ^ np.repeat(salt, length)) % np.repeat(n, length).astype(U)).astype(np.int64)
+        token = g[np.arange(stop[-1] if len(stop) else 0) + np.repeat(first[chosen] - (stop - length), length)]
+        salt = np.repeat(mix(slot.astype(U) + U(0x51ED270B + fine)), length)
+        at = np.repeat(start[:-1], length) + (mix(token ^ salt) % np.repeat(n, length).astype(U)).astype(np.int64)
         held = np.zeros(start[-1], dtype=U)
         np.add.at(held, at, mix(token ^ U(0xE7037ED1A0B428DB)))
-        part = np.arange(start[-1]) - np.repeat(start[:-1], n)
-        out.append((mix(held ^ mix(np.repeat(salt, n) + part.astype(U) * U(0x9E3779B97F4A7C15))).view(np.int64), np.repeat(chosen, n)))
-    if not out:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        yield chosen, slot, n, held
+
+
+def signatures(g: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, set) of all parts of all sets."""
+    out = []
+    for chosen, slot, n, held in part_hashes(g, first, percent):
+        number = np.arange(len(held)) - np.repeat(np.cumsum(n) - n, n)
+        classes = np.repeat(slot.astype(U), n)
+        sig = mix(mix(held) ^ mix(number.astype(U) * U(SLOTS) + classes))
+        out.append(((sig & ~U(SLOTS - 1) | classes).view(np.int64), np.repeat(chosen, n)))
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
@@ -104,18 +115,63 @@ def unit_rows(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, n_shingles long, unit long")
 
 
-def signature_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(sig, unit), without those that repeat within a batch."""
+def batch_signatures(pdf: pd.DataFrame, n: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, unit, whether a smaller unit of the batch holds it too), sorted."""
+    got = [(np.empty(0, dtype=np.int64),) * 2]
+    for _, g, first, name in each_sets(pdf.drop_duplicates("text"), n):
+        sig, at = signatures(g, first, percent)
+        got.append((sig, name[at]))
+    sig, unit = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.lexsort((unit, sig))
+    sig, unit = sig[order], unit[order]
+    again = np.zeros(len(sig), dtype=bool)
+    again[1:] = sig[1:] == sig[:-1]
+    keep = ~again
+    keep[1:] |= unit[1:] != unit[:-1]
+    return sig[keep], unit[keep], again[keep]
+
+
+def signature_deals(docs: DataFrame, n: int, percent: int, deals: int) -> DataFrame:
+    """(deal, blob) of signature, smallest unit of the batch that holds it, whether there are others."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sig, unit, again = batch_signatures(pdf, n, percent)
+            followed = np.zeros(len(sig), dtype=U)
+            followed[:-1] = again[1:]
+            sig, unit, followed = sig[~again], unit[~again], followed[~again]
+            rows = [(deal, freeze([(sig[r], 8), (unit[r], 8), (followed[r], 1)])) for deal, r in dealt((mix(sig.view(U)) % U(deals)).astype(np.int64))]
+            yield pd.DataFrame(rows, columns=["deal", "blob"])
+
+    return docs.select("text").mapInPandas(run, "deal int, blob binary")
+
+
+def followers(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(sig, unit) that signature_deals() left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bounds = class_bounds()
-        parts = parts_of(bounds, percent)
         for pdf in batches:
-            for _, g, first, name in each_sets(pdf.drop_duplicates("text"), n):
-                sig, at = signatures(g, first, percent, bounds, parts)
-                yield pd.DataFrame({"sig": sig, "unit": name[at]})
+            sig, unit, again = batch_signatures(pdf, n, percent)
+            yield pd.DataFrame({"sig": sig[again], "unit": unit[again]})
+
+    return docs.select("text").mapInPandas(run, "sig long, unit long")
+
 
-    return docs.mapInPandas(run, "sig long, unit long")
+def led(rows: DataFrame) -> DataFrame:
+    """(sig, leader, unit, followed) of signatures that several units hold."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sig, unit, followed = (np.concatenate(x) for x in zip(*(thaw(b, [8, 8, 1])[0] for b in pdf["blob"]), strict=True))
+        sig, unit = sig.view(np.int64), unit.view(np.int64)
+        order = np.lexsort((unit, sig))
+        sig, unit, followed = sig[order], unit[order], followed[order] > 0
+        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        size = np.diff(np.append(first, len(sig)))
+        leader = np.repeat(unit[first], size)
+        more = np.repeat((unit[first] != unit[first + size - 1]) | np.logical_or.reduceat(followed, first), size)
+        return pd.DataFrame({"sig": sig[more], "leader": leader[more], "unit": unit[more], "followed": followed[more]})
+
+    return rows.groupBy("deal").applyInPandas(run, "sig long, leader long, unit long, followed boolean")
 
 
 def token_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -147,81 +203,127 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(s("v"), "v").join(s("u"), "u").select("u", "v", "ut", "vt").mapInPandas(run, "u long, v long")
 
 
-def open_groups(group_units: np.ndarray, group_roots: np.ndarray, group_tokens: list[bytes], units: np.ndarray, roots: np.ndarray, tokens: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """Links of a block of queries with a group's members, at least one for each two components that have any here."""
-    members = [unpack(x) for x in group_tokens]
-    union, inverse = np.unique(np.concatenate(members), return_inverse=True)
-    matrix = np.zeros((len(union), len(members)), dtype=np.uint8)
-    matrix[inverse, np.repeat(np.arange(len(members)), list(map(len, members)))] = 1
-    size = np.array(list(map(len, members)))
-    queries = [unpack(x) for x in tokens]
-    length = np.array(list(map(len, queries)))
-    joined = np.concatenate(queries)
-    at = np.minimum(np.searchsorted(union, joined), len(union) - 1)
-    hit = union[at] == joined
-    first = np.concatenate(([0], np.cumsum(length)))
-    total = np.concatenate(([0], np.cumsum(hit)))
-    overlap = total[first[1:]] - total[first[:-1]]
-    out, done = [], set()
-    for i in np.flatnonzero(100 * overlap >= percent * length):
-        mine = slice(first[i], first[i + 1])
-        both = matrix[at[mine][hit[mine]]].sum(0, dtype=np.int64)
-        for j in np.flatnonzero((100 * both >= percent * (length[i] + size - both)) & (group_roots != roots[i])):
-            pair = (roots[i], group_roots[j])
-            if pair not in done:
-                done.add(pair)
-                out.append((int(units[i]), int(group_units[j])))
+def coarse_tokens(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(unit, slot, n, coarse): number of tokens, and a byte for each coarse token, of a unit in each of its size classes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, g, first, name in each_sets(pdf, n):
+                for chosen, slot, m, held in part_hashes(g, first, percent, FINE):
+                    byte = (mix(held) & U(255)).astype(np.uint8)
+                    stop = np.cumsum(m)
+                    yield pd.DataFrame({"unit": name[chosen], "slot": slot.astype(np.int32), "n": np.diff(first)[chosen].astype(np.int32), "coarse": [byte[a:b].tobytes() for a, b in zip(stop - m, stop, strict=True)]})
+
+    return docs.mapInPandas(run, "unit long, slot int, n int, coarse binary")
+
+
+def most_differing(a, b, percent: int):
+    """Tokens in which linked sets of sizes a and b can differ."""
+    return (a + b) * (100 - percent) // (100 + percent)
+
+
+def near_pairs(pairs: DataFrame, coarse: DataFrame, percent: int) -> DataFrame:
+    """Those of (u, v, slot) that differ in no more coarse tokens than linked sets may."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            differs = np.array([int((unpack(a, np.uint8) != unpack(b, np.uint8)).sum()) for a, b in zip(pdf["uc"], pdf["vc"], strict=True)], dtype=np.int64)
+            yield pdf.loc[differs <= most_differing(pdf["un"].to_numpy(dtype=np.int64), pdf["vn"].to_numpy(dtype=np.int64), percent), ["u", "v"]]
+
+    c = lambda x: coarse.select(F.col("unit").alias(x), "slot", F.col("n").alias(f"{x}n"), F.col("coarse").alias(f"{x}c"))
+    return pairs.join(c("v"), ["v", "slot"]).join(c("u"), ["u", "slot"]).select("u", "v", "un", "vn", "uc", "vc").mapInPandas(run, "u long, v long")
+
+
+def open_groups(leader: int, group: tuple, block: tuple, percent: int, every: bool) -> list[tuple[int, int]]:
+    """Pairs of a query of the block and a member of the group, in a component with a smaller root, that can link: the nearest of each component, or every one.
+
+    group, block: units, roots, sizes, coarse tokens (a row each), leaders (sorted). A pair is left to the smallest leader that both have.
+    """
+    member, member_root, size, held, led_by = group
+    unit, root, length, asked, leads = block
+    width = held.shape[1]
+    union = np.zeros((width, 256), dtype=bool)
+    union[np.broadcast_to(np.arange(width), held.shape), held] = True
+    missing = width - union[np.arange(width), asked].sum(1)
+    out = []
+    for i in np.flatnonzero(missing <= most_differing(length, size.max(), percent)):
+        differs = (held != asked[i]).sum(1)
+        near = np.flatnonzero((differs <= most_differing(length[i], size, percent)) & (member_root < root[i]))
+        near = np.array([j for j in near if np.intersect1d(leads[i], led_by[j], assume_unique=True)[0] == leader], dtype=np.int64)
+        if not every and len(near):
+            near = near[np.argsort(differs[near], kind="stable")]
+            near = near[np.unique(member_root[near], return_index=True)[1]]
+        out += [(int(min(unit[i], member[j])), int(max(unit[i], member[j]))) for j in near]
     return out
 
 
-def matrix_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across components within families (leader, unit, root), which are still apart."""
-    n = families.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
-    rows = families.join(n, "leader").join(sets, "unit")
-    pile = F.collect_list(F.struct("unit", "root", "tokens"))
-    deal = lambda size, salt: F.pmod(F.xxhash64("unit", F.lit(salt)), F.ceil(F.col("n") / size)).cast("int")
-    groups = rows.groupBy("leader", deal(GROUP, 1).alias("g")).agg(pile.alias("members"))
-    blocks = rows.groupBy("leader", deal(QUERY, 2).alias("q")).agg(pile.alias("queries"))
+def matrix_pairs(families: DataFrame, leaders: DataFrame, coarse: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs that can link across components within families (leader, slot, unit, root). leaders: (unit, slot, leads), all leaders of a unit."""
+    n = families.groupBy("leader", "slot").agg(F.count(F.lit(1)).alias("rows"))
+    rows = families.join(n, ["leader", "slot"]).join(coarse, ["unit", "slot"]).join(leaders, ["unit", "slot"])
+    pile = F.collect_list(F.struct("unit", "root", "n", "coarse", "leads"))
+    deal = lambda size, salt: F.pmod(F.xxhash64("unit", F.lit(salt)), F.ceil(F.col("rows") / size)).cast("int")
+    groups = rows.groupBy("leader", "slot", deal(GROUP, 1).alias("g")).agg(pile.alias("members"))
+    blocks = rows.groupBy("leader", "slot", deal(QUERY, 2).alias("q")).agg(pile.alias("queries"))
+
+    def columns(x) -> tuple:
+        number = lambda c: np.array([r[c] for r in x], dtype=np.int64)
+        return number("unit"), number("root"), number("n"), np.stack([unpack(r["coarse"], np.uint8) for r in x]), [np.asarray(r["leads"]) for r in x]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = lambda x: (np.array([r["unit"] for r in x]), np.array([r["root"] for r in x]), [r["tokens"] for r in x])
         for pdf in batches:
-            found = [e for m, q in zip(pdf["members"], pdf["queries"], strict=True) for e in open_groups(*cols(m), *cols(q), percent)]
-            yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+            found = {e for k, m, q in zip(pdf["leader"].tolist(), pdf["members"], pdf["queries"], strict=True) for e in open_groups(k, columns(m), columns(q), percent, every)}
+            yield pd.DataFrame(list(found), columns=["u", "v"], dtype="int64")
 
-    met = groups.join(blocks, "leader").repartition("leader", "g", "q").select("members", "queries")
+    met = groups.join(blocks, ["leader", "slot"]).repartition("leader", "slot", "g", "q").select("leader", "members", "queries")
     return met.mapInPandas(run, "u long, v long").distinct()
 
 
+def texts_of(docs: DataFrame, rows: DataFrame, units: DataFrame) -> DataFrame:
+    """Rows of docs that hold the units (and others with their ids)."""
+    held = rows.filter("n_shingles > 0").join(small(units), "unit", "left_semi")
+    chosen = held.groupBy("unit").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("d")).select(F.col("d.doc_id").alias("chosen_id")).distinct()
+    return docs.join(small(cut(chosen, "chosen")), F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi")
+
+
 def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, unit) of every row, and (unit, component_id) of every unit with a set. n words to a shingle; links from percent / 100 on."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = cut(unit_rows(docs, n), "units")
-    sigs = signature_rows(docs, n, percent)
-    shared = sigs.groupBy("sig").agg(F.min("unit").alias("leader"), F.max("unit").alias("last")).filter("leader <> last").select("sig", "leader")
-    stars = cut(sigs.join(shared, "sig").select("leader", "unit").distinct(), "stars")
-    active = stars.select("unit").distinct()  # leaders are their own members
-    filled = rows.filter("n_shingles > 0")
-    least = filled.groupBy("unit").agg(F.min("doc_id").alias("least"))
-    chosen = filled.join(small(active), "unit", "left_semi").groupBy("unit").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("d")).select(F.col("d.doc_id").alias("doc_id"))
-    texts = texts_of(docs, cut(chosen.distinct(), "chosen"))
-    sets = cut(token_sets(texts, n).dropDuplicates(["unit"]).join(small(active), "unit", "left_semi"), "sets")
-    links = cut(verified(stars.filter("leader <> unit").select(F.col("leader").alias("u"), F.col("unit").alias("v")), sets, percent), "links")
-    roots = components(links)
-    rooted = stars.join(small(roots), stars["unit"] == roots["node"], "left").select("leader", "unit", F.coalesce("root", "unit").alias("root"))
-    apart = rooted.groupBy("leader").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("leader")
-    more = cut(matrix_links(rooted.join(apart, "leader", "left_semi"), sets, percent), "links")
-    final = components(links.union(more))
+    deals = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = cut(led(signature_deals(docs, n, percent, deals)), "lists")
+    late = followers(docs, n, percent).join(lists.filter("followed").select("sig", "leader").distinct(), "sig")
+    slot = F.col("sig").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")
+    stars = lists.select("leader", slot, "unit").union(late.select("leader", slot, "unit")).groupBy("leader", "slot", "unit").agg(F.count(F.lit(1)).alias("alike"))
+    stars = cut(stars, "stars")
+    units = cut(stars.select("unit").distinct(), "active")  # leaders are their own members
+    coarse = cut(coarse_tokens(texts_of(docs, rows, units), n, percent).dropDuplicates(["unit", "slot"]).join(small(units), "unit", "left_semi"), "coarse")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs, "pairs")
+        need = cut(pairs.select(F.col("u").alias("unit")).union(pairs.select("v")).distinct(), "need")
+        sets = cut(token_sets(texts_of(docs, rows, need), n).dropDuplicates(["unit"]).join(small(need), "unit", "left_semi"), "sets")
+        return cut(verified(pairs, sets, percent), "links")
+
+    def apart(links: DataFrame) -> DataFrame:
+        roots = components(links)
+        rooted = stars.join(small(roots), stars["unit"] == roots["node"], "left").select("leader", "slot", "unit", F.coalesce("root", "unit").alias("root"))
+        split = rooted.groupBy("leader", "slot").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("leader", "slot")
+        return cut(rooted.join(split, ["leader", "slot"], "left_semi"), "families")
+
+    first = stars.filter("leader <> unit").groupBy("unit").agg(F.max(F.struct("alike", "leader", "slot")).alias("m"))
+    first = first.select(F.col("m.leader").alias("u"), F.col("unit").alias("v"), F.col("m.slot").alias("slot"))
+    leaders = stars.groupBy("unit", "slot").agg(F.array_sort(F.collect_set("leader")).alias("leads"))
+    links = verify(near_pairs(first, coarse, percent))
+    for every in (False, True):
+        links = cut(links.union(verify(matrix_pairs(apart(links), leaders, coarse, percent, every))), "links")
+    final = components(links)
+    least = rows.filter("n_shingles > 0").groupBy("unit").agg(F.min("doc_id").alias("least"))
     joined = least.join(final, least["unit"] == final["node"], "left").select("unit", "least", F.coalesce("root", "unit").alias("root"))
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows, joined.join(ids, "root").select("unit", "component_id")
 
 
-def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows of the chosen ids; the null id too if it is among them."""
-    return docs.join(small(chosen.withColumnRenamed("doc_id", "chosen_id")), F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi")
-
-
 def components_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
     rows, ids = similar_groups(docs, n, percent)
     return rows.join(ids, "unit", "left").select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), "doc_id").alias("component_id"))
