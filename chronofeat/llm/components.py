@@ -23,13 +23,19 @@ def small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def state_of(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the links (u, v) other than its component's smallest, which is the root."""
     now = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    while True:
-        after = cut(small_star(large_star(now)), "links")
-        # Stars are final once every node has one link, to a node that has none upwards.
-        a, b = (x.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("h")).first() for x in (now, after))
-        if a == b:
-            return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        now = after
+    before = state_of(now)
+    while before[0]:
+        now = cut(small_star(large_star(now)), "links")
+        # Stars are final once a round changes nothing: every node has one link, to its root.
+        after = state_of(now)
+        if after == before:
+            break
+        before = after
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

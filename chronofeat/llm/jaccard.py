@@ -7,14 +7,14 @@
    share a leader. Of units alike in a part within a batch only the first is dealt, the
    others follow its leader: a part that a third of all documents hold stays a short list.
 3. Each unit is verified against the leader with which it shares most parts; links make components.
-4. Families (all units with one leader) that are still in several components are searched by the
+4. Units of a size class that leaders connect, directly or through others, are a family; one whose units are
+   still in several components is searched by the
    matrix. Its rows are coarse tokens: the tokens of a set dealt to eight times as many parts, and each part
    hashed to a byte. Sets that differ in d tokens differ in d coarse tokens at most. A family is cut into
    groups of bounded size; a group keeps the union of its members' coarse tokens. The overlap of a
    query with the union bounds that with any member, and only groups whose bound reaches the
    threshold are opened; there, members that can link are verified by their whole sets. Queries come
-   in blocks of bounded size; one row holds a block and a group; a pair in several families is left to
-   the smallest leader that both share. A first round verifies for
+   in blocks of bounded size; one row holds a block and a group. A first round verifies for
    each query the nearest member of each component, a second one all that are still apart.
 5. Components of all links.
 
@@ -40,7 +40,7 @@ from chronofeat.llm.deals import dealt, freeze, thaw
 from chronofeat.llm.textnum import U, chunks, mix, pack, shingle_sets, unpack
 
 #: Units to a group and queries to a block of the matrix search.
-GROUP, QUERY = 64, 256
+GROUP, QUERY = 64, 1024
 #: Size classes grow by this factor; coarse tokens to a part.
 CLASS, FINE = 1.5, 8
 #: The low bits of a signature name its size class.
@@ -234,13 +234,13 @@ def near_pairs(pairs: DataFrame, coarse: DataFrame, percent: int) -> DataFrame:
     return pairs.join(c("v"), ["v", "slot"]).join(c("u"), ["u", "slot"]).select("u", "v", "un", "vn", "uc", "vc").mapInPandas(run, "u long, v long")
 
 
-def open_groups(leader: int, group: tuple, block: tuple, percent: int, every: bool) -> list[tuple[int, int]]:
+def open_groups(group: tuple, block: tuple, percent: int, every: bool) -> list[tuple[int, int]]:
     """Pairs of a query of the block and a member of the group, in a component with a smaller root, that can link: the nearest of each component, or every one.
 
-    group, block: units, roots, sizes, coarse tokens (a row each), leaders (sorted). A pair is left to the smallest leader that both have.
+    group, block: units, roots, sizes, coarse tokens (a row each).
     """
-    member, member_root, size, held, led_by = group
-    unit, root, length, asked, leads = block
+    member, member_root, size, held = group
+    unit, root, length, asked = block
     width = held.shape[1]
     union = np.zeros((width, 256), dtype=bool)
     union[np.broadcast_to(np.arange(width), held.shape), held] = True
@@ -249,7 +249,6 @@ def open_groups(leader: int, group: tuple, block: tuple, percent: int, every: bo
     for i in np.flatnonzero(missing <= most_differing(length, size.max(), percent)):
         differs = (held != asked[i]).sum(1)
         near = np.flatnonzero((differs <= most_differing(length[i], size, percent)) & (member_root < root[i]))
-        near = np.array([j for j in near if np.intersect1d(leads[i], led_by[j], assume_unique=True)[0] == leader], dtype=np.int64)
         if not every and len(near):
             near = near[np.argsort(differs[near], kind="stable")]
             near = near[np.unique(member_root[near], return_index=True)[1]]
@@ -257,26 +256,35 @@ def open_groups(leader: int, group: tuple, block: tuple, percent: int, every: bo
     return out
 
 
-def matrix_pairs(families: DataFrame, leaders: DataFrame, coarse: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Pairs that can link across components within families (leader, slot, unit, root). leaders: (unit, slot, leads), all leaders of a unit."""
-    n = families.groupBy("leader", "slot").agg(F.count(F.lit(1)).alias("rows"))
-    rows = families.join(n, ["leader", "slot"]).join(coarse, ["unit", "slot"]).join(leaders, ["unit", "slot"])
-    pile = F.collect_list(F.struct("unit", "root", "n", "coarse", "leads"))
-    deal = lambda size, salt: F.pmod(F.xxhash64("unit", F.lit(salt)), F.ceil(F.col("rows") / size)).cast("int")
-    groups = rows.groupBy("leader", "slot", deal(GROUP, 1).alias("g")).agg(pile.alias("members"))
-    blocks = rows.groupBy("leader", "slot", deal(QUERY, 2).alias("q")).agg(pile.alias("queries"))
+def families_of(rows: DataFrame) -> DataFrame:
+    """(family, slot, unit, root) of rows (leader, slot, unit, root): units that leaders connect within a size class."""
+    node = lambda c: F.xxhash64(c, "slot")
+    named = components(rows.filter("leader <> unit").select(node("leader").alias("u"), node("unit").alias("v")))
+    units = rows.select("slot", "unit", "root", node("unit").alias("at")).distinct()
+    return cut(units.join(small(named), units["at"] == named["node"], "left").select(F.coalesce(named["root"], "at").alias("family"), "slot", "unit", units["root"]), "families")
+
+
+def matrix_pairs(families: DataFrame, coarse: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs that can link across components within families (family, slot, unit, root)."""
+    n = families.groupBy("family").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
+    rows = families.join(n.select("family", "rows"), "family").join(coarse, ["unit", "slot"])
+    pile = F.collect_list(F.struct("unit", "root", "n", "coarse"))
+    count = lambda size: F.ceil(F.col("rows") / size)
+    deal = lambda size, salt: F.pmod(F.xxhash64("unit", F.lit(salt)), count(size)).cast("int")
+    groups = rows.groupBy("family", count(QUERY).cast("int").alias("blocks"), deal(GROUP, 1).alias("g")).agg(pile.alias("members"))
+    groups = groups.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = rows.groupBy("family", deal(QUERY, 2).alias("q")).agg(pile.alias("queries"))
 
     def columns(x) -> tuple:
         number = lambda c: np.array([r[c] for r in x], dtype=np.int64)
-        return number("unit"), number("root"), number("n"), np.stack([unpack(r["coarse"], np.uint8) for r in x]), [np.asarray(r["leads"]) for r in x]
+        return number("unit"), number("root"), number("n"), np.stack([unpack(r["coarse"], np.uint8) for r in x])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = {e for k, m, q in zip(pdf["leader"].tolist(), pdf["members"], pdf["queries"], strict=True) for e in open_groups(k, columns(m), columns(q), percent, every)}
+            found = {e for m, q in zip(pdf["members"], pdf["queries"], strict=True) for e in open_groups(columns(m), columns(q), percent, every)}
             yield pd.DataFrame(list(found), columns=["u", "v"], dtype="int64")
 
-    met = groups.join(blocks, ["leader", "slot"]).repartition("leader", "slot", "g", "q").select("leader", "members", "queries")
-    return met.mapInPandas(run, "u long, v long").distinct()
+    return groups.join(blocks, ["family", "q"]).select("members", "queries").mapInPandas(run, "u long, v long").distinct()
 
 
 def texts_of(docs: DataFrame, rows: DataFrame, units: DataFrame) -> DataFrame:
@@ -309,14 +317,13 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         roots = components(links)
         rooted = stars.join(small(roots), stars["unit"] == roots["node"], "left").select("leader", "slot", "unit", F.coalesce("root", "unit").alias("root"))
         split = rooted.groupBy("leader", "slot").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("leader", "slot")
-        return cut(rooted.join(split, ["leader", "slot"], "left_semi"), "families")
+        return families_of(cut(rooted.join(split, ["leader", "slot"], "left_semi"), "apart"))
 
     first = stars.filter("leader <> unit").groupBy("unit").agg(F.max(F.struct("alike", "leader", "slot")).alias("m"))
     first = first.select(F.col("m.leader").alias("u"), F.col("unit").alias("v"), F.col("m.slot").alias("slot"))
-    leaders = stars.groupBy("unit", "slot").agg(F.array_sort(F.collect_set("leader")).alias("leads"))
     links = verify(near_pairs(first, coarse, percent))
     for every in (False, True):
-        links = cut(links.union(verify(matrix_pairs(apart(links), leaders, coarse, percent, every))), "links")
+        links = cut(links.union(verify(matrix_pairs(apart(links), coarse, percent, every))), "links")
     final = components(links)
     least = rows.filter("n_shingles > 0").groupBy("unit").agg(F.min("doc_id").alias("least"))
     joined = least.join(final, least["unit"] == final["node"], "left").select("unit", "least", F.coalesce("root", "unit").alias("root"))

@@ -17,7 +17,7 @@ def test_toxicity(spark):
             w.insert(rng.randrange(len(w)), rng.choice(bad))
         made.append((i, " ".join(w)))
         labels.append((i, int(toxic), None if i % 50 == 1 else int(toxic)))
-    d = toxicity.texts_of(spark.createDataFrame(made, "doc_id long, text string").unionByName(docs(spark).select(docs(spark)["doc_id"] + 5000, "text").toDF("doc_id", "text")))
+    d = toxicity.texts_of(spark.createDataFrame(made, "doc_id long, text string").unionByName(docs(spark).selectExpr("doc_id + 5000 AS doc_id", "text")))
     model = toxicity.train(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     out = {r["doc_id"]: r for r in toxicity.score_rows(d, model).collect() if r["doc_id"] is not None and r["doc_id"] < 900}
     held = [r for r in out.values() if r["held_out"]]
@@ -77,7 +77,7 @@ def test_decontamination(spark):
         made.append((i, t))
     made += [(1000 + i, items[3] + " " + text(rng, 50)) for i in range(150)]  # one item in two fifths of all documents
     planted |= {(1000 + i, 3) for i in range(150)}
-    d = spark.createDataFrame(made, "doc_id long, text string").unionByName(docs(spark).select(docs(spark)["doc_id"] + 5000, "text").toDF("doc_id", "text"))
+    d = spark.createDataFrame(made, "doc_id long, text string").unionByName(docs(spark).selectExpr("doc_id + 5000 AS doc_id", "text"))
     out = decontaminate.contaminated(d, bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in out} == planted
     assert all(0.5 <= r["score"] <= 1 and 0 <= r["first_word"] <= r["last_word"] < r["text_words"] for r in out)
