@@ -2,7 +2,8 @@
 
 1. Equal shingle sets fold into one unit (a set and its 64-bit name).
 2. Similar units are gathered. If two sets of one size class reach the threshold, they differ in
-   at most d tokens; with tokens dealt to d+1 parts by hash, one part of both is the same. Every
+   at most d tokens; with tokens dealt to more than d parts by hash, some parts of both are the same, and
+   each set keeps the d+1 fullest of its own, one of which is a common one. Every
    part that several units hold has its smallest unit as leader, so all pairs that can link
    share a leader. Of units alike in a part within a batch only the first is dealt, the
    others follow its leader: a part that a third of all documents hold stays a short list.
@@ -41,8 +42,8 @@ from chronofeat.llm.textnum import U, chunks, mix, pack, shingle_sets, unpack
 
 #: Units to a group and queries to a block of the matrix search.
 GROUP, QUERY = 64, 1024
-#: Size classes grow by this factor; coarse tokens to a part.
-CLASS, FINE = 1.5, 8
+#: Size classes grow by this factor; coarse tokens to a part; parts to each one that is needed.
+CLASS, FINE, SPARE = 1.5, 8, 1.25
 #: The low bits of a signature name its size class.
 SLOTS = 64
 
@@ -66,10 +67,10 @@ def set_names(g: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(U)).view(np.int64)
 
 
-def part_hashes(g: np.ndarray, first: np.ndarray, percent: int, fine: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(set, its size class, parts of it, hash of every part): sets in their own class, then in the next one where a set of that class can be near enough."""
+def part_hashes(g: np.ndarray, first: np.ndarray, percent: int, fine: float = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(set, its size class, parts of it, hash and tokens of every part): sets in their own class, then in the next one where a set of that class can be near enough."""
     bounds = class_bounds()
-    parts = parts_of(bounds, percent) * fine
+    parts = np.ceil(parts_of(bounds, percent) * fine).astype(np.int64)
     size = np.diff(first)
     own = np.searchsorted(bounds, size, side="right") - 1
     for up in (0, 1):
@@ -80,21 +81,31 @@ def part_hashes(g: np.ndarray, first: np.ndarray, percent: int, fine: int = 1) -
         length = size[chosen]
         stop = np.cumsum(length)
         token = g[np.arange(stop[-1] if len(stop) else 0) + np.repeat(first[chosen] - (stop - length), length)]
-        salt = np.repeat(mix(slot.astype(U) + U(0x51ED270B + fine)), length)
+        salt = np.repeat(mix(slot.astype(U) + U(0x51ED270B + int(8 * fine))), length)
         at = np.repeat(start[:-1], length) + (mix(token ^ salt) % np.repeat(n, length).astype(U)).astype(np.int64)
         held = np.zeros(start[-1], dtype=U)
         np.add.at(held, at, mix(token ^ U(0xE7037ED1A0B428DB)))
-        yield chosen, slot, n, held
+        yield chosen, slot, n, held, np.bincount(at, minlength=start[-1])
 
 
 def signatures(g: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set) of all parts of all sets."""
-    out = []
-    for chosen, slot, n, held in part_hashes(g, first, percent):
+    """(signature, set) of the parts by which sets are found.
+
+    A set of a tokens differs from any that it links with in d parts at most, so of n parts n - d agree at least. It
+    leaves out the n - d - 1 with the fewest tokens (equal ones in the order of their signatures), which say least:
+    the last agreeing part in that order is kept by both sets.
+    """
+    bounds, out = class_bounds(), []
+    for chosen, slot, n, held, count in part_hashes(g, first, percent, SPARE):
         number = np.arange(len(held)) - np.repeat(np.cumsum(n) - n, n)
         classes = np.repeat(slot.astype(U), n)
         sig = mix(mix(held) ^ mix(number.astype(U) * U(SLOTS) + classes))
-        out.append(((sig & ~U(SLOTS - 1) | classes).view(np.int64), np.repeat(chosen, n)))
+        size = np.diff(first)[chosen]
+        differ = most_differing(size, np.minimum(100 * size // percent, bounds[slot + 1] - 1), percent)
+        at = np.repeat(np.arange(len(chosen)), n)
+        order = np.lexsort((sig, count, at))
+        kept = np.sort(order[number >= np.repeat(n - differ - 1, n)])
+        out.append(((sig & ~U(SLOTS - 1) | classes).view(np.int64)[kept], chosen[at[kept]]))
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
@@ -209,7 +220,7 @@ def coarse_tokens(docs: DataFrame, n: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for _, g, first, name in each_sets(pdf, n):
-                for chosen, slot, m, held in part_hashes(g, first, percent, FINE):
+                for chosen, slot, m, held, _ in part_hashes(g, first, percent, FINE):
                     byte = (mix(held) & U(255)).astype(np.uint8)
                     stop = np.cumsum(m)
                     yield pd.DataFrame({"unit": name[chosen], "slot": slot.astype(np.int32), "n": np.diff(first)[chosen].astype(np.int32), "coarse": [byte[a:b].tobytes() for a, b in zip(stop - m, stop, strict=True)]})
