@@ -45,12 +45,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; documents stay."""
     found = secretscan.with_spans(docs)
-    text = secretscan.redacted(F.col("text"), F.col("spans"), MARK)
     changed = F.size("spans") > 0
-    out = {"text": F.when(changed, text).otherwise(F.col("text"))}
+    found = found.withColumn("text", F.when(changed, secretscan.redacted(F.col("text"), F.col("spans"), MARK)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(changed, F.char_length(text).cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumns(out).select(*docs.columns)
+        found = found.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
