@@ -1,8 +1,9 @@
 """Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
 
-Of every run of RUN neighbouring n-grams of a test item the one in the fewest documents is a
-seed; frequencies count all documents. So each item keeps seeds along its whole length however widely
-it has leaked. Seeds that a document holds on neighbouring diagonals mark a passage, which is
+Every n-gram of a test item that some document holds is a seed; of every run of RUN neighbouring ones that in the
+fewest documents is a rare seed. Frequencies count all documents. So each item keeps rare seeds along its whole length
+however widely it has leaked, and copies edited in different places keep those that each has left. One rare seed, or
+several others that a document holds on neighbouring diagonals, mark a passage, which is
 aligned with the item word by word (a match scores 2, a mismatch or gap costs 1). The score is the
 best local alignment's share of a full match, from 0 to 1; passages from LEAST on are reported, with the
 words where they start and end.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from chronofeat.llm.common import cut, read
 from chronofeat.llm.textnum import chunks, ngrams, words
 
-#: Words of a seed; n-grams to a run; seeds that a passage needs (one, of items with few); share of a full match.
+#: Words of a seed; n-grams to a run; seeds that a passage without a rare one needs (one, of items with few); share of a full match.
 SEED, RUN, SEEDS, LEAST = 3, 4, 2, 0.5
 SHORTEST, SLICE = 5, 500_000
 FOUND = "doc_id long, item long, score double, first_word long, last_word long, text_words long"
@@ -74,7 +75,7 @@ def document_counts(docs: DataFrame, grams: np.ndarray) -> np.ndarray:
 
 
 def rare_seeds(gram: np.ndarray, item: np.ndarray, place: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """Rows of the rarest n-gram of each run."""
+    """Rows of the rarest n-gram of each run, given those that documents hold."""
     order = np.lexsort((place, often, place // RUN, item))
     run = item[order] * (1 << 32) + place[order] // RUN
     return order[np.concatenate(([True], run[1:] != run[:-1]))] if len(order) else order
@@ -95,7 +96,7 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def passages(h: np.ndarray, at: np.ndarray, n_texts: int, items: list[np.ndarray], seed: np.ndarray, item: np.ndarray, place: np.ndarray, seeds_of: np.ndarray) -> list[tuple]:
+def passages(h: np.ndarray, at: np.ndarray, n_texts: int, items: list[np.ndarray], seed: np.ndarray, item: np.ndarray, place: np.ndarray, rare: np.ndarray, seeds_of: np.ndarray) -> list[tuple]:
     """(text, item, score, first word, last word) of every passage found in a chunk of texts. seed is sorted, and may repeat."""
     g, first = ngrams(h, at, SEED)
     lo, hi = np.searchsorted(seed, g, "left"), np.searchsorted(seed, g, "right")
@@ -107,17 +108,17 @@ def passages(h: np.ndarray, at: np.ndarray, n_texts: int, items: list[np.ndarray
     row = np.arange(stop[-1]) + np.repeat(lo[hit] - (stop - n), n)
     pos = np.repeat(first[hit], n)
     start = np.searchsorted(at, np.arange(n_texts + 1))
-    doc, it, p = at[pos], item[row], place[row]
+    doc, it, p, scarce = at[pos], item[row], place[row], rare[row]
     diagonal = pos - start[doc] - p
     order = np.lexsort((diagonal, it, doc))
-    doc, it, p, diagonal = doc[order], it[order], p[order], diagonal[order]
+    doc, it, p, scarce, diagonal = doc[order], it[order], p[order], scarce[order], diagonal[order]
     length = np.array(list(map(len, items)))
     new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (it[1:] != it[:-1]) | (np.diff(diagonal) > np.maximum(8, length[it[1:]] // 4))))
     bounds = np.append(np.flatnonzero(new), len(doc))
     best: dict[tuple[int, int], tuple] = {}
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         d, i = int(doc[a]), int(it[a])
-        if len(np.unique(p[a:b])) < min(SEEDS, max(1, seeds_of[i] // 3)):
+        if not scarce[a:b].any() and len(np.unique(p[a:b])) < min(SEEDS, max(1, seeds_of[i] // 3)):
             continue
         m = len(items[i])
         slack = 8 + m // 8
@@ -137,10 +138,12 @@ def search(docs: DataFrame, texts: list[str]) -> DataFrame:
     gram, item, place = item_grams(items)
     distinct, inverse = np.unique(gram, return_inverse=True)
     often = document_counts(docs, distinct)[inverse] if len(distinct) else np.empty(0, dtype=np.int64)
-    keep = rare_seeds(gram, item, place, often)
-    seeds_of = np.bincount(item[keep], minlength=len(items))
-    keep = keep[np.argsort(gram[keep], kind="stable")]
-    seed, item, place = gram[keep], item[keep], place[keep]
+    held = np.flatnonzero(often)
+    held = held[np.argsort(gram[held], kind="stable")]
+    seed, item, place = gram[held], item[held], place[held]
+    rare = np.zeros(len(held), dtype=bool)
+    rare[rare_seeds(seed, item, place, often[held])] = True
+    seeds_of = np.bincount(item, minlength=len(items))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -148,7 +151,7 @@ def search(docs: DataFrame, texts: list[str]) -> DataFrame:
             for begin, some in chunks(pdf["text"].tolist()):
                 h, at, _, _ = words(some, "alnum")
                 n = np.bincount(at, minlength=len(some))
-                out += [(ids[begin + d], i, s, a, b, int(n[d])) for d, i, s, a, b in passages(h, at, len(some), items, seed, item, place, seeds_of)]
+                out += [(ids[begin + d], i, s, a, b, int(n[d])) for d, i, s, a, b in passages(h, at, len(some), items, seed, item, place, rare, seeds_of)]
             yield pd.DataFrame(out, columns=["doc_id", "item", "score", "first_word", "last_word", "text_words"]).astype({"doc_id": "Int64"})
 
     return docs.mapInPandas(run, FOUND)

@@ -83,3 +83,22 @@ def test_decontamination(spark):
     assert all(0.5 <= r["score"] <= 1 and 0 <= r["first_word"] <= r["last_word"] < r["text_words"] for r in out)
     assert decontaminate.contaminated(empty(spark), bench).count() == 0
     assert decontaminate.contaminated(d, bench.limit(0)).count() == 0
+
+
+def test_decontamination_of_edited_copies(spark):
+    for seed, copies in ((1, 1), (4, 4), (15, 12)):
+        rng = random.Random(seed)
+        items = [text(rng, rng.randrange(20, 60)) for _ in range(12)]
+        made = [text(rng, rng.randrange(20, 200)) for _ in range(60)]
+        made += [" ".join([text(rng, 20), edited(rng, item, 0.2), text(rng, 20)]) for item in items for _ in range(copies)]
+        assert not any(item in t for item in items for t in made)
+        want, hashes = {}, decontaminate.item_words(items)
+        for i, h in enumerate(decontaminate.item_words(made)):
+            for k, item in enumerate(hashes):
+                score = decontaminate.align(item, h)[0] / (2 * len(item))
+                if score >= decontaminate.LEAST:
+                    want[i, k] = round(score, 9)
+        bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+        out = decontaminate.contaminated(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"), bench).collect()
+        assert len(want) > 9 * copies
+        assert {(r["doc_id"], r["item_id"]): round(r["score"], 9) for r in out} == want
