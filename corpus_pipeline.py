@@ -16,30 +16,37 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs less those whose doc_id is among the rejected ones; null ids match each other."""
+def without(docs: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
+    """docs less the rows whose key is among the rejected doc_ids: operators are given the key, never null, for an id."""
     rejected = rejected.select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(small(cut(rejected, "rejected")), F.col("doc_id").cast("long").eqNullSafe(F.col("_rejected")), "left_anti")
+    return docs.join(small(cut(rejected, "rejected")), F.col(key) == F.col("_rejected"), "left_anti").drop(key)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are likelier toxic than not go. The model learns from the labelled ones among docs."""
-    rows = toxicity.texts_of(docs)
-    scored = toxicity.score_rows(rows, toxicity.train(rows, read(spark, sf_dir, "labels")))
-    return without(docs, scored.filter("predicted = 1"))
+    """Documents that are likelier toxic than not go, judged by their text alone. The model learns from the labelled ones among docs."""
+    model = toxicity.train(toxicity.texts_of(docs), read(spark, sf_dir, "labels"))
+    docs = keyed(docs)
+    scored = toxicity.score_rows(toxicity.texts_of(docs, id_col="_th"), model)
+    return without(docs, scored.filter("predicted = 1"), "_th")
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id stays. Documents without words all stay."""
-    rows, ids = jaccard.similar_groups(docs, 5, 80)
-    groups = rows.filter("n_shingles > 0").join(ids, "unit")
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return without(docs, gone)
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) one row stays: that with the smallest id (null last), of those that with the smallest hash of the text, of equal rows any. Documents without words all stay."""
+    docs = cut(keyed(docs).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows, ids = jaccard.similar_groups(docs.select("_row", "text"), 5, 80, id_col="_row")
+    id_of = F.col("doc_id").cast("long")
+    order = docs.select("_row", F.struct(id_of.isNull().alias("none"), id_of.alias("id"), "_th", "_row").alias("rank"))
+    groups = rows.filter("n_shingles > 0").join(ids, "unit").select(F.col("doc_id").alias("_row"), "component_id")
+    groups = cut(groups.join(order, "_row"), "ranked")
+    kept = groups.groupBy("component_id").agg(F.min("rank").alias("least")).select(F.col("least._row").alias("_row"))
+    gone = groups.select("_row").join(small(cut(kept, "least")), "_row", "left_anti")
+    return without(docs, gone.select(F.col("_row").alias("doc_id")), "_row").drop("_th")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
-    return without(docs, decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")))
+    """Documents that hold a test item go, judged by their text alone."""
+    docs = keyed(docs)
+    return without(docs, decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"), id_col="_th"), "_th")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,35 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in whole.collect()} == seen["packing"]
 
 
+def test_stages_judge_rows_with_null_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(22)
+    clean = [text(rng, 150) for _ in range(60)]
+    vile = lambda: text(rng, 30) + " vileword nastyterm vileword " + text(rng, 30) + " hatespew"
+    item, alone, twin = text(rng, 40), text(rng, 90), text(rng, 90)
+    leak = text(rng, 20) + " " + item + " " + text(rng, 20)
+    toxic, spare = vile(), [text(rng, 80) for _ in range(4)]
+    labelled = [(i, t) for i, t in enumerate(clean)] + [(200 + i, vile()) for i in range(40)]
+    odd = [(None, spare[0]), (None, toxic), (None, leak), (None, edited(rng, clean[1], 0.01)), (None, alone), (None, alone)]
+    odd += [(70, spare[1]), (70, toxic), (71, spare[2]), (71, leak), (72, spare[3]), (72, clean[2]), (73, twin), (73, twin), (None, twin), (None, None), (None, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in labelled + odd], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(200 + i, 0, 1) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    order = lambda x: sorted(x, key=repr)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+        seen[name] = order((r["doc_id"], r["text"]) for r in docs.collect())
+    left = labelled[:60] + [x for x in odd if x[1] != toxic]
+    assert seen["toxicity"] == order(left)
+    left = [x for x in left if x not in (odd[3], (72, clean[2])) and x[1] not in (alone, twin, leak)] + [(None, alone), (73, twin), (71, leak)]
+    assert seen["jaccard"] == order(left)
+    assert seen["decontamination"] == order(x for x in left if x[1] != leak)
+
+
 def test_registered():
     names = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
