@@ -1,6 +1,7 @@
 """Operators against brute force on small documents, and on empty tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -44,14 +45,20 @@ def test_jaccard(spark, n, percent):
     assert jaccard.components_of(empty(spark), n, percent).count() == 0
 
 
-def test_jaccard_searches_families_that_leaders_leave_apart(spark):
+@pytest.mark.parametrize("block", [1024, 8])
+def test_jaccard_searches_whole_families(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     base = [f"w{i}" for i in range(100)]
     made = []
-    for i in range(40):  # a chain: each differs from the next in two words, so leaders alone link few
+    for i in range(40):  # a chain: each differs from the next in two words
         w = list(base)
         for k in range(i):
             w[(2 * k) % 100] = f"x{k}"
         made.append((i, " ".join(w)))
+    rng = random.Random(2)
+    other = [f"v{i}" for i in range(100)]
+    for i in range(100, 160):  # a star, most of whose points are further from one another than from its middle
+        made.append((i, " ".join(f"y{i}_{k}" if rng.random() < (i - 100) / 600 else w for k, w in enumerate(other))))
     d = spark.createDataFrame(made, "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in jaccard.components_of(d, 1, 90).collect()}
     sets = {i: set(t.split()) for i, t in made}
@@ -61,6 +68,7 @@ def test_jaccard_searches_families_that_leaders_leave_apart(spark):
         for i, j in links:
             comp[i] = comp[j] = min(comp[i], comp[j])
     assert got == comp
+    assert len(set(comp.values())) > 10
 
 
 def test_suffixes(spark):
