@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronofeat.llm.common import cut, read
+from chronofeat.llm.common import cut, read, small
 
 KINDS = ["assign", "access", "hex", "markov"]
 #: kind: pattern, group whose length counts, least length.
@@ -32,6 +32,7 @@ BASE = {
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Tokens that the models judge; thresholds in nats, in total and per pair.
 CANDIDATE, LEAST_TOTAL, LEAST_MEAN = r"[A-Za-z0-9+/_=-]{20,}", 15.0, 0.75
+SPANS = "array<struct<start:bigint,k:int,end:bigint>>"
 SAMPLE_DOCS, SAMPLE_STRINGS, SMOOTH = 2000, 3000, 0.5
 
 
@@ -114,18 +115,22 @@ def joined(spans: Column) -> Column:
 
 
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with `spans`, an empty array where there are none."""
-    spans = spans_by_row(keyed(docs, id_col, text_col)).select(F.col("doc_id").alias("_id"), F.col("_th").alias("_h"), "spans")
-    held = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h"))
-    return held.join(spans, on, "left").drop("_th", "_id", "_h").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,k:int,end:bigint>>")))
+    """(row, spans): whole rows as structs, and their spans, an empty array where there are none. Only rows with spans are shuffled, where these are few."""
+    spans = cut(spans_by_row(keyed(docs, id_col, text_col)), "spans")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    held = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("_th"))
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}._th") == F.col(f"{b}._th"))
+    keys = small(spans.select("doc_id", "_th")).alias("k")
+    some = held.alias("h").join(keys, same("h", "k"), "left_semi").alias("h").join(spans.alias("s"), same("h", "s")).select("h.row", "s.spans")
+    none = held.alias("h").join(keys, same("h", "k"), "left_anti").select("h.row", F.array().cast(SPANS).alias("spans"))
+    return some.unionByName(none)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     rows = keyed(docs)
     spans = spans_by_row(rows)
     out = rows.select("doc_id", "_th").alias("r").join(spans.alias("s"), F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("r._th") == F.col("s._th")), "left")
-    out = out.select("r.doc_id", F.coalesce("spans", F.array().cast("array<struct<start:bigint,k:int,end:bigint>>")).alias("spans"))
+    out = out.select("r.doc_id", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
     n = lambda k: F.size(F.filter("spans", lambda s: s["k"] == k)).cast("long")
     return out.select("doc_id", n(1).alias("n_assign"), n(2).alias("n_access"), n(3).alias("n_hex"), F.sha2(joined(F.filter("spans", lambda s: s["k"] <= 3)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
