@@ -119,7 +119,7 @@ def test_secrets(spark):
     assert any("markov" in r["spans"] for r in out if r["doc_id"] == 904)
     assert not any("markov" in r["spans"] for r in out if r["doc_id"] is not None and r["doc_id"] < 900)
     assert secretscan.scan(empty(spark)).count() == 0
-    cleaned = {r["doc_id"]: r["t"] for r in secretscan.with_spans(d).select("doc_id", secretscan.redacted(secretscan.F.col("text"), secretscan.F.col("spans")).alias("t")).collect()}
+    cleaned = {r["doc_id"]: r["t"] for r in secretscan.with_spans(d).select("row.doc_id", secretscan.redacted(secretscan.F.col("row.text"), secretscan.F.col("spans")).alias("t")).collect()}
     assert cleaned[901] == "token:secret:abcdefghijklmnop [secret]" and "deadbeef" not in cleaned[902] and cleaned[903] == "akia none"
 
 

@@ -67,6 +67,30 @@ def test_stages_judge_rows_with_null_and_repeated_ids(spark, tmp_path):
     assert seen["decontamination"] == order(x for x in left if x[1] != leak)
 
 
+def test_stages_carry_clashing_names_and_stand_empty_tables_and_long_texts(spark, tmp_path):
+    rng = random.Random(23)
+    clean, item = [text(rng, 60) for _ in range(12)], text(rng, 40)
+    long = text(rng, 60_000)
+    given = [(i, t) for i, t in enumerate(clean)] + [(50, long), (51, long + " tail"), (52, None), (52, None), (53, ""), (54, text(rng, 9) + " token=abcdef0123456789 end"), (55, long[:5000] + " " + item)]
+    names = ["_th", "spans", "row", "_row", "unit", "mask", "family", "rank", "kind", "token", "_rejected", "held_out", "toxic", "k", "h", "s"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    d = spark.createDataFrame([(i, t, None, "s", None, *names) for i, t in given], schema)
+    spark.createDataFrame([(i, 1, i % 2) for i in range(12)], "doc_id long, quality int, toxic int").filter("doc_id < 0").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    docs, none = spark.read.parquet(f"{tmp_path}/documents.parquet"), d.filter("doc_id < -1")
+    for name, stage in corpus_pipeline.STAGES:
+        out, nothing = stage(spark, docs, str(tmp_path)), stage(spark, none, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{name}.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+        assert nothing.columns == out.columns and nothing.count() == 0
+        if name != "packing":
+            assert out.columns == d.columns
+            assert all(r[n] == n for r in docs.collect() for n in names)
+    kept = sorted(r["doc_id"] for r in docs.filter("piece = 0").collect())
+    assert kept == [*range(12), 50, 52, 52, 53, 54]
+
+
 def test_registered():
     names = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
