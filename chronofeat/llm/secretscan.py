@@ -3,15 +3,15 @@
 Base kinds are patterns. The method adds tokens of secret-like characters whose characters follow a
 Markov model of random strings rather than one of ordinary identifiers: the sum over the token's character pairs
 of the log-likelihood ratio, in total and per character, must pass a threshold, and the token may overlap no base span.
-Both models are counts of character pairs over labelled samples: random strings of hex, base64 and
-upper-case kinds, made from digests of a range; and ordinary words, alone and joined as
-identifiers, of at most SAMPLE_DOCS documents, those with the smallest checksums. The model is a
+Both models are counts of character pairs over labelled samples: SAMPLE_STRINGS random strings of hex, base64 and
+upper-case kinds each, made from digests of a range; and the words of all documents, alone and joined as
+identifiers. Words are counted map side, and character pairs over distinct words. The model is a
 table of (pair, ratio), at most the alphabet squared, and is broadcast.
 
 Places of matches are sums of lengths of the pieces between them, in code points.
 
 Defined cases: a null text is empty; without spans the digest is that of the empty string; rows that repeat get the
-same result each; a null id is a value like any other; an empty table gives an empty result; other
+same result each; a null id is a value like any other; very long texts are read whole; without words all ordinary pairs are alike; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -33,7 +33,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Tokens that the models judge; thresholds in nats, in total and per pair.
 CANDIDATE, LEAST_TOTAL, LEAST_MEAN = r"[A-Za-z0-9+/_=-]{20,}", 15.0, 0.75
 SPANS = "array<struct<start:bigint,k:int,end:bigint>>"
-SAMPLE_DOCS, SAMPLE_STRINGS, SMOOTH = 2000, 3000, 0.5
+SAMPLE_STRINGS, SMOOTH = 3000, 0.5
 
 
 def places(rows: DataFrame, kind: str, pattern: str, group: int, least: int) -> DataFrame:
@@ -55,23 +55,47 @@ def pairs(token: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.char_length(token) - 1), lambda i: F.substring(token, i, F.lit(2)))
 
 
-def model(docs: DataFrame) -> DataFrame:
-    """(pair, ratio): log of the pair's likelihood given its first character, in random strings over ordinary ones."""
-    spark = docs.sparkSession
+def random_pairs(spark: SparkSession) -> DataFrame:
+    """(pair, n1): character pairs of random strings of hex, base64 and upper-case kinds."""
     digest = F.sha2(F.col("id").cast("string"), 256)
     base64 = F.base64(F.unhex(digest))
     random = spark.range(SAMPLE_STRINGS).select(F.explode(F.array(F.substring(digest, 1, 40), base64, F.regexp_replace(F.upper(base64), "[+/=]", ""))).alias("token"))
+    return random.select(F.explode(pairs(F.col("token"))).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n1"))
+
+
+def ordinary_words(docs: DataFrame) -> DataFrame:
+    """(w, c): every word of two letters or more in all documents, with its count."""
     words = F.filter(F.split("text", r"[^A-Za-z]+"), lambda w: F.char_length(w) > 1)
-    sample = docs.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE_DOCS).select(words.alias("w"))
-    joined = F.zip_with("w", F.slice("w", 2, F.lit(1 << 30)), lambda a, b: F.concat_ws("_", a, F.lower(b)))
-    plain = sample.select(F.explode(F.concat("w", joined, F.transform(joined, lambda x: F.replace(F.initcap(F.replace(x, F.lit("_"), F.lit(" "))), F.lit(" "), F.lit(""))))).alias("token"))
-    both = random.select("token", F.lit(1).alias("y")).union(plain.filter(F.char_length("token") > 1).select("token", F.lit(0).alias("y")))
-    counts = both.select("y", F.explode(pairs(F.col("token"))).alias("pair")).groupBy("pair").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
+    return docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+
+
+def ordinary_pairs(words: DataFrame) -> DataFrame:
+    """(pair, n0) of words, as they are and joined with any other in snake and camel case: each is the first and the second of a name once."""
+    w, c, low = F.col("w"), F.col("c").cast("double"), F.lower("w")
+    first, last = F.substring(low, 1, 1), F.substring(low, -1, 1)
+    form = lambda token, n: F.struct(token.alias("token"), n.alias("n"))
+    forms = F.array(form(w, 2 * c), form(low, c), form(F.initcap(low), 2 * c), form(F.concat(last, F.lit("_")), c), form(F.concat(F.lit("_"), first), c))
+    inside = words.select(F.explode(forms).alias("f")).select(F.explode(pairs(F.col("f.token"))).alias("pair"), F.col("f.n").alias("n"))
+    # The hump of a camel-case name: last and first letters meet by their shares.
+    ends = words.groupBy(last.alias("z")).agg(F.sum(c).alias("n"))
+    starts = words.groupBy(F.upper(first).alias("a")).agg(F.sum(c).alias("n"))
+    starts = starts.select("a", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))).alias("share"))  # a row for each letter
+    humps = pair_grid(words.sparkSession).join(F.broadcast(ends), F.col("first") == F.col("z")).join(F.broadcast(starts), F.col("second") == F.col("a"))
+    return inside.unionByName(humps.select("pair", (F.col("n") * F.col("share")).alias("n"))).groupBy("pair").agg(F.sum("n").alias("n0"))
+
+
+def pair_grid(spark: SparkSession) -> DataFrame:
     letters = F.array(*[F.lit(c) for c in ALPHABET])
-    every = spark.range(1).select(F.explode(letters).alias("a")).select("a", F.explode(letters).alias("b")).select("a", F.concat("a", "b").alias("pair"))
-    filled = every.join(F.broadcast(counts), "pair", "left").select("a", "pair", F.coalesce("n1", F.lit(0)).alias("n1"), F.coalesce("n0", F.lit(0)).alias("n0"))
-    w = Window.partitionBy("a")
-    share = lambda n: F.log((F.col(n) + SMOOTH) / (F.sum(n).over(w) + SMOOTH * len(ALPHABET)))
+    return spark.range(1).select(F.explode(letters).alias("first")).select("first", F.explode(letters).alias("second")).select("first", "second", F.concat("first", "second").alias("pair"))
+
+
+def model(docs: DataFrame) -> DataFrame:
+    """(pair, ratio): log of the pair's likelihood given its first character, in random strings over ordinary ones."""
+    words = cut(ordinary_words(docs), "words")
+    filled = pair_grid(docs.sparkSession).join(F.broadcast(random_pairs(docs.sparkSession)), "pair", "left").join(F.broadcast(ordinary_pairs(words)), "pair", "left")
+    w = Window.partitionBy("first")
+    count = lambda n: F.coalesce(F.col(n), F.lit(0))
+    share = lambda n: F.log((count(n) + SMOOTH) / (F.sum(count(n)).over(w) + SMOOTH * len(ALPHABET)))
     return filled.select("pair", (share("n1") - share("n0")).alias("ratio"))
 
 
