@@ -1,26 +1,28 @@
 """Approximate nearest neighbours by largest inner product.
 
-Vectors get one more coordinate so that inner product order is distance order.
-Each block of candidates is projected by a Gaussian (2-stable) matrix to a few
-dimensions and indexed by a kd-tree. A query opens the leaves nearest in the
-projection, verifies their vectors in double precision, and stops once a chi-square test
-says that an unseen vector nearer than its k-th best would almost surely have
-shown up: the squared projected distance over the squared true one has m degrees
-of freedom. Queries and candidates meet block by block; each pair of blocks is a
-row of its own, so a task holds one block of each, and the best of every block
-are merged by a ranked window.
+Vectors get one more coordinate so that inner product order is distance order, and are projected by a Gaussian
+(2-stable) matrix to a few dimensions. One kd-tree over the projections of all candidates deals them to cells: its
+cuts are medians of a sample of at most SAMPLE projected vectors, its boxes hold all rows. Cells are kept as blocks of at
+most about BLOCK vectors; a cell with more, such as one of many equal vectors, has several. A query goes to the cells nearest in
+the projection, in rounds of growing number, and verifies their vectors in double precision, until a chi-square test says
+that an unseen vector nearer than its k-th best would almost surely have shown up: the squared projected distance over
+the squared true one has DIMS degrees of freedom. Only queries and their best k move between rounds.
+
+Vectors whose distances are all alike (random ones of many dimensions) leave little to prune: most cells pass the test, and the
+search verifies most of the table.
 
 Defined cases: null vectors, and those that are zero or hold a null or a
 non-finite component, take no part; a null id takes no part; of rows with the
 same id the one with the smallest vector counts; vectors are only compared with
 those of their own length; ties go to the smaller id; fewer candidates than k
-give fewer rows.
+give fewer rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,8 +34,9 @@ from chronofeat.llm.common import cut, read
 #: Dimensions of the projection; even, for the closed form of the chi-square distribution.
 DIMS = 8
 #: Probability of the stopping test.
-SURE = 0.98
-LEAF, BLOCK, QUERIES = 128, 8192, 256
+SURE = 0.9
+#: Vectors to a block, queries to a block, cells at most, vectors that the tree's cuts are taken from, cells of a query's first round.
+BLOCK, QUERIES, CELLS, SAMPLE, FIRST = 2048, 256, 1 << 16, 1 << 17, 4
 SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -47,71 +50,162 @@ def chi_square_quantile(p: float, m: int) -> float:
     return hi
 
 
-def kd_leaves(points: np.ndarray) -> list[np.ndarray]:
-    """Row numbers of the kd-tree's leaves: the widest side of a box is cut at its median."""
-    todo, leaves = [np.arange(len(points))], []
-    while todo:
-        rows = todo.pop()
-        if len(rows) <= LEAF:
-            leaves.append(rows)
-            continue
-        x = points[rows]
-        axis = int(np.argmax(x.max(0) - x.min(0)))
-        rows = rows[np.argsort(x[:, axis], kind="stable")]
-        todo += [rows[: len(rows) // 2], rows[len(rows) // 2 :]]
-    return leaves
-
-
-def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, inner product) of each query's k best in this block."""
-    norm = np.sqrt((c * c).sum(1))
-    most = norm.max()
-    # Queries are scaled to the longest candidate's norm: that keeps the order of their inner products.
-    scaled = q * (most / np.sqrt((q * q).sum(1)))[:, None]
-    lifted = np.concatenate((c, np.sqrt(np.maximum(most**2 - norm**2, 0))[:, None]), 1)
-    to = np.random.default_rng(seed).standard_normal((c.shape[1] + 1, DIMS))
-    pc, pq = lifted @ to, scaled @ to[:-1]
-    leaves = kd_leaves(pc)
-    lo, hi = (np.stack([f(pc[x], 0) for x in leaves]) for f in (np.min, np.max))
-    width = max(map(len, leaves))
-    member = np.stack([np.pad(x, (0, width - len(x)), constant_values=-1) for x in leaves])
-    bound = np.zeros((len(q), len(leaves)))
-    for d in range(DIMS):
-        gap = np.maximum(np.maximum(lo[None, :, d] - pq[:, None, d], pq[:, None, d] - hi[None, :, d]), 0)
-        bound += gap * gap
-    order = np.argsort(bound, 1, kind="stable")
+class Index:
+    """Projection and kd-tree of the vectors of one length."""
+
+    def __init__(self, dim: int, most: float, rows: int, seed: int = 11):
+        self.dim, self.most, self.rows = dim, most, rows
+        self.to = np.random.default_rng(seed).standard_normal((dim + 1, DIMS))
+        self.cuts: list[tuple[int, float, int, int]] = []  # axis, value, node up to the value, node above; a node under 0 is the cell -1 - node
+
+    def project(self, x: np.ndarray, query: bool = False) -> np.ndarray:
+        norm2 = (x * x).sum(1)
+        if query:  # scaled to the longest candidate's norm, which keeps the order of inner products
+            return x * (self.most / np.sqrt(norm2))[:, None] @ self.to[:-1]
+        return x @ self.to[:-1] + np.sqrt(np.maximum(self.most**2 - norm2, 0))[:, None] * self.to[-1]
+
+    def grow(self, points: np.ndarray) -> None:
+        """Cut the widest side at its median until there are enough cells, or no side is left to cut."""
+        want, cells, todo = min(CELLS, -(-self.rows // BLOCK)), 1, [(np.arange(len(points)), None)]
+        while todo:
+            rows, place = todo.pop(0)
+            x = points[rows]
+            wide = x.max(0) - x.min(0) if len(x) else np.zeros(DIMS)
+            node, axis = -1, int(np.argmax(wide))
+            if cells < want and wide[axis] > 0:
+                value = float(np.median(x[:, axis]))
+                value = value if value < x[:, axis].max() else float(x[:, axis][x[:, axis] < value].max())
+                low = x[:, axis] <= value
+                node, cells = len(self.cuts), cells + 1
+                self.cuts.append([axis, value, -1, -1])
+                todo += [(rows[low], (node, 2)), (rows[~low], (node, 3))]
+            if place:
+                self.cuts[place[0]][place[1]] = node
+        number = 0
+        for cut_ in self.cuts:
+            for side in (2, 3):
+                if cut_[side] < 0:
+                    number, cut_[side] = number + 1, -1 - number
+
+    def cells(self, points: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(points), dtype=np.int64) if self.cuts else np.full(len(points), -1)
+        axis, value, low, high = (np.array(x) for x in zip(*self.cuts, strict=True)) if self.cuts else [np.empty(0)] * 4
+        while (live := np.flatnonzero(node >= 0)).size:
+            at = node[live]
+            node[live] = np.where(points[live, axis[at]] <= value[at], low[at], high[at])
+        return -1 - node
+
+    def bounds(self, points: np.ndarray) -> np.ndarray:
+        """Squared distances of projected queries to the boxes."""
+        out = np.zeros((len(points), len(self.lo)))
+        for d in range(DIMS):
+            gap = np.maximum(np.maximum(self.lo[None, :, d] - points[:, None, d], points[:, None, d] - self.hi[None, :, d]), 0)
+            out += gap * gap
+        return out
+
+
+def by_length(pdf: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame, np.ndarray]]:
+    for dim, rows in pdf.groupby("dim"):
+        yield int(dim), rows, np.stack(rows["embedding"].to_numpy()).astype(float)
+
+
+def indexes(v: DataFrame) -> dict[int, Index]:
+    """An index for each length of vectors."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    found = {r["dim"]: Index(r["dim"], r["most"], r["n"]) for r in v.groupBy("dim").agg(F.max(norm).alias("most"), F.count(F.lit(1)).alias("n")).collect()}
+    if not found:
+        return found
+    share = F.element_at(F.create_map(*[F.lit(x) for d, i in found.items() for x in (d, max(1, -(-i.rows // SAMPLE)))]), F.col("dim"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for dim, _, x in by_length(pdf):
+                yield pd.DataFrame({"dim": dim, "p": list(found[dim].project(x))})
+
+    sample = v.filter(F.pmod(F.xxhash64("vec_id", F.lit(5)), share) == 0).mapInPandas(run, "dim int, p array<double>").toPandas()  # about SAMPLE rows a length at most
+    for dim, index in found.items():
+        p = sample.loc[sample["dim"] == dim, "p"]
+        index.grow(np.stack(p.to_numpy()) if len(p) else np.zeros((0, DIMS)))
+    return found
+
+
+def packed(rows: DataFrame, index: dict[int, Index], ids: str) -> DataFrame:
+    """(dim, cell, part, n, ids, data, lo, hi): one row for each (dim, cell, part) of rows with vectors, and their projections' box."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ids)
+        x = np.stack(pdf["embedding"].to_numpy()).astype("<f8")
+        p = index[int(key[0])].project(x)
+        return pd.DataFrame({"dim": [key[0]], "cell": [key[1]], "part": [key[2]], "n": [len(x)], "ids": [pdf[ids].to_numpy().astype("<i8").tobytes()], "data": [x.tobytes()], "lo": [p.min(0)], "hi": [p.max(0)]})
+
+    return rows.groupBy("dim", "cell", "part").applyInPandas(run, "dim int, cell int, part int, n int, ids binary, data binary, lo array<double>, hi array<double>")
+
+
+def in_parts(rows: DataFrame, size: int, key: str) -> DataFrame:
+    """rows with their part: cells of more than `size` rows are split by hash."""
+    count = rows.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts"))  # at most CELLS rows a length
+    return rows.join(F.broadcast(count), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64(key, F.lit(3)), F.col("parts")).cast("int"))
+
+
+def candidate_blocks(v: DataFrame, index: dict[int, Index]) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for dim, rows, x in by_length(pdf):
+                yield rows.assign(cell=index[dim].cells(index[dim].project(x)))
+
+    placed = v.select("dim", "vec_id", "embedding").mapInPandas(run, "dim int, vec_id long, embedding array<double>, cell int")
+    return packed(in_parts(placed, BLOCK, "vec_id"), index, "vec_id")
+
+
+def routes(queries: DataFrame, index: dict[int, Index], begin: int, end: int) -> DataFrame:
+    """(query_id, dim, embedding, cell) of the cells of ranks begin to end - 1 by distance, of queries whose test has not stopped them. kth: the k-th best inner product so far, or null."""
     limit = chi_square_quantile(SURE, DIMS)
-    best, who = np.full((len(q), k), -np.inf), np.full((len(q), k), -1)
-    live = np.arange(len(q))
-    length = most / np.sqrt((q * q).sum(1))  # from inner products to those of scaled queries
-    for step in range(len(leaves)):
-        leaf = order[live, step]
-        kth = 2 * most**2 - 2 * best[live, -1] * length[live]  # squared distance of the k-th best, infinite while there is none
-        go = ~(bound[live, leaf] > limit * kth)
-        live, leaf = live[go], leaf[go]
-        if not len(live):
-            break
-        rows = member[leaf]
-        dot = np.einsum("qd,qwd->qw", q[live], c[rows])
-        dot[(rows < 0) | (cid[rows] == qid[live][:, None])] = -np.inf
-        s, r = np.concatenate((best[live], dot), 1), np.concatenate((who[live], rows), 1)
-        top = np.lexsort((np.where(np.isinf(s), np.iinfo(np.int64).max, cid[r]), -s), axis=1)[:, :k]
-        best[live], who[live] = np.take_along_axis(s, top, 1), np.take_along_axis(r, top, 1)
-    at, j = np.nonzero(np.isfinite(best))
-    return at, who[at, j], best[at, j]
-
-
-def blocks(vectors: DataFrame, size: int, name: str, count: int) -> DataFrame:
-    """(dim, block, ids, data): vectors dealt by hash to blocks of about `size`."""
-    n = max(1, -(-count // size))
-
-    def pack_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(pdf["vec_id"].to_numpy(), kind="stable")
-        x = np.stack(pdf["embedding"].to_numpy())[order].astype("<f8")
-        return pd.DataFrame({"dim": [key[0]], name: [key[1]], f"{name}_ids": [pdf["vec_id"].to_numpy()[order].astype("<i8").tobytes()], f"{name}_data": [x.tobytes()]})
-
-    dealt = vectors.withColumn("_b", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(n)).cast("int"))
-    return dealt.groupBy("dim", "_b").applyInPandas(pack_block, f"dim int, {name} int, {name}_ids binary, {name}_data binary")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for dim, rows, x in by_length(pdf):
+                i = index[dim]
+                for a in range(0, len(x), QUERIES):
+                    q, some = x[a : a + QUERIES], rows.iloc[a : a + QUERIES]
+                    bound = i.bounds(i.project(q, True))
+                    order = np.argsort(bound, 1, kind="stable")[:, begin:end]
+                    # Squared distance of the k-th best once the query is scaled, infinite while there is none.
+                    kth = some["kth"].to_numpy(dtype=float, na_value=np.nan)
+                    kth = np.where(np.isnan(kth), np.inf, 2 * i.most**2 - 2 * kth * i.most / np.sqrt((q * q).sum(1)))
+                    at, j = np.nonzero(np.take_along_axis(bound, order, 1) <= limit * kth[:, None])
+                    if len(at):
+                        yield pd.DataFrame({"query_id": some["query_id"].to_numpy()[at], "dim": dim, "embedding": list(q[at]), "cell": order[at, j]})
+
+    return queries.mapInPandas(run, "query_id long, dim int, embedding array<double>, cell int")
+
+
+def best_of(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best candidates of each query in a block; ids of candidates ascend."""
+    dot = q @ c.T
+    dot[qid[:, None] == cid[None]] = -np.inf
+    # Products of a matrix may round equal vectors differently: those near the k-th best are computed one by one.
+    slack = 1e-9 * (1 + np.abs(np.where(np.isinf(dot), 0, dot)).max())
+    kth = np.partition(dot, -k, axis=1)[:, -k] if len(cid) > k else np.full(len(qid), -np.inf)
+    at, row = np.nonzero((dot >= kth[:, None] - slack) & ~np.isinf(dot))
+    score = np.einsum("nd,nd->n", q[at], c[row])
+    order = np.lexsort((row, -score, at))
+    at, row, score = at[order], row[order], score[order]
+    first = np.searchsorted(at, at)
+    keep = np.arange(len(at)) - first < k
+    return pd.DataFrame({"query_id": qid[at[keep]], "vec_id": cid[row[keep]], "score": score[keep]})
+
+
+def searched(asked: DataFrame, blocks: DataFrame, index: dict[int, Index], k: int) -> DataFrame:
+    """SCHEMA rows of the routed queries and their cells' blocks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                vectors = lambda b: np.frombuffer(b, "<f8").reshape(-1, r.dim)  # noqa: B023, E731
+                yield best_of(np.frombuffer(r.q_ids, "<i8"), vectors(r.q_data), np.frombuffer(r.ids, "<i8"), vectors(r.data), k)
+
+    q = packed(in_parts(asked, QUERIES, "query_id"), index, "query_id").select("dim", "cell", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    return q.join(blocks.select("dim", "cell", "ids", "data"), ["dim", "cell"]).mapInPandas(run, SCHEMA)
 
 
 def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -121,25 +215,30 @@ def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return v.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", opened: list | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score. `opened` takes the rounds' frames of (query_id, dim, embedding, cell)."""
     v = cut(valid(vectors, id_col, vec_col), "vectors")
-    queries = v.filter(F.col("vec_id") % every == 0)
-    n = v.count()
-    c, q = blocks(v, BLOCK, "c", n), blocks(queries, QUERIES, "q", -(-n // every))
-    met = q.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // BLOCK)) - 1)))).join(c, ["dim", "c"])
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                qid, cid = np.frombuffer(r.q_ids, "<i8"), np.frombuffer(r.c_ids, "<i8")
-                at, found, score = search_block(qid, np.frombuffer(r.q_data, "<f8").reshape(-1, r.dim), cid, np.frombuffer(r.c_data, "<f8").reshape(-1, r.dim), k)
-                yield pd.DataFrame({"query_id": qid[at], "vec_id": cid[found], "score": score})
-
-    # A row is a pair of blocks of some MB: one row a batch keeps the workers small.
-    pairs = met.repartition("dim", "c", "q")
-    found = pairs.mapInPandas(search, SCHEMA)
+    index = indexes(v)
+    found = [v.sparkSession.createDataFrame([], SCHEMA)]
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda: reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    if index:
+        blocks = cut(candidate_blocks(v, index), "blocks")
+        boxes = blocks.groupBy("dim", "cell").agg(*[f(F.col(side)[d]).alias(f"{side}{d}") for side, f in (("lo", F.min), ("hi", F.max)) for d in range(DIMS)]).toPandas()  # at most CELLS rows a length
+        for dim, i in index.items():
+            own = boxes[boxes["dim"] == dim].set_index("cell").reindex(range(len(i.cuts) + 1))
+            i.lo, i.hi = (own[[f"{side}{d}" for d in range(DIMS)]].fillna(np.inf).to_numpy() for side in ("lo", "hi"))
+        queries = v.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "dim", "embedding")
+        begin, end, cells = 0, FIRST, max(len(i.cuts) + 1 for i in index.values())
+        while begin < cells:
+            kth = ranked().filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+            asked = cut(routes(queries.join(kth, "query_id", "left"), index, begin, end), "asked")
+            if opened is not None:
+                opened.append(asked)
+            found = [cut(found[0].unionByName(searched(asked, blocks, index, k)), "found")]
+            found = [cut(ranked().drop("rank"), "best")]
+            begin, end = end, 4 * end
+    return ranked().select("query_id", "rank", "vec_id", "score")
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
