@@ -8,13 +8,13 @@ segment of n tokens follows an extreme-value law, so each segment has a p-value;
 small ones are significant, and their evidence is summed. A logistic curve through binned training
 documents turns evidence into a probability.
 
-The model is bounded: at most KEPT tokens, the ones with the largest z-scores, and five numbers. Token
-counts and calibration cover all labelled training rows; these are the rows whose id has a checksum
+Tokens are counted by their hash, which has BUCKETS values: that bounds the model, whatever the labels' vocabulary, and
+no token that passes the tests is left out. Token counts and calibration cover all labelled training rows; these are the rows whose id has a checksum
 crc32(id as text) that 5 doesn't divide.
 
 Defined cases: a null text is empty, and an empty or wordless text has no evidence; a null id counts as an
 empty text for its checksum; labels that are null are ignored, and of several for an id the largest counts;
-without toxic or without other training rows every score is 0; rows that repeat are scored each; an empty
+without toxic or without other training rows every score is 0; rows that repeat are scored each; very long texts are scored whole; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from chronofeat.llm.common import cut, read, small
 from chronofeat.llm.textnum import U, chunks, words
 
-#: Tokens of the model at most; z-score and documents that a token needs; log-odds are held within the last.
-KEPT, LEAST_Z, LEAST_DOCS, LARGEST = 20_000, 3.0, 3, 6.0
+#: Values of the tokens' hash; z-score and toxic documents that a token needs as evidence; log-odds are held within the last.
+BUCKETS, LEAST_Z, LEAST_DOCS, LARGEST = 1 << 20, 3.0, 3, 6.0
 #: Weight of the prior, in tokens of the smaller class, and what a token without evidence costs.
 PRIOR, COST = 1.0, 0.05
 #: p-value under which a passage is significant.
@@ -46,6 +46,12 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), (F.crc32(key) % 5 == 0).alias("held_out"))
 
 
+def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every token, and the text that it is of."""
+    h, at, _, _ = words(texts, "alnum")
+    return (h % U(BUCKETS)).astype(np.int64), at
+
+
 def token_counts(rows: DataFrame) -> DataFrame:
     """(token, toxic tokens, other tokens, toxic documents) over rows of (text, toxic)."""
 
@@ -53,12 +59,12 @@ def token_counts(rows: DataFrame) -> DataFrame:
         for pdf in batches:
             toxic = pdf["toxic"].to_numpy() > 0
             for start, texts in chunks(pdf["text"].tolist()):
-                h, at, _, _ = words(texts, "alnum")
+                h, at = tokens_of(texts)
                 y = toxic[start + at]
                 token, inverse = np.unique(h, return_inverse=True)
                 seen = np.unique(np.stack((inverse, at), 1)[y], axis=0)[:, 0] if y.any() else np.empty(0, dtype=np.int64)
                 n = len(token)
-                yield pd.DataFrame({"token": token.view(np.int64), "n1": np.bincount(inverse[y], minlength=n), "n0": np.bincount(inverse[~y], minlength=n), "d1": np.bincount(seen, minlength=n)})
+                yield pd.DataFrame({"token": token, "n1": np.bincount(inverse[y], minlength=n), "n0": np.bincount(inverse[~y], minlength=n), "d1": np.bincount(seen, minlength=n)})
 
     counted = rows.select("text", "toxic").mapInPandas(run, "token long, n1 long, n0 long, d1 long")
     return counted.groupBy("token").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.sum("d1").alias("d1"))
@@ -75,7 +81,7 @@ def log_odds(counts: DataFrame) -> dict:
     prior = F.lit(weight) * (F.col("n1") + F.col("n0")) / (n1 + n0)
     a, b = F.col("n1") + prior, F.col("n0") + prior
     scored = counts.withColumn("score", F.log(a / (n1 + weight - a)) - F.log(b / (n0 + weight - b))).withColumn("z", F.col("score") / F.sqrt(1 / a + 1 / b))
-    kept = scored.filter((F.abs("z") >= LEAST_Z) & ((F.col("d1") >= LEAST_DOCS) | (F.col("score") < 0))).orderBy(F.desc(F.abs("z")), "token").limit(KEPT).select("token", "score", "n0").collect()
+    kept = scored.filter((F.abs("z") >= LEAST_Z) & ((F.col("d1") >= LEAST_DOCS) | (F.col("score") < 0))).select("token", "score", "n0").collect()  # at most BUCKETS rows
     kept.sort(key=lambda r: r["token"])
     return model | {"token": np.array([r["token"] for r in kept], dtype=np.int64), "score": np.clip([r["score"] for r in kept], -LARGEST, LARGEST).astype(float), "often": np.array([(r["n0"] + 0.5) / n0 for r in kept]), "rate": 1.0}
 
@@ -120,8 +126,7 @@ def maximal_segments(before: np.ndarray, after: np.ndarray) -> list[tuple[int, i
 
 def segments(model: dict, texts: list[bytes]) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
     """For each text: number of tokens, and (first token, last token, score) of its maximal segments."""
-    h, at, _, _ = words(texts, "alnum")
-    h = h.view(np.int64)
+    h, at = tokens_of(texts)
     s = np.full(len(h), -COST)
     if len(model["token"]):
         where = np.minimum(np.searchsorted(model["token"], h), len(model["token"]) - 1)
