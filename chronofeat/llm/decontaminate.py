@@ -11,9 +11,13 @@ words where they start and end.
 Texts are read twice and never shuffled. Test items are broadcast in slices of at most
 SLICE words; a larger benchmark takes more passes.
 
-Defined cases: null, empty and short texts hold nothing; items under SHORTEST words are too short to be evidence and match
-nothing; null ids are reported as null; rows that repeat are reported each; an empty table gives an empty
-result; other columns are ignored. An item that is found several times in a document is reported once, at its best place.
+Items under WHOLE words are found where all their words stand in a row, and those with fewer words than a seed only in texts of
+just their words; items without words match nothing.
+
+Defined cases: null, empty and wordless texts hold nothing; very long texts are searched whole;
+null ids are reported as null; rows that repeat are reported each; an empty table gives an empty
+result; other columns are ignored. An item that is found several times in a document is reported once, at its best place,
+of equally good ones at that of the smallest diagonal.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from chronofeat.llm.textnum import chunks, ngrams, words
 
 #: Words of a seed; n-grams to a run; seeds that a passage without a rare one needs (one, of items with few); share of a full match.
 SEED, RUN, SEEDS, LEAST = 3, 4, 2, 0.5
-SHORTEST, SLICE = 5, 500_000
+WHOLE, SLICE = 5, 500_000
 FOUND = "doc_id long, item long, score double, first_word long, last_word long, text_words long"
 
 
@@ -41,10 +45,10 @@ def item_words(items: list[str]) -> list[np.ndarray]:
 
 
 def item_grams(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram, item, place) of all n-grams of items that are long enough."""
+    """(gram, item, place) of all n-grams of items."""
     out = []
     for i, h in enumerate(items):
-        if len(h) >= SHORTEST:
+        if len(h) >= SEED:
             g, at = ngrams(h, np.zeros(len(h), dtype=np.int64), SEED)
             out.append((g, np.full(len(g), i), at))
     if not out:
@@ -126,7 +130,7 @@ def passages(h: np.ndarray, at: np.ndarray, n_texts: int, items: list[np.ndarray
         end = min(start[d + 1], start[d] + int(diagonal[b - 1]) + m + slack)
         window = h[begin:end]
         score, x, y = align(items[i], window)
-        if score >= LEAST * 2 * m and score > best.get((d, i), (0,))[0]:
+        if score >= (LEAST if m >= WHOLE else 1) * 2 * m and score > best.get((d, i), (0,))[0]:
             _, _, back = align(items[i][x::-1], window[y::-1])
             best[d, i] = (score, score / (2 * m), int(begin - start[d] + y - back), int(begin - start[d] + y))
     return [(d, i, *v[1:]) for (d, i), v in best.items()]
@@ -144,6 +148,10 @@ def search(docs: DataFrame, texts: list[str]) -> DataFrame:
     rare = np.zeros(len(held), dtype=bool)
     rare[rare_seeds(seed, item, place, often[held])] = True
     seeds_of = np.bincount(item, minlength=len(items))
+    short: dict[bytes, list[int]] = {}
+    for i, x in enumerate(items):
+        if 0 < len(x) < SEED:
+            short.setdefault(x.tobytes(), []).append(i)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -152,6 +160,9 @@ def search(docs: DataFrame, texts: list[str]) -> DataFrame:
                 h, at, _, _ = words(some, "alnum")
                 n = np.bincount(at, minlength=len(some))
                 out += [(ids[begin + d], i, s, a, b, int(n[d])) for d, i, s, a, b in passages(h, at, len(some), items, seed, item, place, rare, seeds_of)]
+                start = np.searchsorted(at, np.arange(len(some) + 1))
+                for d in np.flatnonzero((n > 0) & (n < SEED)) if short else []:
+                    out += [(ids[begin + d], i, 1.0, 0, int(n[d]) - 1, int(n[d])) for i in short.get(h[start[d] : start[d + 1]].tobytes(), [])]
             yield pd.DataFrame(out, columns=["doc_id", "item", "score", "first_word", "last_word", "text_words"]).astype({"doc_id": "Int64"})
 
     return docs.mapInPandas(run, FOUND)
