@@ -1,6 +1,8 @@
 """Operators against brute force on small documents, and on empty tables."""
 
+import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -123,6 +125,55 @@ def test_secrets(spark):
     assert cleaned[901] == "token:secret:abcdefghijklmnop [secret]" and "deadbeef" not in cleaned[902] and cleaned[903] == "akia none"
 
 
+def test_secrets_by_likelihood(spark):
+    """The spans of the models against their counts in plain Python."""
+    rng = random.Random(8)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    some = [r[1] or "" for r in rows()]
+    made = [*some, "alphaBetaGammaThetaKappaOmega and snake_case_of_many_small_words", *("key " + "".join(rng.choice(chars) for _ in range(rng.randrange(15, 50))) + " end" for _ in range(20))]
+    n1, n0, count = Counter(), Counter(), Counter()
+
+    def add(counts, t, n):
+        for i in range(len(t) - 1):
+            counts[t[i : i + 2]] += n
+
+    for i in range(secretscan.SAMPLE_STRINGS):
+        digest = hashlib.sha256(str(i).encode()).hexdigest()
+        b = base64.b64encode(bytes.fromhex(digest)).decode()
+        for t in (digest[:40], b, re.sub("[+/=]", "", b.upper())):
+            add(n1, t, 1)
+    for t in made:
+        count.update(w for w in re.split("[^A-Za-z]+", t) if len(w) > 1)
+    starts, ends = Counter(), Counter()
+    for w, c in count.items():
+        low_w = w.lower()
+        for t, n in ((w, 2 * c), (low_w, c), (low_w.capitalize(), 2 * c), (low_w[-1] + "_", c), ("_" + low_w[0], c)):
+            add(n0, t, n)
+        starts[low_w[0].upper()] += c
+        ends[low_w[-1]] += c
+    for z, c in ends.items():
+        for a, k in starts.items():
+            n0[z + a] += c * k / sum(starts.values())
+    ratio = {}
+    for a in secretscan.ALPHABET:
+        all1, all0 = (sum(n[a + b] for b in secretscan.ALPHABET) + secretscan.SMOOTH * len(secretscan.ALPHABET) for n in (n1, n0))
+        for b in secretscan.ALPHABET:
+            ratio[a + b] = math.log((n1[a + b] + secretscan.SMOOTH) / all1) - math.log((n0[a + b] + secretscan.SMOOTH) / all0)
+    want = {}
+    for i, t in enumerate(made):
+        base = [m.span() for p, g, n in secretscan.BASE.values() for m in re.finditer(p, t) if len(m.group(g)) >= n]
+        spans = []
+        for m in re.finditer(secretscan.CANDIDATE, t):
+            x = [ratio[m[0][k : k + 2]] for k in range(len(m[0]) - 1)]
+            clear = all(e <= m.start() or s >= m.end() for s, e in base)
+            if clear and sum(x) >= secretscan.LEAST_TOTAL and sum(x) / len(x) >= secretscan.LEAST_MEAN:
+                spans.append(f"markov:{m.start()}:{m.end()}")
+        want[i] = spans
+    out = secretscan.scan(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith("markov")] for r in out} == want
+    assert sum(map(len, want.values())) >= 12 and not want[len(some)]
+
+
 def test_licenses(spark):
     notice = "Permission to use, copy, modify, and/or distribute this very software for any purpose with or without a fee is hereby granted"
     extra = ["The MIT license. MIT License; mit-license", "GNU General   Public\nLicense", notice, "Apache", None]
@@ -202,6 +253,25 @@ def test_nearest(spark):
     assert ann.nearest(d.limit(0)).count() == 0
 
 
+def test_nearest_opens_few_cells_of_clusters(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 24))[rng.integers(0, 60, 20_000)] + 0.15 * rng.standard_normal((20_000, 24))
+    d = spark.createDataFrame([(i, v.tolist(), "c") for i, v in enumerate(x)], "vec_id long, embedding array<double>, cell string")
+    opened, got = [], defaultdict(set)
+    for r in ann.nearest(d, opened=opened).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert set(got) == set(range(0, 20_000, 20))
+    assert sum(o.count() for o in opened) <= 0.7 * 1000 * -(-20_000 // ann.BLOCK)
+    hit = 0
+    for q in range(0, 20_000, 200):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argpartition(s, -20)[-20:].tolist()))
+    assert hit >= 0.9 * 20 * 100
+
+
 def test_pretokens_are_those_of_the_library():
     e = pretoken.Encoder(packing.default_tokenizer())
     import random

@@ -1,6 +1,12 @@
 """Operators that learn or align: planted cases, and cases that must stay alone."""
 
+import math
+import os
 import random
+import zlib
+from collections import Counter
+
+import pytest
 
 from chronofeat.llm import decontaminate, toxicity
 from tests.llm.helpers import docs, edited, empty, text
@@ -28,6 +34,53 @@ def test_toxicity(spark):
     assert all(r["passages"] for r in held if r["predicted"])
 
 
+def test_toxicity_against_plain_python(spark):
+    rng = random.Random(31)
+    made = [(i, " ".join(([text(rng, 20)] + (["vileword hatespew " + text(rng, 2) + " nastyterm"] if i % 4 == 0 else [])) * (1 + i % 3))) for i in range(200)] + [(300, ""), (301, None)]
+    d = toxicity.texts_of(spark.createDataFrame(made, "doc_id long, text string"))
+    model = toxicity.train(d, spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int"))
+    seen = lambda t: toxicity.tokens_of([(t or "").encode()])[0].tolist()
+    n, docs_of = {0: Counter(), 1: Counter()}, Counter()
+    for i, t in made[:200]:
+        if zlib.crc32(str(i).encode()) % 5:
+            n[int(i % 4 == 0)].update(seen(t))
+            docs_of.update(set(seen(t)) if i % 4 == 0 else [])
+    total = {y: sum(c.values()) for y, c in n.items()}
+    weight, score = toxicity.PRIOR * min(total.values()), {}
+    for w in n[0] | n[1]:
+        prior = weight * (n[0][w] + n[1][w]) / (total[0] + total[1])
+        a, b = n[1][w] + prior, n[0][w] + prior
+        x = math.log(a / (total[1] + weight - a)) - math.log(b / (total[0] + weight - b))
+        if abs(x) / math.sqrt(1 / a + 1 / b) >= toxicity.LEAST_Z and (docs_of[w] >= toxicity.LEAST_DOCS or x < 0):
+            score[w] = max(-toxicity.LARGEST, min(toxicity.LARGEST, x))
+    assert len(score) >= 3 and {k: round(v, 9) for k, v in score.items()} == {int(k): round(float(v), 9) for k, v in zip(model["token"], model["score"])}
+    got = {r["doc_id"]: r for r in toxicity.score_rows(d, model).collect()}
+    for i, t in made:
+        s = [score.get(w, -toxicity.COST) for w in seen(t)]
+        found = [(a, b, x, -math.log(max(1e-300, 1 - math.exp(-math.exp(model["log_k"] + math.log(len(s)) - model["rate"] * x))))) for a, b, x in brute_segments(s)]
+        strong = [f for f in found if f[3] > -math.log(toxicity.SIGNIFICANT)]
+        e = max([0.0, sum(f[3] for f in strong), *(f[3] for f in found)])
+        p = 1 / (1 + math.exp(-(model["a"] + model["b"] * math.log1p(e))))
+        assert abs(got[i]["score"] - p) < 1e-6 and got[i]["predicted"] == int(got[i]["score"] >= 0.5)
+        assert [(x["first"], x["last"]) for x in got[i]["passages"]] == [f[:2] for f in strong]
+
+
+def test_toxicity_of_held_out_documents(spark):
+    """Measured at this size: 0.98 of held-out documents right, where 0.88 are not toxic."""
+    d = "/root/testdata/sf0.1"
+    if not os.path.exists(d):
+        pytest.skip("no test tables")
+    out = toxicity.op7_toxicity(spark, d).filter("held_out").join(spark.read.parquet(f"{d}/labels.parquet").filter("toxic IS NOT NULL"), "doc_id").select("score", "predicted", "toxic").collect()
+    assert sum(r["predicted"] == r["toxic"] for r in out) >= 0.96 * len(out)
+    order = sorted(out, key=lambda r: r["score"])
+    ties, rank, at = Counter(r["score"] for r in out), {}, 0
+    for x in sorted(ties):
+        rank[x], at = at + (ties[x] + 1) / 2, at + ties[x]
+    n1 = sum(r["toxic"] for r in out)
+    auc = (sum(rank[r["score"]] for r in order if r["toxic"]) - n1 * (n1 + 1) / 2) / (n1 * (len(out) - n1))
+    assert auc >= 0.95
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     d = toxicity.texts_of(docs(spark))
@@ -85,6 +138,14 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(d, bench.limit(0)).count() == 0
 
 
+def test_decontamination_by_short_items(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha beta gamma delta"), (3, "one two"), (4, "solo"), (5, "?!"), (6, None), (None, "one two")], "item_id long, text string")
+    made = [(1, "x Alpha, beta gamma y"), (2, "alpha beta delta gamma"), (3, "alpha beta gamma delta"), (4, "One two."), (5, "one two three"), (6, "solo"), (7, "solo solo"), (8, "?!"), (9, None), (None, "solo")]
+    out = decontaminate.contaminated(spark.createDataFrame(made, "doc_id long, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"], r["first_word"], r["last_word"]) for r in out} == {(1, 1, 1, 3), (3, 1, 0, 2), (3, 2, 0, 3), (4, 3, 0, 1), (4, None, 0, 1), (6, 4, 0, 0), (None, 4, 0, 0)}
+    assert len(out) == 7 and all(r["score"] == 1 for r in out)
+
+
 def test_decontamination_of_edited_copies(spark):
     for seed, copies in ((1, 1), (4, 4), (15, 12)):
         rng = random.Random(seed)
