@@ -26,6 +26,11 @@ def calendar_features(rows: DataFrame, col: str, prefix: str = "") -> DataFrame:
     return rows.withColumns({prefix + k: v for k, v in calendar(F.col(col)).items() if span is not None and span > HOURS[k]})
 
 
+def parse_time(col: str, formats: list[str]) -> Column:
+    """A timestamp by the first format that fits; null where none does."""
+    return F.coalesce(*[F.try_to_timestamp(F.col(col), F.lit(f)) for f in formats])
+
+
 def null_flags(rows: DataFrame, cols: list[str]) -> DataFrame:
     """A 0/1 column for each numeric column that has a null."""
     has = rows.agg(*[F.max(F.col(c).isNull().cast("int")).alias(c) for c in cols]).first()
@@ -56,7 +61,7 @@ def rank_bucket(rows: DataFrame, col: str, name: str, buckets: int = 100) -> Dat
     return rows.join(ends.select(col, F.floor(mean_rank / step).alias(name)), col, "left")
 
 
-def running_total(counts: DataFrame, col: str, blocks: int = 256) -> DataFrame:
+def running_total(counts: DataFrame, col: str) -> DataFrame:
     """counts (col, _n, _rn) with `_upto`, the sum of _n up to the row, by blocks of row numbers."""
     block = F.floor((F.col("_rn") - 1) / F.lit(1 << 16))
     with_block = counts.withColumn("_b", block)

@@ -82,15 +82,3 @@ class Catalog:
     main: str
     tables: dict[str, Table]
     relations: list[Relation]
-
-    def depths(self) -> dict[str, int]:
-        """Distance of each table from main along relations in either direction."""
-        out, edge = {self.main: 0}, [self.main]
-        while edge:
-            nxt = []
-            for r in [*self.relations, *(r.inverse for r in self.relations)]:
-                if r.src in edge and r.dst not in out:
-                    out[r.dst] = out[r.src] + 1
-                    nxt.append(r.dst)
-            edge = nxt
-        return out

@@ -28,6 +28,14 @@ PLAIN = {
 }
 
 
+def register(mode: str, aggregate) -> None:
+    """Add a mode of one's own: a function from a column to an aggregate, which must also run over a window's frame."""
+    if mode in MODES:
+        raise ValueError(f"aggregate {mode!r} is there already")
+    MODES.append(mode)
+    PLAIN[mode] = aggregate
+
+
 def with_default(mode: str, value: Column) -> Column:
     return F.coalesce(value, F.lit(0)) if mode in ZERO else value
 

@@ -30,7 +30,7 @@ def surrogate(rows: DataFrame, numbers: list[str], categories: list[str], y: str
         top = rows.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).first()
         modes[c] = top[0] if top else None
     flags = rows.select((F.col(y) > mean["m"]).cast("int").alias("_y"), *[(F.col(c) > mean[c]).cast("int").alias(c) for c in numbers], *[(F.col(c) == modes[c]).cast("int").alias(c) for c in categories])
-    return auc_table(flags, [*numbers, *categories], "_y").withColumn("distance", F.abs(F.col("auc") - 0.5))
+    return auc_table(flags, [*numbers, *categories], "_y").withColumn("distance", F.abs(F.col("auc") - 0.5)).orderBy(F.desc("distance"), "feature")
 
 
 def train_counts(src: DataFrame, dst: DataFrame, key: tuple[str, str], is_train: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofeat.operators.target_encoding import whole
@@ -15,8 +16,6 @@ def auc_of(rows: DataFrame, score: str, label: str, by: list[str] | None = None)
 
     Ranks come from counts per distinct score, so equal scores share their average rank.
     """
-    from pyspark.sql import Window
-
     by = by or []
     ok = rows.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & (F.abs(F.col(score).cast("double")) < float("inf")) & F.col(label).isNotNull())
     counts = ok.groupBy(*by, F.col(score).alias("_x")).agg(F.sum(F.col(label).cast("double")).alias("_p"), F.count(F.lit(1)).cast("double").alias("_n"))
@@ -37,10 +36,6 @@ def auc_table(rows: DataFrame, features: list[str], label: str) -> DataFrame:
     return auc_of(unpivoted(rows, features, [label]), "value", label, ["feature"])
 
 
-def worth_keeping(auc: Column, least: float = 0.001) -> Column:
-    return F.abs(auc - 0.5) > least
-
-
 def drift(rows: DataFrame, numbers: list[str], categories: list[str], is_test: str) -> DataFrame:
     """Per feature: how well it tells test from training rows, and test over training ratios of deviation and of distinct values. Categories are encoded by the label first."""
     encoded = reduce(lambda d, c: whole(d, c, "_t", 1, f"_e_{c}"), categories, rows.withColumn("_t", F.col(is_test).cast("double")))
@@ -57,11 +52,57 @@ def selected(drifts: DataFrame, most: float = 0.3) -> DataFrame:
     return drifts.withColumn("keep", F.coalesce(F.abs(F.col("auc") - 0.5) < most, F.lit(False)) & ratio("std_ratio") & ratio("nunique_ratio"))
 
 
+def key_hash(key: str) -> Column:
+    """32 bits of the key's MD5."""
+    return F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
+
+
 def stratified_sample(rows: DataFrame, label: str, key: str, n: int) -> DataFrame:
-    """About n rows, by label in proportion, the same ones for the same keys."""
+    """About n rows: of each label its share of n, rounded up; the ones with the smallest hashes of their keys.
+
+    Counts by label and leading bits of the hash say which buckets are taken whole; only the bucket at the edge is ranked.
+    """
+    marked = rows.withColumn("_h", key_hash(key)).withColumn("_b", F.shiftright("_h", 20))
+    counts = marked.groupBy(F.col(label).alias("_label"), F.col("_b").alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    by = Window.partitionBy("_label")
+    want = F.ceil(F.lit(n) * F.sum("_n").over(by) / F.sum("_n").over(Window.partitionBy(F.lit(1))))
+    before = F.coalesce(F.sum("_n").over(by.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edges = counts.select("_label", "_bucket", "_n", want.alias("_want"), before.alias("_before")).filter("_before < _want")  # 4096 rows a label at most
+    near = marked.join(F.broadcast(edges), marked[label].eqNullSafe(edges["_label"]) & (marked["_b"] == edges["_bucket"]))
+    rank = F.row_number().over(Window.partitionBy("_label", "_b").orderBy("_h", key))
+    whole = near.filter("_before + _n <= _want")
+    part = near.filter("_before + _n > _want").withColumn("_r", rank).filter("_before + _r <= _want")
+    return whole.select(*rows.columns).unionByName(part.select(*rows.columns))
+
+
+def random_split(rows: DataFrame, key: str, share: float = 0.2) -> DataFrame:
+    """rows with `is_valid`, for a share of the keys that depends on the key alone."""
+    return rows.withColumn("is_valid", (key_hash(key) < int(share * (1 << 32))).cast("int"))
+
+
+def stratified_split(rows: DataFrame, label: str, key: str, share: float = 0.2) -> DataFrame:
+    """rows with `is_valid`, for the share of each label's rows, rounded up."""
     total = rows.count()
-    share = min(1.0, n / max(1, total))
-    return rows.filter(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = stratified_sample(rows.select(label, key), label, key, -(-int(share * total * 1000) // 1000)).select(F.col(key).alias("_chosen")).distinct()
+    return rows.join(chosen, rows[key] == chosen["_chosen"], "left").withColumn("is_valid", F.col("_chosen").isNotNull().cast("int")).drop("_chosen")
+
+
+def gates(rows: DataFrame, features: list[str], label: str, is_test: str, least: float = 0.0001, most: float = 0.3) -> DataFrame:
+    """(feature, gain, drift, keep): distance from chance of the AUC against the label and against being a test row. Kept are features that tell the label and not the test rows."""
+    far = lambda t, n: t.select("feature", F.abs(F.col("auc") - 0.5).alias(n))
+    both = far(auc_table(rows.filter(F.col(label).isNotNull()), features, label), "gain").join(far(auc_table(rows, features, is_test), "drift"), "feature", "outer")
+    return both.withColumn("keep", F.coalesce((F.col("gain") > least) & (F.col("drift") <= most), F.lit(False)))
+
+
+def feature_limit(train: int, test: int) -> int:
+    """Features that a job of these row counts should make at most."""
+    return int(min(4.5e8 / max(1, train), 8e8 / max(1, train + test), 70 * math.log10(max(1, train)) + 200))
+
+
+def category_limit(rows: DataFrame, y: str) -> DataFrame:
+    """One row: the most values that a category may have in the model, the 0.3th power of the rarer class's rows."""
+    c = rows.agg(F.coalesce(F.sum(y), F.lit(0)).alias("p"), F.coalesce(F.sum(1 - F.col(y)), F.lit(0)).alias("n"))
+    return c.select(F.floor(F.least(F.pow("p", F.lit(0.3)), F.pow("n", F.lit(0.3)))).cast("long").alias("limit"))
 
 
 def time_split(rows: DataFrame, time: str, share: float = 0.2) -> DataFrame:

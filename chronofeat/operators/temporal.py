@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from chronofeat.operators.aggregates import ZERO, grouped, running
 
 HOUR = 3_600
+#: Rows to a block of trailing counts.
+TRAIL_BLOCK = 1 << 15
 
 
 def seconds_since(ts: str | Column, start: Column) -> Column:
@@ -29,10 +31,6 @@ def time_units(seconds: Column) -> dict[str, Column]:
     return {"second": whole, "minute": F.floor(whole / 60), "hour": F.floor(whole / HOUR), "day": F.floor(whole / (24 * HOUR))}
 
 
-def time_bin(seconds: Column, width: Column | float) -> Column:
-    return F.floor(seconds / width)
-
-
 def latest_state(src: DataFrame, dst: DataFrame, src_key: str, dst_key: str, src_time: str, dst_time: str, order: list[str], state: list[str], strict: bool = False) -> DataFrame:
     """src with the columns `state` of the last dst row, by (time, order), that it sees. With strict, only rows of earlier times are seen.
 
@@ -102,6 +100,18 @@ def trailing_count(rows: DataFrame, col: str, order: list[str], neighbours: int,
     """How often the row's value occurs among the last `neighbours` rows of the whole table's order, itself included."""
     from chronofeat.operators.numbering import global_row_number
 
-    numbered = global_row_number(rows, order, "_rn")
-    w = Window.partitionBy(col).orderBy("_rn").rangeBetween(-(neighbours - 1), 0)
-    return numbered.withColumn(name, F.count(F.lit(1)).over(w)).drop("_rn")
+    # Windows hold a value's rows of one block of row numbers, and of the block before those that its first rows look back to.
+    size = max(neighbours, TRAIL_BLOCK)
+    numbered = global_row_number(rows, order, "_rn").withColumn("_b", F.floor(F.col("_rn") / size))
+    tail = F.floor((F.col("_rn") + neighbours - 1) / size) > F.col("_b")
+    both = numbered.withColumn("_own", F.explode(F.when(tail, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    both = both.withColumn("_b", F.when(F.col("_own"), F.col("_b")).otherwise(F.col("_b") + 1))
+    w = Window.partitionBy(col, "_b").orderBy("_rn").rangeBetween(-(neighbours - 1), 0)
+    return both.withColumn(name, F.count(F.lit(1)).over(w)).filter("_own").drop("_rn", "_b", "_own")
+
+
+def sequential_regression(src: DataFrame, dst: DataFrame, key: tuple[str, str], time: tuple[str, str], order: list[str], value: str, name: str) -> DataFrame:
+    """Slope of time on value over the rows of the key seen so far; null for fewer than two different values."""
+    w = Window.partitionBy(key[1]).orderBy(time[1], *order).rowsBetween(Window.unboundedPreceding, 0)
+    states = dst.filter(F.col(key[1]).isNotNull() & F.col(time[1]).isNotNull()).withColumn(name, F.regr_slope(F.col(time[1]), F.col(value)).over(w))
+    return latest_state(src, states, key[0], key[1], time[0], time[1], order, [name])

@@ -35,8 +35,3 @@ def class_limits(rows: DataFrame, y: str) -> DataFrame:
     """One row: rows of the rarer class, and the most values a category may have, the lesser root of both class sizes."""
     c = rows.agg(F.count(F.when(F.col(y) > 0, 1)).alias("p"), F.count(F.when(F.col(y) <= 0, 1)).alias("n"))
     return c.select(F.least("p", "n").alias("minority"), F.sqrt(F.least("p", "n")).alias("max_categories"))
-
-
-def repeats_whole(rows: DataFrame, bag: str) -> DataFrame:
-    """One row: whether whole bags repeat (median count above one), so that the bag acts as a category."""
-    return rows.groupBy(bag).agg(F.count(F.lit(1)).alias("n")).agg((F.median("n") > 1).alias("categorical"))

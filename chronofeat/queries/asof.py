@@ -22,13 +22,13 @@ EVENTS_SQL = f"""e AS (SELECT event_id, user_id, event_type, value, (epoch_us(ts
        floor(floor((epoch_us(ts) - epoch_us(TIMESTAMP '{START}')) / 1e6) / 3600) AS hour FROM events)"""
 
 
-#: Decimals that results are compared to, where rounding errors of higher powers need fewer.
-DIGITS = {"kurtosis": 5, "skewness": 5}
+#: Added before results are rounded to 8 decimals: values that end in 5 at the ninth, such as fractions of powers of two, round alike whatever their last bits.
+TIE = 3e-11
 
 
-def typed(df: DataFrame, names: dict[str, str], keep: list[str], mode: str = "") -> DataFrame:
+def typed(df: DataFrame, names: dict[str, str], keep: list[str]) -> DataFrame:
     """Results as longs where they count and as rounded doubles otherwise."""
-    return df.select(*keep, *[F.col(n).cast("long").alias(n) if t == "long" else (F.round(F.col(n).cast("double"), DIGITS.get(mode or n, 8)) + 0.0).alias(n) for n, t in names.items()])
+    return df.select(*keep, *[F.col(n).cast("long").alias(n) if t == "long" else (F.round(F.col(n).cast("double") + TIE, 8) + 0.0).alias(n) for n, t in names.items()])
 
 
 #: Over l, the ordered list of values that are not null.
@@ -61,13 +61,13 @@ def asof_query(mode: str):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = events(spark, sf_dir)
         out = temporal.asof_aggregate(e.select("event_id", "user_id", "hour"), e, ("user_id", "user_id"), ("hour", "hour"), ["sec", "event_id"], [("feature", column_of(mode), mode)])
-        return typed(out, {"feature": COUNTED.get(mode, "double")}, ["event_id"], mode)
+        return typed(out, {"feature": COUNTED.get(mode, "double")}, ["event_id"])
 
     return q
 
 
 def result_sql(mode: str) -> str:
-    return f"CAST({LIST_SQL[mode]} AS BIGINT)" if mode in COUNTED else f"round(CAST({LIST_SQL[mode]} AS DOUBLE), {DIGITS.get(mode, 8)}) + 0.0"
+    return f"CAST({LIST_SQL[mode]} AS BIGINT)" if mode in COUNTED else f"round(CAST({LIST_SQL[mode]} AS DOUBLE) + {TIE}, 8) + 0.0"
 
 
 def asof_sql(mode: str) -> str:
@@ -82,7 +82,7 @@ def batch_query(mode: str):
         o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
         i = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_quantity", "l_shipdate", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
         out = temporal.aggregate(o, i, ("o_orderkey", "l_orderkey"), [("feature", "l_quantity", mode)], ["l_shipdate", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"])
-        return typed(out, {"feature": COUNTED.get(mode, "double")}, ["o_orderkey"], mode)
+        return typed(out, {"feature": COUNTED.get(mode, "double")}, ["o_orderkey"])
 
     return q
 
@@ -177,7 +177,8 @@ def time_query(kind: str):
         e = events(spark, sf_dir)
         src = e.select("event_id", "user_id", "hour", "sec")
         if kind == "seq_regression":
-            return sequential_regression(src, e)
+            out = temporal.sequential_regression(src, e, ("user_id", "user_id"), ("sec", "sec"), ["event_id"], "value", "slope")
+            return out.select("event_id", F.round("slope", 4).alias("feature"))
         value = {"time_diff": "sec", "max_diff_min": "sec", "time_diff_same_table": "gap"}[kind]
         dst = e.withColumn("gap", F.col("sec") - F.col("value"))
         out = temporal.asof_aggregate(src, dst.withColumnRenamed("sec", "dsec").withColumn("sec", F.col("dsec")), ("user_id", "user_id"), ("hour", "hour"), ["sec", "event_id"], [("hi", value, "max"), ("lo", value, "min")])
@@ -187,16 +188,6 @@ def time_query(kind: str):
     return q
 
 
-def sequential_regression(src: DataFrame, e: DataFrame) -> DataFrame:
-    """Slope of time on value over the rows seen so far, by raw seconds."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("sec", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    states = e.withColumn("slope", F.regr_slope(F.col("sec"), F.col("value")).over(w))
-    out = temporal.latest_state(src, states, "user_id", "user_id", "sec", "sec", ["event_id"], ["slope"])
-    return out.select("event_id", F.round("slope", 4).alias("feature"))
-
-
 TIME_SQL = {
     "time_diff": "max(d.sec) - s.sec",
     "max_diff_min": "max(d.sec) - min(d.sec)",
@@ -226,7 +217,7 @@ def onehot_query(mode: str):
 
 def onehot_sql(mode: str) -> str:
     agg = {"mean": "avg", "sum": "sum"}[mode]
-    cols = ", ".join(f"round(CAST({agg}(CASE WHEN d.event_type = t{i}.v THEN 1.0 ELSE 0 END) AS DOUBLE), 8) + 0.0 AS f{i}" for i in range(3))
+    cols = ", ".join(f"round(CAST({agg}(CASE WHEN d.event_type = t{i}.v THEN 1.0 ELSE 0 END) AS DOUBLE) + {TIE}, 8) + 0.0 AS f{i}" for i in range(3))
     tops = ", ".join(f"t{i} AS (SELECT event_type AS v FROM events GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1 OFFSET {i})" for i in range(3))
     return f"WITH {EVENTS_SQL}, {tops} SELECT s.event_id, {cols} FROM e s JOIN e d ON d.user_id = s.user_id AND d.hour <= s.hour, t0, t1, t2 GROUP BY s.event_id"
 

@@ -38,7 +38,7 @@ def read_catalog(spark: SparkSession, folder: str, main: str, tables: dict[str,
 
 def model_matrix(rows: DataFrame, row: str, numbers: list[str], categories: list[str], most_categories: float) -> DataFrame:
     """Row key, numbers, and those categories that have at most so many values; times and bags stay out."""
-    sizes = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in categories]).first() if categories else {}
+    sizes = rows.agg(*[F.count_distinct(c).alias(c) for c in categories]).first() if categories else {}
     return rows.select(row, *numbers, *[c for c in categories if sizes[c] <= most_categories])
 
 
