@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofeat.queries import asof, encodings, features
+from chronofeat.queries import asof, encodings, features, planner
 
-MODULES = [asof, encodings, features]
+MODULES = [asof, encodings, features, planner]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,14 @@ class Table:
 
 @dataclass
 class Catalog:
+    """target: the main table's column of 0 and 1, null where it is unknown."""
+
     main: str
     tables: dict[str, Table]
     relations: list[Relation]
+    target: str | None = None
+
+    def replaced(self, **frames: DataFrame) -> Catalog:
+        """The catalog with other frames for some tables."""
+        tables = {n: Table(frames.get(n, t.frame), t.row, t.time, t.roles) for n, t in self.tables.items()}
+        return Catalog(self.main, tables, self.relations, self.target)

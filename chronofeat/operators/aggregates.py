@@ -29,7 +29,7 @@ PLAIN = {
 
 
 def register(mode: str, aggregate) -> None:
-    """Add a mode of one's own: a function from a column to an aggregate, which must also run over a window's frame."""
+    """Add a mode of one's own: a function from a column to one aggregate expression, which also runs over a window's frame."""
     if mode in MODES:
         raise ValueError(f"aggregate {mode!r} is there already")
     MODES.append(mode)

@@ -15,40 +15,54 @@ from pyspark.sql import functions as F
 
 from chronofeat.model import Catalog, Path, Table
 from chronofeat.operators import temporal
+from chronofeat.operators.aggregates import COUNTED, ORDERED
 from chronofeat.plans import paths
 
 
 @dataclass(frozen=True)
 class Feature:
+    """kind, path and column say what is computed; `detail` is what else a kind needs, such as a value or a second column."""
+
     kind: str
     path: Path
     column: str | None
     first: str
     later: str
     cost: float
+    detail: tuple = ()
 
     @property
     def name(self) -> str:
-        return "__".join([self.kind, self.path.name.replace(".", "_"), self.column or "rows"])
-
-
-#: kind: mode of the deepest to-many hop, mode above it, roles of columns, base cost.
-KINDS: dict[str, tuple[str, str, str, float]] = {
-    "count": ("sum", "sum", "", 1.1),
-    "duplicates": ("duplicates", "max", "c", 0.5),
-    "last": ("last", "last", "n", 1.0),
-    "max": ("max", "max", "n", 0.9),
-    "min": ("min", "min", "n", 1.6),
-    "mean": ("mean", "mean", "n", 0.2),
-    "mean_variance": ("variance", "mean", "n", 0.7),
-    "sum_variance": ("variance", "sum", "n", 1.8),
-    "median": ("mean", "median", "n", 1.6),
-    "mode": ("mode", "mode", "c", 1.2),
-    "nunique": ("nunique", "max", "c", 0.5),
-    "sum": ("rolling_sum10", "max", "n", 0.6),
+        return "__".join([self.kind, self.path.name.replace(".", "_"), self.column or "rows", *map(str, self.detail)])
+
+
+#: kind: mode of the deepest to-many hop, mode above it, roles of columns.
+KINDS: dict[str, tuple[str, str, str]] = {
+    "count": ("sum", "sum", ""),
+    "duplicates": ("duplicates", "max", "c"),
+    "last": ("last", "last", "nct"),
+    "max": ("max", "max", "nt"),
+    "min": ("min", "min", "nt"),
+    "mean": ("mean", "mean", "n"),
+    "mean_variance": ("variance", "mean", "n"),
+    "sum_variance": ("variance", "sum", "n"),
+    "median": ("mean", "median", "n"),
+    "mode": ("mode", "mode", "c"),
+    "nunique": ("nunique", "max", "c"),
+    "sum": ("rolling_sum10", "max", "n"),
 }
+
+
+def cost(path: Path, *modes: str) -> float:
+    """Exchanges that a feature needs: one a hop, and a sort more for modes that depend on order or on distinct values."""
+    sorts = sum(m in ORDERED or m in COUNTED or m in ("median", "mode_ratio") for m in modes)
+    return len(path.relations) + sorts / 2
+
+
 Rule = Callable[[Path, Table], list[Feature]]
 RULES: list[Rule] = []
+#: Kinds that are no plain aggregate or lookup: (catalog, feature) to main's row key and the feature.
+BUILDERS: dict[str, Callable[[Catalog, Feature], DataFrame]] = {}
 
 
 def rule(f: Rule) -> Rule:
@@ -57,14 +71,24 @@ def rule(f: Rule) -> Rule:
     return f
 
 
+def builder(*kinds: str):
+    """Register how features of these kinds are built."""
+
+    def add(f):
+        BUILDERS.update(dict.fromkeys(kinds, f))
+        return f
+
+    return add
+
+
 @rule
 def aggregates(path: Path, table: Table) -> list[Feature]:
     if not path.to_many:
         return []
     out = []
-    for kind, (first, later, roles, cost) in KINDS.items():
+    for kind, (first, later, roles) in KINDS.items():
         columns = [None] if not roles else [c for c, r in table.roles.items() if r in roles]
-        out += [Feature(kind, path, c, first, later, cost * len(path.relations)) for c in columns]
+        out += [Feature(kind, path, c, first, later, cost(path, first, *([later] if path.to_many > 1 else []))) for c in columns]
     return out
 
 
@@ -73,20 +97,24 @@ def identify(path: Path, table: Table) -> list[Feature]:
     """Columns at the end of to-one paths are looked up."""
     if not path.relations or path.to_many:
         return []
-    return [Feature("identify", path, c, "last", "last", 0.0) for c, r in table.roles.items() if r in "nc"]
+    return [Feature("identify", path, c, "last", "last", cost(path)) for c, r in table.roles.items() if r in "nct"]
 
 
-def candidates(catalog: Catalog, most_hops: int = 3) -> list[Feature]:
-    """All features of all paths, cheapest first."""
+def candidates(catalog: Catalog, most_hops: int = 3, most: int | None = None) -> list[Feature]:
+    """Features of all paths, cheapest first; at most so many."""
     found = [f for p in paths.search(catalog, most_hops) for r in RULES for f in r(p, catalog.tables[p.end])]
-    return sorted(found, key=lambda f: (f.cost, f.name))
+    return sorted(found, key=lambda f: (f.cost, f.name))[:most]
 
 
 def build(catalog: Catalog, features: list[Feature]) -> DataFrame:
     """main's row key with a column for each feature. Features of one hop share one pass over its tables."""
     main = catalog.tables[catalog.main]
     out = main.frame.select(main.row)
-    for path, group in groupby(sorted(features, key=lambda f: f.path.name), key=lambda f: f.path):
+    for f in features:
+        if f.kind in BUILDERS:
+            out = out.join(BUILDERS[f.kind](catalog, f).select(main.row, f.name), main.row, "left")
+    plain = [f for f in features if f.kind not in BUILDERS]
+    for path, group in groupby(sorted(plain, key=lambda f: f.path.name), key=lambda f: f.path):
         some = list(group)
         if len(path.relations) == 1:
             part = one_hop(catalog, path, some)
