@@ -12,6 +12,7 @@ from chronofeat.operators import target_encoding as te
 from chronofeat.plans import features as plan
 from chronofeat.plans import manipulations, paths
 from chronofeat.queries import encodings
+from chronofeat.queries.asof import TIE
 from chronofeat.queries.encodings import O, orders
 from chronofeat.sources.tables import model_matrix, read_catalog
 
@@ -93,7 +94,7 @@ def timed_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     rel = (Relation("orders", "o_custkey", "customer", "c_custkey", TO_ONE), Relation("customer", "c_custkey", "visits", "v_custkey", TO_MANY))
     t = {"orders": Table(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderdate"), "customer": Table(table(spark, sf_dir, "customer"), "c_custkey"), "visits": Table(visits(spark, sf_dir), "event_id", "v_time")}
     out = paths.run(Catalog("orders", t, list(rel)), Path("orders", rel), "value", "mean", "mean")
-    return out.select("o_orderkey", r6("feature").alias("feature"))
+    return out.select("o_orderkey", r6(F.col("feature") + TIE).alias("feature"))
 
 
 def inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +218,7 @@ SQL = {
     "planned_one_hot": "SELECT o_orderkey, round(avg((l_returnflag = 'R')::INT), 6) + 0.0 AS share, coalesce(sum((l_returnflag = 'R')::INT), 0)::DOUBLE AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
     "planned_time_features": "SELECT o_orderkey, round(max(epoch(l_shipdate)) - min(epoch(l_shipdate)), 6) + 0.0 AS span, round(max(epoch(l_shipdate)) - epoch(any_value(o_orderdate)), 6) + 0.0 AS since, max(-86400.0 * l_linenumber)::DOUBLE AS gap FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
     "planned_slope": "SELECT s.o_orderkey, round(CASE WHEN var_pop(d.o_totalprice) > 0 THEN regr_slope(epoch(d.o_orderdate) - 8e8, d.o_totalprice) END, 1) + 0.0 AS feature FROM orders s JOIN orders d ON d.o_custkey = s.o_custkey AND d.o_orderdate <= s.o_orderdate GROUP BY 1",
-    "path_timed_two_hops": f"WITH {VISITS} SELECT o_orderkey, round(avg(value), 6) + 0.0 AS feature FROM orders LEFT JOIN v ON v_custkey = o_custkey AND v_time <= o_orderdate GROUP BY 1",
+    "path_timed_two_hops": f"WITH {VISITS} SELECT o_orderkey, round(avg(value) + {TIE}, 6) + 0.0 AS feature FROM orders LEFT JOIN v ON v_custkey = o_custkey AND v_time <= o_orderdate GROUP BY 1",
     "path_inherited_time": f"WITH {VISITS}, d AS (SELECT l_suppkey, o_orderdate, max(o_totalprice) AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2) SELECT event_id, round(max(p), 6) + 0.0 AS feature FROM v LEFT JOIN d ON l_suppkey = event_id % 10 + 1 AND o_orderdate <= v_time GROUP BY 1",
     "path_two_modes": TWO_MODES_SQL,
     "parse_time": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN epoch(date_trunc('second', ts))::BIGINT WHEN 1 THEN epoch(date_trunc('day', ts))::BIGINT END AS seconds FROM events",
