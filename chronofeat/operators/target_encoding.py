@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Decay times to a stretch of exponential(); e to twice that is still a double.
+FADE = 300.0
+
 
 def global_mean(rows: DataFrame, y: str) -> DataFrame:
     return F.broadcast(rows.agg(F.avg(y).alias("_m")))  # one row
@@ -66,21 +69,21 @@ def temporal(rows: DataFrame, c: str, y: str, time: str, k: float, name: str) ->
 def exponential(rows: DataFrame, c: str, y: str, time: str, beta: float, k: float, name: str) -> DataFrame:
     """Like temporal(), with sums and counts that decay by exp(-beta x time since).
 
-    Sums over bins are kept relative to a bin's own time by folding them in order, so no exponent grows with the span.
+    Time is cut into stretches of FADE decay times. Sums run within a category's stretch, relative to its start, and the total of the
+    stretch before is added; what is older has faded to nothing, so no exponent grows with the span and no category is one group.
     """
-    bins = rows.filter(F.col(c).isNotNull()).groupBy(c, time).agg(F.coalesce(F.sum(y), F.lit(0.0)).alias("_s"), F.count(y).cast("double").alias("_n"))
-    listed = bins.groupBy(c).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col("_s").alias("s"), F.col("_n").alias("n")))).alias("_l"))
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n"), F.lit(None).cast("double").alias("t"), F.array().cast("array<struct<t:double,s:double,n:double>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        now = x["t"].cast("double")
-        fade = F.coalesce(F.exp(-beta * (now - a["t"])), F.lit(1.0))
-        s, n = a["s"] * fade, a["n"] * fade
-        return F.struct((s + x["s"]).alias("s"), (n + x["n"]).alias("n"), now.alias("t"), F.concat(a["out"], F.array(F.struct(now.alias("t"), s.alias("s"), n.alias("n")))).alias("out"))
-
-    past = listed.select(c, F.explode(F.aggregate("_l", start, step, lambda a: a["out"])).alias("_p")).select(F.col(c).alias("_c"), F.col("_p.t").alias("_t"), F.col("_p.s").alias("_s"), F.col("_p.n").alias("_n"))
+    bins = rows.filter(F.col(c).isNotNull() & F.col(time).isNotNull()).groupBy(c, time).agg(F.coalesce(F.sum(y), F.lit(0.0)).alias("_s"), F.count(y).cast("double").alias("_n"))
+    x = beta * F.col(time).cast("double")
+    bins = bins.withColumn("_b", F.floor(x / FADE)).withColumn("_x", x - F.col("_b") * FADE)
+    grown = bins.withColumns({v: F.col(v) * F.exp("_x") for v in ("_s", "_n")})
+    before = Window.partitionBy(c, "_b").orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
+    own = grown.select(c, time, "_b", "_x", *[F.coalesce(F.sum(v).over(before), F.lit(0.0)).alias(v) for v in ("_s", "_n")])
+    last = grown.groupBy(F.col(c).alias("_c"), (F.col("_b") + 1).alias("_next")).agg(F.sum("_s").alias("_ls"), F.sum("_n").alias("_ln"))
+    joined = own.join(last, (own[c] == last["_c"]) & (own["_b"] == last["_next"]), "left")
+    faded = lambda v, w: F.exp(-F.col("_x")) * F.col(v) + F.exp(-F.col("_x") - FADE) * F.coalesce(F.col(w), F.lit(0.0))
+    past = joined.select(F.col(c).alias("_c"), F.col(time).alias("_t"), faded("_s", "_ls").alias("_s"), faded("_n", "_ln").alias("_n"))
     base = with_mean(rows, y)
-    t = base.join(past, (base[c] == past["_c"]) & (base[time].cast("double") == past["_t"]), "left")
+    t = base.join(past, (base[c] == past["_c"]) & (base[time] == past["_t"]), "left")
     value = F.when(F.coalesce("_n", F.lit(0.0)) == 0, F.col("_m")).otherwise(smooth(F.col("_s"), F.col("_n"), F.col("_m"), k))
     return t.withColumn(name, F.when(F.col(c).isNotNull(), value)).drop("_c", "_t", "_s", "_n", "_m")
 

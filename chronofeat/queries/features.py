@@ -212,20 +212,25 @@ def fit_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers = [n for n in names if n != "identify__orders_customer_c_custkey__c_mktsegment"]
     rows = o.select("o_orderkey", "y", "bin", "o_totalprice").join(out.select("o_orderkey", *numbers), "o_orderkey")
     feats = [*numbers, "bin", "o_totalprice"]
-    models = learn.fit_bagged(rows, "o_orderkey", "y", feats, folds=2, iterations=5)
+    models = learn.fit_bagged(rows, "o_orderkey", "y", feats)
     return learn.predict(models, rows.filter("y IS NULL"), feats).select("o_orderkey", "prediction")
 
 
+def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out AUC of two depths of trees, over stratified folds and over folds of time."""
+    o = encodings.orders(spark, sf_dir)
+    grid, out = [{"maxDepth": 2, "maxIter": 8}, {"maxDepth": 4, "maxIter": 8}], []
+    for kind, time in (("stratified", None), ("time", "bin")):
+        out += [(kind, p["maxDepth"], float(a)) for p, a in learn.search(o, "o_orderkey", "y", ["o_totalprice", "bin", "grp"], grid, 3, time)]
+    return spark.createDataFrame(out, "folds string, depth int, auc double")
+
+
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly windows per event type by a stream that is run until its input ends."""
-    import uuid
-
-    from chronofeat.streaming.events import read_stream, windowed
+    from chronofeat.streaming.events import read_stream, run_to_end, windowed
 
-    name = f"hours_{uuid.uuid4().hex}"
     s = windowed(read_stream(spark, sf_dir, table(spark, sf_dir, "events"), "events.parquet"), "event_type", "ts", "value")
-    s.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("event_type", F.unix_seconds("start").alias("start"), "n", r6(F.col("total")).alias("total"), r6(F.col("mean")).alias("mean"), "last")
+    return run_to_end(s, ["event_type", "start"]).select("event_type", F.unix_seconds("start").alias("start"), "n", r6(F.col("total")).alias("total"), r6(F.col("mean")).alias("mean"), "last")
 
 
 O = encodings.O
@@ -280,6 +285,7 @@ QUERIES = {
     "planned_candidates": planned,
     "batched_features": batched,
     "fit_predict": fit_predict,
+    "model_search": searched,
     "stream_hourly": stream,
 }
 SQL = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -10,3 +12,16 @@ def build(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSe
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where none is set and Spark runs in one process, as in tests."""
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = getattr(shared_folder, "own", None)
+        if path is None:
+            path = shared_folder.own = "file://" + tempfile.mkdtemp(prefix="chronofeat-")
+    return path.rstrip("/")
