@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronofeat.session import shared_folder
+
 # Workers that lack the package on their path get its functions with the task.
 cloudpickle.register_pickle_by_value(sys.modules["chronofeat"])
 
@@ -21,20 +22,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(shared_dir, "own", None)
-        if path is None:
-            path = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="chronofeat-")
-    return path.rstrip("/")
-
-
 def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and lost executors cost only re-reads."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofeat.llm.common import shared_dir
+from chronofeat.session import shared_folder
 
 CRLF = "\r\n"
 
@@ -72,7 +72,7 @@ def record_bytes() -> F.Column:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read_archive(spark, path).select(
         F.col("id").alias("page_id"),

@@ -253,9 +253,10 @@ def test_nearest(spark):
     assert ann.nearest(d.limit(0)).count() == 0
 
 
-def test_nearest_opens_few_cells_of_clusters(spark):
+def test_nearest_opens_few_cells_of_clusters(spark, monkeypatch):
     import numpy as np
 
+    monkeypatch.setattr(ann, "BLOCK", 256)
     rng = np.random.default_rng(3)
     x = rng.standard_normal((60, 24))[rng.integers(0, 60, 20_000)] + 0.15 * rng.standard_normal((20_000, 24))
     d = spark.createDataFrame([(i, v.tolist(), "c") for i, v in enumerate(x)], "vec_id long, embedding array<double>, cell string")
