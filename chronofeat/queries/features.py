@@ -233,6 +233,19 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_end(s, ["event_type", "start"]).select("event_type", F.unix_seconds("start").alias("start"), "n", r6(F.col("total")).alias("total"), r6(F.col("mean")).alias("mean"), "last")
 
 
+PLAN_SQL = """WITH p(path, hops, many, tab, timed) AS (VALUES ('orders', 0, false, 'orders', true), ('orders_customer_c_custkey', 1, false, 'customer', false), ('orders_customer_c_custkey_nation_n_nationkey', 2, false, 'nation', false),
+  ('orders_lineitem_l_orderkey', 1, true, 'lineitem', false), ('orders_orders_o_custkey', 1, true, 'orders', true)),
+c(tab, col, role) AS (VALUES ('orders', 'o_totalprice', 'n'), ('orders', 'o_orderstatus', 'c'), ('customer', 'c_acctbal', 'n'), ('customer', 'c_mktsegment', 'c'), ('nation', 'n_name', 'c'), ('lineitem', 'l_quantity', 'n'), ('lineitem', 'l_returnflag', 'c')),
+k(kind, first, later, role, more) AS (VALUES ('duplicates', 'duplicates', 'max', 'c', 0.5), ('last', 'last', 'last', 'nc', 0.5), ('max', 'max', 'max', 'n', 0), ('min', 'min', 'min', 'n', 0), ('mean', 'mean', 'mean', 'n', 0), ('mean_variance', 'variance', 'mean', 'n', 0),
+  ('sum_variance', 'variance', 'sum', 'n', 0), ('median', 'mean', 'median', 'n', 0), ('mode', 'mode', 'mode', 'c', 0.5), ('nunique', 'nunique', 'max', 'c', 0.5), ('sum', 'rolling_sum10', 'max', 'n', 0.5)),
+v(tab, col, val) AS (SELECT DISTINCT 'lineitem', 'l_returnflag', l_returnflag FROM lineitem UNION ALL SELECT DISTINCT 'orders', 'o_orderstatus', o_orderstatus FROM orders),
+a AS (SELECT kind || '__' || path || '__' || col AS name, kind, first, later, hops + more AS cost FROM p JOIN c USING (tab) JOIN k ON contains(k.role, c.role) WHERE many
+UNION ALL SELECT 'count__' || path || '__rows', 'count', 'sum', 'sum', hops FROM p WHERE many
+UNION ALL SELECT 'identify__' || path || '__' || col, 'identify', 'last', 'last', hops FROM p JOIN c USING (tab) WHERE NOT many AND hops > 0
+UNION ALL SELECT 'one_hot_' || m || '__' || path || '__' || col || '__' || val, 'one_hot_' || m, m, m, hops FROM p JOIN v USING (tab), (VALUES ('mean'), ('sum')) t(m) WHERE many
+UNION ALL SELECT 'sequential_regression__' || path || '__' || col, 'sequential_regression', 'last', 'last', hops + 0.5 FROM p JOIN c USING (tab) WHERE many AND timed AND role = 'n'
+UNION ALL SELECT CASE role WHEN 'c' THEN 'target' ELSE 'hist' END || '_encoding__' || path || '__' || col, CASE role WHEN 'c' THEN 'target' ELSE 'hist' END || '_encoding', 'mean', 'mean', hops + 0.5 FROM p JOIN c USING (tab))
+SELECT name, kind, first, later, cost::DOUBLE AS cost FROM a"""
 O = encodings.O
 BOW_SQL = f"""WITH {BAGS} SELECT user_id, day, len(l) AS length, len(list_distinct(l)) AS nunique, len(l) - len(list_distinct(l)) AS duplicates,
 (SELECT w FROM c WHERE c.user_id = b.user_id AND c.day = b.day ORDER BY n DESC, w LIMIT 1) AS mode, (SELECT max(n) FROM c WHERE c.user_id = b.user_id AND c.day = b.day) AS max_count, (SELECT min(n) FROM c WHERE c.user_id = b.user_id AND c.day = b.day) AS min_count FROM b"""
@@ -319,6 +332,7 @@ SELECT f AS feature, round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) /
     "self_mm_discovery": " UNION ALL ".join(f"SELECT '{c}' AS feature, count(DISTINCT {c}) > sqrt(count(*)) AND count(DISTINCT {c}) < count(*) / 2.0 AS related FROM orders" for c in ("o_custkey", "o_orderstatus", "o_orderkey")),
     "class_limits": f"WITH {O}, c AS (SELECT least(count(*) FILTER (y > 0), count(*) FILTER (y <= 0)) AS k FROM o) SELECT k AS minority, round(sqrt(k), 6) + 0.0 AS max_categories FROM c",
     "union_train_test": "SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderstatus = 'F')::INT END AS y, (o_orderkey % 5 = 0)::INT AS is_test FROM orders",
+    "planned_candidates": PLAN_SQL,
     "batched_features": """WITH l AS (SELECT l_orderkey, avg(l_quantity) AS a, max(l_quantity) AS b, count(DISTINCT l_returnflag) AS c FROM lineitem GROUP BY 1),
 s AS (SELECT s.o_orderkey, count(*) AS n, list(d.o_totalprice ORDER BY d.o_orderdate, d.o_orderkey) AS p FROM orders s JOIN orders d ON d.o_custkey = s.o_custkey AND d.o_orderdate <= s.o_orderdate GROUP BY 1)
 SELECT o_orderkey, round(c_acctbal, 6) + 0.0 AS acctbal, c_mktsegment AS segment, round(a, 6) + 0.0 AS mean_quantity, round(b, 6) + 0.0 AS max_quantity, coalesce(c, 0)::DOUBLE AS flags, n::DOUBLE AS orders_so_far, round(list_sum(p[-10:]), 6) + 0.0 AS last_ten
