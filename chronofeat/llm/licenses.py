@@ -4,8 +4,9 @@ Words of a text are joined, as rolling k-gram hashes, to the positions of licens
 Each match votes for a diagonal (place in the text less place in the template). Votes are
 counted by diagonal; neighbouring diagonals of one template, which insertions and
 deletions part, are merged; a merged span is verified by the share of the template's words that its
-matched k-grams cover. Short phrases are templates too: they hold where one diagonal has all their
-k-grams. Matches compare the words themselves besides their hashes, so no label rests on a hash alone.
+matched k-grams cover. Templates are whole license texts, file headers and single notices. Short phrases are templates too: they hold where one diagonal has all their
+k-grams. Phrases have k-grams of two words and notices of four; one join by the hash of the first two words serves both, and
+matches compare all words of the k-gram, so no label rests on a hash.
 
 The templates are a table of fixed size, which is broadcast; texts are never shuffled.
 
@@ -52,6 +53,19 @@ NOTICES = [
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 ]
 
+# Whole license texts and file headers, by their words, with their labels.
+TEXTS = [
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", "mit"),
+    ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", "apache"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program", "gpl"),
+    ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details", "lgpl"),
+    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage", "bsd"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software", "isc"),
+    ("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "mpl"),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required altered source versions must be plainly marked as such and must not be misrepresented as being the original software this notice may not be removed or altered from any source distribution", "zlib"),
+    ("this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors", "unlicense"),
+]
+
 #: Words of a k-gram for phrases and for notices; diagonals so near are merged; share of a notice's words that must be found.
 PHRASE_K, NOTICE_K, NEAR, COVERED = 2, 4, 3, 0.6
 
@@ -59,7 +73,7 @@ PHRASE_K, NOTICE_K, NEAR, COVERED = 2, 4, 3, 0.6
 def templates(spark: SparkSession) -> DataFrame:
     """One row per k-gram of a template: its first two words' hash, its words, its place."""
     rows = []
-    for n, (text, label, k) in enumerate([(*p, PHRASE_K) for p in PHRASES] + [(*p, NOTICE_K) for p in NOTICES]):
+    for n, (text, label, k) in enumerate([(*p, PHRASE_K) for p in PHRASES] + [(*p, NOTICE_K) for p in NOTICES + TEXTS]):
         w = text.split()
         for i in range(len(w) - k + 1):
             rows.append((n, label, k == PHRASE_K, len(w), i, w[i], w[i + 1], w[i + 2] if k > 2 else None, w[i + 3] if k > 2 else None))
@@ -121,7 +135,7 @@ def _values(rows, k: int) -> str:
 
 SQL = {
     "op1_licenses": rf"""
-WITH t AS (SELECT n + 100 * (4 - k) AS n, string_split(x, ' ') AS x, label, k FROM (VALUES {_values(PHRASES, 2)}, {_values(NOTICES, 4)}) v(n, x, label, k)),
+WITH t AS (SELECT n + 100 * (4 - k) AS n, string_split(x, ' ') AS x, label, k FROM (VALUES {_values(PHRASES, 2)}, {_values(NOTICES + TEXTS, 4)}) v(n, x, label, k)),
 tg AS (SELECT n, label, k, len(x) AS l, unnest(range(0, len(x) - k + 1)) AS p, x FROM t),
 tk AS (SELECT n, label, k, l, p, array_to_string(x[p + 1:p + k], ' ') AS g FROM tg),
 w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS a FROM documents),
