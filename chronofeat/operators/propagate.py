@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofeat.operators.selection import auc_table
@@ -22,15 +22,33 @@ def pseudo_target(src: DataFrame, dst: DataFrame, key: tuple[str, str], y: str,
     return out.withColumn(name, value).drop("_k", "_s", "_n", "_m")
 
 
-def surrogate(rows: DataFrame, numbers: list[str], categories: list[str], y: str) -> DataFrame:
-    """(feature, auc, distance): each column made 0/1 (category: its mode; number: above the median) against the known pseudo target above its mean, most telling first."""
-    mean = rows.agg(F.avg(y).alias("m"), *[F.median(c).alias(c) for c in numbers]).first()
-    modes = {}
+def halves(rows: DataFrame, numbers: list[str], categories: list[str]) -> dict[str, Column]:
+    """Each column made 0/1: a number is above its median, a category its mode, ties to the smaller value. Null stays null."""
+    middle = rows.agg(F.count(F.lit(1)), *[F.median(c).alias(c) for c in numbers]).first()
+    flags = {c: (F.col(c) > middle[c]).cast("int") for c in numbers}
     for c in categories:
         top = rows.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).first()
-        modes[c] = top[0] if top else None
-    flags = rows.select((F.col(y) > mean["m"]).cast("int").alias("_y"), *[(F.col(c) > mean[c]).cast("int").alias(c) for c in numbers], *[(F.col(c) == modes[c]).cast("int").alias(c) for c in categories])
-    return auc_table(flags, [*numbers, *categories], "_y").withColumn("distance", F.abs(F.col("auc") - 0.5)).orderBy(F.desc("distance"), "feature")
+        flags[c] = (F.col(c) == F.lit(top[0] if top else None)).cast("int")
+    return flags
+
+
+def ranked(rows: DataFrame, flags: dict[str, Column], y: str) -> DataFrame:
+    mean = rows.agg(F.avg(y)).first()[0]
+    told = rows.select((F.col(y) > F.lit(mean)).cast("int").alias("_y"), *[f.alias(c) for c, f in flags.items()])
+    # Rounded, so that columns which tell as much tie whatever the order of sums.
+    return auc_table(told, list(flags), "_y").withColumn("distance", F.abs(F.col("auc") - 0.5)).orderBy(F.desc(F.round("distance", 9)), "feature")
+
+
+def surrogate(rows: DataFrame, numbers: list[str], categories: list[str], y: str) -> DataFrame:
+    """(feature, auc, distance): each column of halves() against the known pseudo target above its mean, most telling first."""
+    return ranked(rows, halves(rows, numbers, categories), y)
+
+
+def with_surrogate(rows: DataFrame, numbers: list[str], categories: list[str], y: str, name: str) -> DataFrame:
+    """rows with the most telling column of surrogate() as 0/1, ties to the smaller name; the pseudo target itself where no column tells anything."""
+    flags = halves(rows, numbers, categories)
+    best = ranked(rows, flags, y).filter("distance > 0").first() if flags else None
+    return rows.withColumn(name, (flags[best["feature"]] if best else F.col(y)).cast("double"))
 
 
 def train_counts(src: DataFrame, dst: DataFrame, key: tuple[str, str], is_train: str) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Decay times to a stretch of exponential(); e to twice that is still a double.
 FADE = 300.0
+#: Least share of training rows, and of others, among a category's or word's rows that it isn't one-sided.
+SHARE = 0.01
 
 
 def global_mean(rows: DataFrame, y: str) -> DataFrame:
@@ -88,7 +90,7 @@ def exponential(rows: DataFrame, c: str, y: str, time: str, beta: float, k: floa
     return t.withColumn(name, F.when(F.col(c).isNotNull(), value)).drop("_c", "_t", "_s", "_n", "_m")
 
 
-def valid_categories(rows: DataFrame, c: str, is_train: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
+def valid_categories(rows: DataFrame, c: str, is_train: str, low: float = SHARE, high: float = 1 - SHARE) -> DataFrame:
     """Categories whose share of training rows is neither tiny nor almost all."""
     share = rows.groupBy(F.col(c).alias("_v")).agg(F.avg(F.col(is_train).cast("double")).alias("_share"))
     return share.filter((F.col("_share") >= low) & (F.col("_share") <= high)).select("_v", F.lit(True).alias("_valid"))
@@ -120,13 +122,18 @@ def factorized(rows: DataFrame, c1: str, c2: str, y: str, k: tuple[float, float,
     return t.withColumn(name, F.when(F.col(c1).isNotNull() & F.col(c2).isNotNull(), value)).drop("_m", *[f"_{x}{i}" for x in "sn" for i in range(3)])
 
 
-def bag(rows: DataFrame, row: str, words: str, y: str, k1: float, k2: float, name: str, time: str | None = None) -> DataFrame:
+def bag(rows: DataFrame, row: str, words: str, y: str, k1: float, k2: float, name: str, time: str | None = None, is_train: str | None = None) -> DataFrame:
     """Encoding of a bag of words: totals of its words, weighted by their counts; the row's own part left out, or, with a time, strictly earlier rows only.
 
     num = sum of c x (T - y c + k1 m_w), den = sum of c x (N - c + k1) over words; the result is (num + k2 m) / (den + k2).
     T and N are a word's target-weighted and plain counts over rows with a known target; m_w is their ratio over all words.
+    With is_train, one-sided words (by occurrences in training rows) gather no targets, and leave none out, but still smooth.
     """
-    each = rows.select(row, y, *([time] if time else []), F.explode(words).alias("_w")).groupBy(row, y, *([time] if time else []), "_w").agg(F.count(F.lit(1)).cast("double").alias("_c"))
+    carried = [row, y, *([time] if time else []), *([is_train] if is_train else [])]
+    each = rows.select(*carried, F.explode(words).alias("_w")).groupBy(*carried, "_w").agg(F.count(F.lit(1)).cast("double").alias("_c"))
+    if is_train:
+        share = each.groupBy("_w").agg((F.sum(F.col("_c") * F.col(is_train)) / F.sum("_c")).between(SHARE, 1 - SHARE).alias("_valid"))
+        each = each.join(share, "_w").withColumn("_y", F.when(F.col("_valid"), F.col(y))).drop(y, "_valid").withColumnRenamed("_y", y)
     known = F.when(F.col(y).isNotNull(), F.col("_c"))
     each = each.withColumns({"_yc": F.col("_c") * F.col(y), "_kc": known})
     if time is None:
@@ -154,3 +161,9 @@ def through(rows: DataFrame, dst: DataFrame, key: tuple[str, str], c: str) -> Da
     from chronofeat.operators.temporal import lookup
 
     return lookup(rows, dst, key, [(c, c)])
+
+
+def bag_through(rows: DataFrame, dst: DataFrame, key: tuple[str, str], words: str) -> DataFrame:
+    """rows with the bag of the row that they refer to, for bag(); empty where there is none, which encodes to the overall mean."""
+    out = through(rows, dst, key, words)
+    return out.withColumn(words, F.coalesce(words, F.array().cast(out.schema[words].dataType)))

@@ -35,6 +35,24 @@ def bags(spark: SparkSession, sf_dir: str) -> DataFrame:
 B = f"""{O}, w AS (SELECT o_orderkey, y, bin, w, count(*)::DOUBLE AS c FROM (SELECT o_orderkey, y, bin, unnest(string_split(p_name, ' ')) AS w FROM o JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey) GROUP BY 1, 2, 3, 4)"""
 
 
+def marked_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bags() with is_train and, in each bag, a word that only training rows or only others hold."""
+    b = bags(spark, sf_dir).withColumn("side", F.col("o_orderkey") % 5)
+    return b.select("o_orderkey", "y", "bin", (F.col("side") != 0).cast("int").alias("is_train"), F.concat("words", F.array(F.concat(F.lit("side"), F.col("side").cast("string")))).alias("words"))
+
+
+def customer_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the bag of their customer: its segment twice and its nation."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    c = c.select("c_custkey", F.array("c_mktsegment", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), "c_mktsegment").alias("words"))
+    return te.bag_through(orders(spark, sf_dir).select("o_orderkey", "o_custkey", "y", "bin"), c, ("o_custkey", "c_custkey"), "words")
+
+
+MARKED = """SELECT o_orderkey, y, bin, is_train, w, count(*)::DOUBLE AS c FROM (SELECT o_orderkey, y, bin, is_train, unnest(string_split(p_name, ' ')) AS w FROM o JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
+UNION ALL SELECT o_orderkey, y, bin, is_train, 'side' || (o_orderkey % 5) FROM o) GROUP BY 1, 2, 3, 4, 5"""
+CUSTOMERS = "SELECT o_orderkey, y, bin, is_train, w, count(*)::DOUBLE AS c FROM (SELECT o_orderkey, y, bin, is_train, unnest([c_mktsegment, 'n' || c_nationkey, c_mktsegment]) AS w FROM o JOIN customer ON c_custkey = o_custkey) GROUP BY 1, 2, 3, 4, 5"
+
+
 def encoded(f, *args, **kw):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         return f(orders(spark, sf_dir), *args, name="feature", **kw).select("o_orderkey", (F.round("feature", 6) + 0.0).alias("feature"))
@@ -42,9 +60,9 @@ def encoded(f, *args, **kw):
     return q
 
 
-def encoded_bag(time: str | None):
+def encoded_bag(time: str | None, made=bags, is_train: str | None = None):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return te.bag(bags(spark, sf_dir), "o_orderkey", "words", "y", 5.0, 20.0, "feature", time).select("o_orderkey", (F.round("feature", 6) + 0.0).alias("feature"))
+        return te.bag(made(spark, sf_dir), "o_orderkey", "words", "y", 5.0, 20.0, "feature", time, is_train).select("o_orderkey", (F.round("feature", 6) + 0.0).alias("feature"))
 
     return q
 
@@ -117,6 +135,23 @@ r AS (SELECT o_orderkey, sum(c * (t - coalesce(y * c, 0) + 5 * mw)) AS num, sum(
     return f"WITH {B}, {mid} SELECT o_orderkey, round(CASE WHEN den IS NULL THEN m WHEN NOT none THEN (num + m * 20) / (den + 20) END, 6) + 0.0 AS feature FROM o LEFT JOIN r USING (o_orderkey), m"
 
 
+def words_sql(words: str, temporal: bool, gated: bool) -> str:
+    """bag_sql() over other words, with sums by windows, and with one-sided words left out if gated."""
+    upto = "ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    if temporal:
+        mid = f"""b AS (SELECT w, bin, coalesce(sum(yc), 0) AS t, coalesce(sum(kc), 0) AS n FROM k GROUP BY 1, 2),
+tw AS (SELECT w, bin, coalesce(sum(t) OVER (PARTITION BY w {upto}), 0) AS t, coalesce(sum(n) OVER (PARTITION BY w {upto}), 0) AS n FROM b),
+g AS (SELECT bin, sum(t) AS t, sum(n) AS n FROM b GROUP BY 1), h AS (SELECT bin, sum(t) OVER ({upto}) / nullif(sum(n) OVER ({upto}), 0) AS mw FROM g),
+r AS (SELECT o_orderkey, sum(c * (t + 5 * mw)) AS num, sum(c * (n + 5)) AS den, bool_or(mw IS NULL) AS none FROM k JOIN tw USING (w, bin) JOIN h USING (bin) GROUP BY 1)"""
+    else:
+        mid = """tw AS (SELECT w, coalesce(sum(yc), 0) AS t, coalesce(sum(kc), 0) AS n FROM k GROUP BY 1), h AS (SELECT sum(t) / nullif(sum(n), 0) AS mw FROM tw),
+r AS (SELECT o_orderkey, sum(c * (t - coalesce(yc, 0) + 5 * mw)) AS num, sum(c * (n - coalesce(kc, 0) + 5)) AS den, bool_or(mw IS NULL) AS none FROM k JOIN tw USING (w), h GROUP BY 1)"""
+    ok = "sum(c * is_train) / sum(c) BETWEEN 0.01 AND 0.99" if gated else "TRUE"
+    return f"""WITH {O}, w AS ({words}), v AS (SELECT w, {ok} AS ok FROM w GROUP BY 1),
+k AS (SELECT o_orderkey, w, bin, c, CASE WHEN ok THEN c * y END AS yc, CASE WHEN ok AND y IS NOT NULL THEN c END AS kc FROM w JOIN v USING (w)), {mid}
+SELECT o_orderkey, round(CASE WHEN den IS NULL THEN m WHEN NOT none THEN (num + m * 20) / (den + 20) END, 6) + 0.0 AS feature FROM o LEFT JOIN r USING (o_orderkey), m"""
+
+
 HIST_SQL = f"""WITH {O}, k AS (SELECT o_orderkey, CAST(floor((rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0) / greatest(1, (SELECT count(*) FROM o) // 100)) AS BIGINT) AS bucket FROM o),
 z AS (SELECT o.*, bucket FROM o JOIN k USING (o_orderkey))
 SELECT a.o_orderkey, a.bucket, round(CASE WHEN count(b.y) = 0 THEN any_value(m) ELSE (sum(b.y) + any_value(m) * 100) / (count(b.y) + 100) END, 6) + 0.0 AS feature
@@ -134,6 +169,13 @@ def surrogate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return propagate.surrogate(t, ["c_acctbal", "c_nationkey"], ["c_mktsegment"], "pseudo").select("feature", F.round("auc", 6).alias("auc"), F.round("distance", 6).alias("distance"))
 
 
+def surrogate_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pseudo target of customers, replaced by the column that tells it best."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    t = propagate.pseudo_target(orders(spark, sf_dir), c, ("o_custkey", "c_custkey"), "y", "pseudo")
+    return propagate.with_surrogate(t, ["c_acctbal", "c_nationkey"], ["c_mktsegment"], "pseudo", "target").select("c_custkey", "target")
+
+
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
     return propagate.train_counts(orders(spark, sf_dir), c, ("o_custkey", "c_custkey"), "is_train")
@@ -148,6 +190,8 @@ f AS (SELECT (p > a) AS y, 'c_acctbal' AS feature, (c_acctbal > b)::INT AS x FRO
 r AS (SELECT feature, y, x, count(*)::DOUBLE AS n FROM f GROUP BY 1, 2, 3),
 u AS (SELECT p.feature, sum(p.n * q.n * CASE WHEN p.x > q.x THEN 1 WHEN p.x = q.x THEN 0.5 ELSE 0 END) / sum(p.n * q.n) AS auc FROM r p JOIN r q ON p.feature = q.feature AND p.y AND NOT q.y GROUP BY 1)
 SELECT feature, round(auc, 6) AS auc, round(abs(auc - 0.5), 6) AS distance FROM u"""
+CHOSEN_SQL = SURROGATE_SQL.rsplit("SELECT", 1)[0].rstrip() + """, best AS (SELECT feature FROM u WHERE auc <> 0.5 ORDER BY round(abs(auc - 0.5), 9) DESC, feature LIMIT 1)
+SELECT c_custkey, CASE feature WHEN 'c_acctbal' THEN (c_acctbal > b)::INT WHEN 'c_nationkey' THEN (c_nationkey > d)::INT WHEN 'c_mktsegment' THEN (c_mktsegment = e)::INT ELSE p END::DOUBLE AS target FROM c CROSS JOIN g LEFT JOIN best ON TRUE"""
 
 QUERIES = {
     "te_loo": encoded(te.leave_one_out, "o_orderpriority", "y", 5.0),
@@ -159,11 +203,17 @@ QUERIES = {
     "te_adversarial": encoded(te.regularized, "grp", "y", "is_train", 40.0),
     "te_bow": encoded_bag(None),
     "te_bow_temporal": encoded_bag("bin"),
+    "te_bow_induced": encoded_bag(None, customer_bags),
+    "te_bow_induced_temporal": encoded_bag("bin", customer_bags),
+    "te_bow_adversarial": encoded_bag(None, marked_bags, "is_train"),
+    "te_bow_adversarial_temporal": encoded_bag("bin", marked_bags, "is_train"),
+    "te_adversarial_temporal": encoded(te.regularized, "grp", "y", "is_train", 40.0, time="bin"),
     "te_hist": hist,
     "te_induced": induced,
     "te_path_mean": te_path,
     "pseudo_target_customer": pseudo,
     "surrogate_target": surrogate,
+    "surrogate_column": surrogate_column,
     "adversarial_counts": counts,
 }
 SQL = {
@@ -176,10 +226,16 @@ SQL = {
     "te_adversarial": regularized_sql(),
     "te_bow": bag_sql(False),
     "te_bow_temporal": bag_sql(True),
+    "te_bow_induced": words_sql(CUSTOMERS, False, False),
+    "te_bow_induced_temporal": words_sql(CUSTOMERS, True, False),
+    "te_bow_adversarial": words_sql(MARKED, False, True),
+    "te_bow_adversarial_temporal": words_sql(MARKED, True, True),
+    "te_adversarial_temporal": temporal_sql("grp", 40.0),
     "te_hist": HIST_SQL,
     "te_induced": f"WITH {O}, a AS (SELECT o.*, c_mktsegment FROM o JOIN customer ON c_custkey = o_custkey), t AS (SELECT c_mktsegment AS c, sum(y) AS s, count(y) AS n FROM a GROUP BY 1) SELECT o_orderkey, round((s - coalesce(y, 0) + m * 5) / (n - (y IS NOT NULL)::INT + 5), 6) + 0.0 AS feature FROM a JOIN t ON t.c = c_mktsegment, m",
     "te_path_mean": f"WITH {O}, t AS (SELECT o_orderpriority AS c, sum(y) AS s, count(y) AS n FROM o GROUP BY 1), e AS (SELECT o_custkey, (s - coalesce(y, 0) + m * 5) / (n - (y IS NOT NULL)::INT + 5) AS e FROM o JOIN t ON c = o_orderpriority, m) SELECT c_custkey, round(avg(e), 6) + 0.0 AS feature FROM customer LEFT JOIN e ON o_custkey = c_custkey GROUP BY 1",
     "pseudo_target_customer": PSEUDO_SQL,
     "surrogate_target": SURROGATE_SQL,
+    "surrogate_column": CHOSEN_SQL,
     "adversarial_counts": f"WITH {O} SELECT c_custkey, coalesce(sum(is_train), 0)::BIGINT AS n_train, count(o_orderkey) AS n_all FROM customer LEFT JOIN o ON o_custkey = c_custkey GROUP BY 1",
 }
