@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronofeat.functions import matrix
 from chronofeat.functions.scalar import rank_bucket
 from chronofeat.operators import propagate
 from chronofeat.operators import target_encoding as te
@@ -176,6 +177,24 @@ def surrogate_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return propagate.with_surrogate(t, ["c_acctbal", "c_nationkey"], ["c_mktsegment"], "pseudo", "target").select("c_custkey", "target")
 
 
+def svd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by the three leading singular vectors of their priority, group and words."""
+    b = bags(spark, sf_dir).select("o_orderkey", "words")
+    rows = orders(spark, sf_dir).select("o_orderkey", "o_orderpriority", "grp").join(b, "o_orderkey")
+    return matrix.truncated_svd(rows, "o_orderkey", ["o_orderpriority", "grp"], ["words"], 3)[0]
+
+
+def ones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix itself, as its ones."""
+    b = bags(spark, sf_dir).select("o_orderkey", "words")
+    rows = orders(spark, sf_dir).select("o_orderkey", "o_orderpriority", "grp").join(b, "o_orderkey")
+    return matrix.entries(rows, "o_orderkey", ["o_orderpriority", "grp"], ["words"]).select(F.col("row").alias("o_orderkey"), "feature.column", "feature.value")
+
+
+ONES_SQL = f"""WITH {O} SELECT o_orderkey, 'o_orderpriority' AS column, o_orderpriority AS value FROM o WHERE o_orderpriority IS NOT NULL UNION ALL SELECT o_orderkey, 'grp', grp::VARCHAR FROM o WHERE grp IS NOT NULL
+UNION ALL SELECT DISTINCT o_orderkey, 'words', unnest(string_split(p_name, ' ')) FROM o JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey"""
+
+
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
     return propagate.train_counts(orders(spark, sf_dir), c, ("o_custkey", "c_custkey"), "is_train")
@@ -214,6 +233,8 @@ QUERIES = {
     "pseudo_target_customer": pseudo,
     "surrogate_target": surrogate,
     "surrogate_column": surrogate_column,
+    "factorized_matrix": ones,
+    "factorized_svd": svd,
     "adversarial_counts": counts,
 }
 SQL = {
@@ -237,5 +258,6 @@ SQL = {
     "pseudo_target_customer": PSEUDO_SQL,
     "surrogate_target": SURROGATE_SQL,
     "surrogate_column": CHOSEN_SQL,
+    "factorized_matrix": ONES_SQL,
     "adversarial_counts": f"WITH {O} SELECT c_custkey, coalesce(sum(is_train), 0)::BIGINT AS n_train, count(o_orderkey) AS n_all FROM customer LEFT JOIN o ON o_custkey = c_custkey GROUP BY 1",
 }
