@@ -218,6 +218,42 @@ def test_permutation_is_one_to_one(spark, n):
     assert sorted(got) == list(range(n))
 
 
+@pytest.mark.parametrize("n, seed", [(1, 7), (5, 7), (17, 3), (1000, 7), (1003, -2)])
+def test_permutation_in_plain_python(spark, n, seed):
+    """The network and the walk written out again, on the library's hash of 64 bits."""
+    import math
+    import struct
+
+    import xxhash
+
+    a = max(1, math.isqrt(n))
+    b = -(-n // a)
+
+    def key(half, i):
+        h = 42
+        for packed in (struct.pack("<q", half), struct.pack("<i", seed), struct.pack("<i", i)):
+            h = xxhash.xxh64_intdigest(packed, h)
+        return h - (1 << 64) if h >> 63 else h
+
+    def network(x):
+        left, right = divmod(x, b)
+        for i in range(sharding.ROUNDS):
+            if i % 2 == 0:
+                left = (left + key(right, i) % a) % a
+            else:
+                right = (right + key(left, i) % b) % b
+        return left * b + right
+
+    def walked(x):
+        x = network(x)
+        while x >= n:
+            x = network(x)
+        return x
+
+    got = dict(spark.range(n).select("id", sharding.permuted(sharding.F.col("id"), n, seed, spark)).collect())
+    assert got == {x: walked(x) for x in range(n)}
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = [(5, "u5", "x" * 100), (3, "u3", "x" * 100), (4, "u\n4", "é" * 60), (9, None, "é" * 60), (1, "a", "short"), (2, "b", "short"), (7, "c", None), (None, "d", "x" * 100), (3, "u3", "x" * 100)]
     d = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, digest string")
