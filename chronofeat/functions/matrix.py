@@ -58,7 +58,8 @@ def _times(ones: DataFrame, df: DataFrame, via: str, to: str, vectors: list[str]
 def truncated_svd(rows: DataFrame, row: str, categories: list[str], bags: list[str], rank: int, steps: int = STEPS) -> tuple[DataFrame, list[float]]:
     """rows' keys with the left singular vectors u_0.. of the largest singular values, and these values.
 
-    A vector's sign is such that its sum isn't negative. Rows without entries have zeros; directions beyond the matrix's rank are left out. Keys must be unique.
+    An approximation: a vector's error shrinks, each step, by the squared ratio of the value that is next after rank + EXTRA to its own, so vectors of
+    values close to that one need more steps, and those of equal values are any basis of their span. A vector's sign is such that its sum isn't negative. Rows without entries have zeros; directions beyond the matrix's rank are left out. Keys must be unique.
     """
     ones = _stored(entries(rows, row, categories, bags))
     if not ones.limit(1).count():
