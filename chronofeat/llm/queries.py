@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["warc", "sharding", "ann", "packing", "licenses", "jaccard", "toxicity", "secretscan", "decontaminate", "suffixes"]
+MODULES = ["warc", "sharding", "ann", "packing", "licenses", "jaccard", "toxicity", "secretscan", "decontaminate", "suffixes", "runs", "divergence", "debruijn"]
 
 
 def _all(what):
