@@ -254,8 +254,9 @@ def verified(docs: DataFrame, walks: DataFrame, k: int) -> DataFrame:
                 failed.append(bad)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.binary()), pa.array(failed, pa.list_(pa.int32()))], ["doc_id", "th", "spans", "failed"])
 
-    size = F.aggregate("walks", F.lit(0), lambda n, w: n + 4 * F.size(w["cuts"]) + F.octet_length(w["digests"]) + 16)
-    return docs.join(bounded(of_doc, size), ["doc_id", "th"]).mapInArrow(run, "doc_id long, th long, spans binary, failed array<int>").dropDuplicates(["doc_id", "th"])
+    # Only texts with walks are shuffled, where their ids are few enough to say so; walks are hashed, so texts are not sorted.
+    some = docs.join(small(of_doc.select("doc_id", "th")), ["doc_id", "th"], "left_semi")
+    return some.join(of_doc.hint("shuffle_hash"), ["doc_id", "th"]).mapInArrow(run, "doc_id long, th long, spans binary, failed array<int>").dropDuplicates(["doc_id", "th"])
 
 
 def looked_up(docs: DataFrame, failed: DataFrame, k: int, bits: int) -> DataFrame:
