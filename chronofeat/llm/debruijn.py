@@ -39,7 +39,7 @@ WINDOW = 13
 #: Bytes of a path's digest; bytes of a side up to which it is broadcast.
 DIGEST, BROADCAST_BYTES = 16, 32 << 20
 #: Edges that a task packs at a time; words whose hashes it remembers; bits of an edge's name.
-PACKED, WORDS, BITS = 4_000_000, 500_000, 64
+PACKED, WORDS, BITS = 3_000_000, 500_000, 64
 NONE = np.iinfo(np.int64).max
 
 
