@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofeat.operators.aggregates import ZERO, grouped, running
+from chronofeat.operators import blocks
+from chronofeat.operators.aggregates import NO_OWN, ORDERED, ZERO, Own, grouped, running
 
 HOUR = 3_600
 #: Rows to a block of trailing counts.
@@ -31,33 +32,52 @@ def time_units(seconds: Column) -> dict[str, Column]:
     return {"second": whole, "minute": F.floor(whole / 60), "hour": F.floor(whole / HOUR), "day": F.floor(whole / (24 * HOUR))}
 
 
-def latest_state(src: DataFrame, dst: DataFrame, src_key: str, dst_key: str, src_time: str, dst_time: str, order: list[str], state: list[str], strict: bool = False) -> DataFrame:
+def latest_state(src: DataFrame, dst: DataFrame, src_key: str, dst_key: str, src_time: str, dst_time: str, order: list[str], state: list[str], strict: bool = False, block: int | None = None, keys: DataFrame | None = None) -> DataFrame:
     """src with the columns `state` of the last dst row, by (time, order), that it sees. With strict, only rows of earlier times are seen.
 
-    A null in a state column is carried like any value. Source rows with a null key or time see nothing.
+    A null in a state column is carried like any value. Source rows with a null key or time see nothing. A key with very many rows is cut into blocks of time,
+    and a block's first rows see the last state of the blocks before. keys: (_key) of both sides, if cheaper to count; None is to look, an empty frame that no key is to be cut.
     """
     packed = F.struct(*[F.col(c) for c in state])
-    left = src.select(F.col(src_key).alias("_key"), F.col(src_time).alias("_time"), F.lit(0 if strict else 1).alias("_tag"), F.struct(*src.columns).alias("_src"), *[F.lit(None).alias(f"_o{i}") for i in range(len(order))])
+    others = [f"_o{i}" for i in range(len(order))]
+    left = src.select(F.col(src_key).alias("_key"), F.col(src_time).alias("_time"), F.lit(0 if strict else 1).alias("_tag"), F.struct(*src.columns).alias("_src"), *[F.lit(None).alias(o) for o in others])
     seen = left.filter(F.col("_key").isNotNull() & F.col("_time").isNotNull())
-    right = dst.filter(F.col(dst_key).isNotNull() & F.col(dst_time).isNotNull()).select(F.col(dst_key).alias("_key"), F.col(dst_time).alias("_time"), F.lit(1 if strict else 0).alias("_tag"), packed.alias("_state"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    right = dst.filter(F.col(dst_key).isNotNull() & F.col(dst_time).isNotNull()).select(F.col(dst_key).alias("_key"), F.col(dst_time).alias("_time"), F.lit(1 if strict else 0).alias("_tag"), packed.alias("_state"), *[F.col(c).alias(o) for c, o in zip(order, others, strict=True)])
     both = seen.unionByName(right, allowMissingColumns=True)
-    w = Window.partitionBy("_key").orderBy("_time", "_tag", *[f"_o{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_state", F.last("_state", ignorenulls=True).over(w)).filter(F.col("_src").isNotNull()).select("_src", "_state")
+    whole = ["_time", "_tag", *others]
+    found = both.withColumn("_own", F.xxhash64("_src"))  # tells source rows of one time apart
+    cuts = blocks.cut(found, ["_key"], [*whole, "_own"], block, keys)
+    found = cuts.on(found)
+    w = Window.partitionBy(*cuts.group).orderBy(*whole, *(["_own"] if cuts.split else [])).rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("_seen", F.last("_state", ignorenulls=True).over(w))
+    if cuts.split:
+        at = F.when(F.col("_state").isNotNull(), F.struct(*whole))
+        last = cuts.totals(found, F.max_by("_state", at).alias("_e")).withColumn("_carry", F.last("_e", ignorenulls=True).over(cuts.before()))
+        found = cuts.carried(found, last, ["_carry"]).withColumn("_seen", F.coalesce("_seen", "_carry"))
+    found = found.filter(F.col("_src").isNotNull()).select("_src", F.col("_seen").alias("_state"))
     blind = left.filter(F.col("_key").isNull() | F.col("_time").isNull()).select("_src").unionByName(found.limit(0), allowMissingColumns=True)
     return found.unionByName(blind).select("_src.*", *[F.col("_state")[c].alias(c) for c in state])
 
 
-def asof_lookup(src: DataFrame, dst: DataFrame, key: tuple[str, str], time: tuple[str, str], order: list[str], columns: list[tuple[str, str]]) -> DataFrame:
+def asof_lookup(src: DataFrame, dst: DataFrame, key: tuple[str, str], time: tuple[str, str], order: list[str], columns: list[tuple[str, str]], block: int | None = None) -> DataFrame:
     """As-of join, backward and inclusive: each (name, column) of the latest visible row, nulls included."""
     renamed = dst.select(*{key[1], time[1], *order}, *[F.col(c).alias(n) for n, c in columns])
-    return latest_state(src, renamed, key[0], key[1], time[0], time[1], order, [n for n, _ in columns])
+    return latest_state(src, renamed, key[0], key[1], time[0], time[1], order, [n for n, _ in columns], block=block)
 
 
-def asof_aggregate(src: DataFrame, dst: DataFrame, key: tuple[str, str], time: tuple[str, str], order: list[str], wanted: list[tuple[str, str, str]]) -> DataFrame:
-    """Running aggregates (name, column, mode) over the visible rows of the key; all in one pass over each side."""
-    clean = dst.filter(F.col(key[1]).isNotNull() & F.col(time[1]).isNotNull())
-    states = running(clean, [key[1]], [time[1], *order], wanted).select(*dict.fromkeys([key[1], time[1], *order]), *[w[0] for w in wanted])
-    out = latest_state(src, states, key[0], key[1], time[0], time[1], order, [w[0] for w in wanted])
+def asof_aggregate(src: DataFrame, dst: DataFrame, key: tuple[str, str], time: tuple[str, str], order: list[str], wanted: list[tuple[str, str, str]], own: Own = NO_OWN, block: int | None = None) -> DataFrame:
+    """Running aggregates (name, column, mode) over the visible rows of the key; all in one pass over each side. own: modes of the user's.
+
+    Keys of over two blocks of rows, on both sides together, are cut into blocks of time.
+    """
+    clean = dst.select(*dict.fromkeys([key[1], time[1], *order, *[c for _, c, _ in wanted]])).filter(F.col(key[1]).isNotNull() & F.col(time[1]).isNotNull())
+    keys = clean.select(F.col(key[1]).alias("_key")).unionAll(src.filter(F.col(key[0]).isNotNull()).select(F.col(key[0]).alias("_key")))
+    over = keys.groupBy("_key").count().filter(F.col("count") > 2 * (block or blocks.BLOCK)).limit(1).count()
+    none = keys.limit(0)
+    along = list(dict.fromkeys([time[1], *order]))
+    cuts = blocks.cut(clean, [key[1]], along, block, None if over else clean.limit(0))
+    states = running(clean, [key[1]], along, wanted, own, cuts).select(*dict.fromkeys([key[1], time[1], *order]), *[w[0] for w in wanted])
+    out = latest_state(src, states, key[0], key[1], time[0], time[1], order, [w[0] for w in wanted], block=block, keys=keys if over else none)
     return out.withColumns({n: F.coalesce(n, F.lit(0)) for n, _, m in wanted if m in ZERO})
 
 
@@ -69,9 +89,12 @@ def lookup(src: DataFrame, dst: DataFrame, key: tuple[str, str], columns: list[t
     return src.join(kept, src[key[0]] == kept["_key"], "left").select(*[src[c] for c in src.columns], *[F.col("_row")[n].alias(n) for n, _ in columns])
 
 
-def aggregate(src: DataFrame, dst: DataFrame, key: tuple[str, str], wanted: list[tuple[str, str, str]], order: list[str] | None = None) -> DataFrame:
+def aggregate(src: DataFrame, dst: DataFrame, key: tuple[str, str], wanted: list[tuple[str, str, str]], order: list[str] | None = None, own: Own = NO_OWN) -> DataFrame:
     """Left join to many: aggregates (name, column, mode) over all rows of the key."""
-    done = grouped(dst.filter(F.col(key[1]).isNotNull()), [key[1]], order or [], wanted).withColumnRenamed(key[1], "_key")
+    clean = dst.filter(F.col(key[1]).isNotNull())
+    ordered = [m for _, _, m in wanted if m in ORDERED or m == "mode_ratio"]
+    cuts = blocks.cut(clean, [key[1]], order) if ordered and order else None
+    done = grouped(clean, [key[1]], order or [], wanted, own, cuts).withColumnRenamed(key[1], "_key")
     out = src.join(done, src[key[0]] == done["_key"], "left").drop("_key")
     return out.withColumns({n: F.coalesce(n, F.lit(0)) for n, _, m in wanted if m in ZERO})
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronofeat.functions.scalar import parse_time
 from chronofeat.model import Catalog, Path, Relation, RelationType, Table
-from chronofeat.operators import aggregates, selection, temporal
+from chronofeat.operators import selection, temporal
 from chronofeat.operators import target_encoding as te
 from chronofeat.plans import features as plan
 from chronofeat.plans import manipulations, paths
@@ -166,10 +166,8 @@ def limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mode of the user's own, along time."""
-    if "spread" not in aggregates.MODES:
-        aggregates.register("spread", F.stddev_samp)
     v = visits(spark, sf_dir)
-    out = temporal.asof_aggregate(table(spark, sf_dir, "orders"), v, ("o_custkey", "v_custkey"), ("o_orderdate", "v_time"), ["event_id"], [("feature", "value", "spread")])
+    out = temporal.asof_aggregate(table(spark, sf_dir, "orders"), v, ("o_custkey", "v_custkey"), ("o_orderdate", "v_time"), ["event_id"], [("feature", "value", "spread")], own={"spread": F.stddev_samp})
     return out.select("o_orderkey", r6("feature").alias("feature"))
 
 
