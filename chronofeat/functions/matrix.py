@@ -7,13 +7,11 @@ task; only Gram matrices of a few columns reach the driver. Each step's vectors
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofeat.session import shared_folder
+from chronofeat.session import stored
 
 #: Steps of the iteration; columns beyond the rank that speed it up; share of the largest eigenvalue below which a direction is noise.
 STEPS, EXTRA, NOISE = 5, 6, 1e-13
@@ -28,12 +26,6 @@ def entries(rows: DataFrame, row: str, categories: list[str], bags: list[str]) -
     return rows.select(F.col(row).alias("row"), F.explode(F.concat(*parts)).alias("feature"))
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/vectors-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _turned(vectors: list[str], turn: np.ndarray) -> list[Column]:
     """The columns times a small matrix."""
     return [sum((F.col(v) * float(t) for v, t in zip(vectors, column)), F.lit(0.0)) for column in turn.T]
@@ -61,25 +53,25 @@ def truncated_svd(rows: DataFrame, row: str, categories: list[str], bags: list[s
     An approximation: a vector's error shrinks, each step, by the squared ratio of the value that is next after rank + EXTRA to its own, so vectors of
     values close to that one need more steps, and those of equal values are any basis of their span. A vector's sign is such that its sum isn't negative. Rows without entries have zeros; directions beyond the matrix's rank are left out. Keys must be unique.
     """
-    ones = _stored(entries(rows, row, categories, bags))
+    ones = stored(entries(rows, row, categories, bags), "vectors")
     if not ones.limit(1).count():
         return rows.select(row), []
     v = [f"v{i}" for i in range(rank + EXTRA)]
     uniform = lambda i: (F.pmod(F.xxhash64("feature", F.lit(i)), F.lit(1 << 20)) + 1) / float((1 << 20) + 1)
     normal = lambda i: F.sqrt(-2 * F.log(uniform(2 * i))) * F.cos(2 * np.pi * uniform(2 * i + 1))
-    basis = _stored(ones.select("feature").distinct().select("feature", *[normal(i).alias(c) for i, c in enumerate(v)]))
+    basis = stored(ones.select("feature").distinct().select("feature", *[normal(i).alias(c) for i, c in enumerate(v)]), "vectors")
     for _ in range(steps):
         values, q, _ = _gram(basis, v)
         kept = values > NOISE * max(values[0], 1e-300)
         turned = _turned(v, q[:, kept] / np.sqrt(values[kept]))
         v = v[: len(turned)]
         unit = basis.select("feature", *[t.alias(c) for t, c in zip(turned, v)])
-        basis = _stored(_times(ones, _times(ones, unit, "feature", "row", v), "row", "feature", v))
+        basis = stored(_times(ones, _times(ones, unit, "feature", "row", v), "row", "feature", v), "vectors")
     values, q, _ = _gram(basis, v)
     kept = values > NOISE * max(values[0], 1e-300)
     turned = _turned(v, q[:, kept] / np.sqrt(values[kept]))
     v = v[: len(turned)]
-    image = _stored(_times(ones, basis.select("feature", *[t.alias(c) for t, c in zip(turned, v)]), "feature", "row", v))
+    image = stored(_times(ones, basis.select("feature", *[t.alias(c) for t, c in zip(turned, v)]), "feature", "row", v), "vectors")
     values, q, sums = _gram(image, v)
     kept = np.flatnonzero(values > NOISE * max(values[0], 1e-300))[:rank]
     turn = q[:, kept] / np.sqrt(values[kept])

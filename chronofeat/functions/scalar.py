@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronofeat.operators.blocks import running_sum
+from chronofeat.session import stored
+
 #: Calendar features: the span of the column, in hours, beyond which each is worth having.
 HOURS = {"hour": 2, "year": 500 * 24, "dayofyear": 100 * 24, "weekday": 48, "weekend": 48, "quarter_of_day": 8}
 
@@ -49,23 +52,9 @@ def log_pair(a: str, b: str, sign: int = 1) -> Column:
 
 
 def rank_bucket(rows: DataFrame, col: str, name: str, buckets: int = 100) -> DataFrame:
-    """Average rank of the value over (rows / buckets), rounded down. Ranks come from counts per distinct value."""
-    from chronofeat.operators.numbering import global_row_number
-
-    counts = rows.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    n = rows.filter(F.col(col).isNotNull()).count()
-    step = max(1, n // buckets)
-    ordered = global_row_number(counts, [col], "_rn")
-    ends = running_total(ordered, col)
+    """Average rank of the value over (rows / buckets), rounded down. Ranks come from counts per distinct value, summed along ranges of values."""
+    counts = stored(rows.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n")), "values")
+    step = max(1, (counts.agg(F.sum("_n")).first()[0] or 0) // buckets)
+    upto = running_sum(counts, [], [col], F.col("_n"), "_upto")
     mean_rank = F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2
-    return rows.join(ends.select(col, F.floor(mean_rank / step).alias(name)), col, "left")
-
-
-def running_total(counts: DataFrame, col: str) -> DataFrame:
-    """counts (col, _n, _rn) with `_upto`, the sum of _n up to the row, by blocks of row numbers."""
-    block = F.floor((F.col("_rn") - 1) / F.lit(1 << 16))
-    with_block = counts.withColumn("_b", block)
-    sums = with_block.groupBy("_b").agg(F.sum("_n").alias("_s"))
-    before = sums.select("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.sum("_n").over(Window.partitionBy("_b").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0))
-    return with_block.withColumn("_own", own).join(before, "_b").withColumn("_upto", F.col("_own") + F.col("_before"))
+    return rows.join(upto.select(col, F.floor(mean_rank / step).alias(name)), col, "left")

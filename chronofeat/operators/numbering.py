@@ -2,41 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows to a block, blocks at most, and sampled values from which the edges of blocks are taken.
-BLOCK, BLOCKS, SAMPLE = 1 << 16, 1 << 12, 1 << 15
+from chronofeat.operators.blocks import cut, running_sum
 
 
-def block_edges(rows: DataFrame, lead: str) -> list:
-    """Values of the column that cut rows into blocks of about BLOCK, from a sample by hash; any type that can be ordered."""
-    total = rows.count()
-    blocks = min(BLOCKS, -(-total // BLOCK))
-    if blocks < 2:
-        return []
-    share = max(1, total // SAMPLE)
-    hashed = F.pmod(F.xxhash64(*rows.columns), F.lit(share)) == 0
-    sample = sorted(r[0] for r in rows.filter(F.col(lead).isNotNull() & hashed).select(lead).collect())  # about SAMPLE values at most
-    return sorted({sample[len(sample) * i // blocks] for i in range(1, blocks)}) if sample else []
-
-
-def global_row_number(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Numbers 1.. by `order`, whose columns should name a row; nulls come first.
-
-    Ranges of the first column hold the rows of one block each; a row finds its block by halving steps over the
-    edges. A block's rows are numbered by a window of their own, and a count per block gives its first number.
-    """
-    lead, edges = order[0], block_edges(rows, order[0])
-    block = F.lit(0)
-    if edges:
-        bounds, kind = F.array(*[F.lit(e) for e in edges]), dict(rows.dtypes)[lead]
-        steps = F.array(*[F.lit(1 << i) for i in range(len(edges).bit_length() - 1, -1, -1)])
-        at = lambda n, s: F.try_element_at(bounds, n + s).cast(kind)
-        block = F.aggregate(steps, F.lit(0), lambda n, s: n + F.when(at(n, s) < F.col(lead), s).otherwise(0))
-    rows = rows.withColumn("_block", F.when(F.col(lead).isNull(), -1).otherwise(block))
-    counts = rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))  # at most BLOCKS rows
-    own = F.row_number().over(Window.partitionBy("_block").orderBy(*order))
-    return rows.withColumn("_own", own).join(F.broadcast(first), "_block").withColumn(name, F.col("_own") + F.col("_first")).drop("_block", "_own", "_first")
+def global_row_number(rows: DataFrame, order: list[str], name: str, block: int | None = None) -> DataFrame:
+    """Numbers 1.. by `order`, whose columns should name a row; nulls come first. Ranges of all columns of the order, not of the first alone, are numbered each by its own window."""
+    return running_sum(rows, [], order, F.lit(1), name, cut(rows, [], order, block))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronofeat.operators.blocks import quantiles
 from chronofeat.operators.selection import auc_table
 from chronofeat.operators.temporal import lookup
 
@@ -24,8 +25,8 @@ def pseudo_target(src: DataFrame, dst: DataFrame, key: tuple[str, str], y: str,
 
 def halves(rows: DataFrame, numbers: list[str], categories: list[str]) -> dict[str, Column]:
     """Each column made 0/1: a number is above its median, a category its mode, ties to the smaller value. Null stays null."""
-    middle = rows.agg(F.count(F.lit(1)), *[F.median(c).alias(c) for c in numbers]).first()
-    flags = {c: (F.col(c) > middle[c]).cast("int") for c in numbers}
+    middle = quantiles(rows, numbers, 0.5) if numbers else {}
+    flags = {c: (F.col(c) > F.lit(middle[c])).cast("int") for c in numbers}
     for c in categories:
         top = rows.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).first()
         flags[c] = (F.col(c) == F.lit(top[0] if top else None)).cast("int")

@@ -8,20 +8,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofeat.operators.blocks import cut, quantiles, running_sum
 from chronofeat.operators.target_encoding import whole
+from chronofeat.session import stored
 
 
-def auc_of(rows: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
+def auc_of(rows: DataFrame, score: str, label: str, by: list[str] | None = None, block: int | None = None) -> DataFrame:
     """Area under the ROC curve (`auc`), of groups if `by` is given; rows with a null or non-finite score or null label don't count.
 
-    Ranks come from counts per distinct score, so equal scores share their average rank.
+    Ranks come from counts per distinct score, summed along ranges of scores, so equal scores share their average rank and no task holds all scores of a feature.
     """
     by = by or []
     ok = rows.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & (F.abs(F.col(score).cast("double")) < float("inf")) & F.col(label).isNotNull())
-    counts = ok.groupBy(*by, F.col(score).alias("_x")).agg(F.sum(F.col(label).cast("double")).alias("_p"), F.count(F.lit(1)).cast("double").alias("_n"))
-    w = Window.partitionBy(*by).orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("_n").over(w), F.lit(0.0)) + (F.col("_n") + 1) / 2
-    ranked = counts.withColumn("_r", below)
+    counts = stored(ok.groupBy(*by, F.col(score).alias("_x")).agg(F.sum(F.col(label).cast("double")).alias("_p"), F.count(F.lit(1)).cast("double").alias("_n")), "scores")
+    upto = running_sum(counts, by, ["_x"], F.col("_n"), "_upto", cut(counts, by, ["_x"], block))
+    ranked = upto.withColumn("_r", F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2)
     p, n = F.sum("_p"), F.sum("_n")
     return ranked.groupBy(*by).agg(F.try_divide(F.sum(F.col("_r") * F.col("_p")) - p * (p + 1) / 2, p * (n - p)).alias("auc"))
 
@@ -107,8 +108,8 @@ def category_limit(rows: DataFrame, y: str) -> DataFrame:
 
 def time_split(rows: DataFrame, time: str, share: float = 0.2) -> DataFrame:
     """rows with `is_valid`: the last share of rows by time."""
-    cutoff = rows.agg(F.expr(f"percentile({time}, {1 - share})").alias("c"))
-    return rows.crossJoin(F.broadcast(cutoff)).withColumn("is_valid", (F.col(time) > F.col("c")).cast("int")).drop("c")
+    cutoff = quantiles(rows, [time], 1 - share)[time]
+    return rows.withColumn("is_valid", (F.col(time).cast("double") > F.lit(cutoff)).cast("int"))
 
 
 def log_pair_gain(rows: DataFrame, numbers: list[str], label: str, least: float = 0.01, most: int = 10) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -25,3 +26,10 @@ def shared_folder(spark: SparkSession) -> str:
         if path is None:
             path = shared_folder.own = "file://" + tempfile.mkdtemp(prefix="chronofeat-")
     return path.rstrip("/")
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder and read back: what several jobs need is computed once, and lineage ends there."""
+    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

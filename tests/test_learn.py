@@ -2,7 +2,7 @@
 
 import random
 
-from chronofeat.operators import selection
+from chronofeat.operators import blocks, selection
 from chronofeat.operators.numbering import global_row_number
 from chronofeat.plans import learn
 from chronofeat.sources.tables import write_predictions
@@ -47,9 +47,7 @@ def test_samples_keep_rare_classes(spark):
 
 
 def test_row_numbers_of_any_type(spark, monkeypatch):
-    from chronofeat.operators import numbering
-
-    monkeypatch.setattr(numbering, "BLOCK", 50)
+    monkeypatch.setattr(blocks, "BLOCK", 50)
     for make in (lambda i: f"s{i:05d}", lambda i: 2**60 + i, lambda i: i / 7):
         values = [make(i * 37 % 1000) for i in range(1000)]
         d = spark.createDataFrame([(v, i) for i, v in enumerate(values)] + [(None, 1000)], f"v {'string' if isinstance(values[0], str) else 'long' if isinstance(values[0], int) else 'double'}, i int")
