@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from enum import Enum
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 
 class RelationType(Enum):
@@ -69,24 +70,26 @@ class Path:
 
 @dataclass
 class Table:
-    """A frame with its row key, time column and roles of columns (`n` number, `c` category, `t` time, `m` bag of words)."""
+    """A frame with its row key, time column and roles of columns (`n` number, `c` category, `t` time, `m` bag of words). known: statistics that rules have computed."""
 
     frame: DataFrame
     row: str
     time: str | None = None
     roles: dict[str, str] = field(default_factory=dict)
+    known: dict = field(default_factory=dict, compare=False, repr=False)
 
 
 @dataclass
 class Catalog:
-    """target: the main table's column of 0 and 1, null where it is unknown."""
+    """target: the main table's column of 0 and 1, null where it is unknown. modes: aggregates of the user's own, from a column to one expression, by name."""
 
     main: str
     tables: dict[str, Table]
     relations: list[Relation]
     target: str | None = None
+    modes: Mapping[str, Callable[[Column], Column]] = field(default_factory=dict)
 
     def replaced(self, **frames: DataFrame) -> Catalog:
         """The catalog with other frames for some tables."""
         tables = {n: Table(frames.get(n, t.frame), t.row, t.time, t.roles) for n, t in self.tables.items()}
-        return Catalog(self.main, tables, self.relations, self.target)
+        return Catalog(self.main, tables, self.relations, self.target, self.modes)

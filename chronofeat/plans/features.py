@@ -1,22 +1,20 @@
 """Feature candidates of a catalog: which aggregate of which column along which path, cheapest first; and their batched run.
 
-A rule sees a path and its last table and offers features. Features that share a one-hop path run in one pass;
-longer paths run hop by hop.
+A rule sees a path and its last table and offers features. All features are broken into pieces, values that travel along paths,
+which run together (`batch`), and are put together again at main.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from itertools import groupby
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofeat.model import Catalog, Path, Table
-from chronofeat.operators import temporal
 from chronofeat.operators.aggregates import COUNTED, ORDERED
-from chronofeat.plans import paths
+from chronofeat.plans import batch, paths
 
 
 @dataclass(frozen=True)
@@ -61,8 +59,23 @@ def cost(path: Path, *modes: str) -> float:
 
 Rule = Callable[[Path, Table], list[Feature]]
 RULES: list[Rule] = []
-#: Kinds that are no plain aggregate or lookup: (catalog, feature) to main's row key and the feature.
-BUILDERS: dict[str, Callable[[Catalog, Feature], DataFrame]] = {}
+
+
+@dataclass(frozen=True)
+class Built:
+    """How a feature comes about: pieces, the expression over their names and columns of main that makes the feature, and those columns."""
+
+    feature: Feature
+    pieces: list[batch.Piece]
+    value: Column
+    needs: tuple[str, ...] = ()
+
+
+Builder = Callable[[Catalog, list[Feature]], list[Built]]
+#: Kinds that are no plain aggregate or lookup. A builder sees all features of its kinds at once.
+BUILDERS: dict[str, Builder] = {}
+#: Modes of pieces that are none of the user's.
+SPECIAL: dict[str, Callable[[Column], Column]] = {}
 
 
 def rule(f: Rule) -> Rule:
@@ -106,40 +119,18 @@ def candidates(catalog: Catalog, most_hops: int = 3, most: int | None = None) ->
     return sorted(found, key=lambda f: (f.cost, f.name))[:most]
 
 
-def build(catalog: Catalog, features: list[Feature]) -> DataFrame:
-    """main's row key with a column for each feature. Features of one hop share one pass over its tables."""
-    main = catalog.tables[catalog.main]
-    out = main.frame.select(main.row)
-    for f in features:
-        if f.kind in BUILDERS:
-            out = out.join(BUILDERS[f.kind](catalog, f).select(main.row, f.name), main.row, "left")
-    plain = [f for f in features if f.kind not in BUILDERS]
-    for path, group in groupby(sorted(plain, key=lambda f: f.path.name), key=lambda f: f.path):
-        some = list(group)
-        if len(path.relations) == 1:
-            part = one_hop(catalog, path, some)
-        else:
-            part = None
-            for f in some:
-                tables = dict(catalog.tables)
-                end = tables[path.end]
-                if f.column is None:
-                    tables[path.end] = Table(end.frame.withColumn("_one", F.lit(1)), end.row, end.time, end.roles)
-                one = paths.run(Catalog(catalog.main, tables, catalog.relations), path, f.column or "_one", f.first, f.later, f.name).select(main.row, f.name)
-                part = one if part is None else part.join(one, main.row, "left")
-        out = out.join(part.select(main.row, *[f.name for f in some]), main.row, "left")
-    return out
+def plain(catalog: Catalog, features: list[Feature]) -> list[Built]:
+    """Aggregates of columns, or of rows, and lookups."""
+    return [Built(f, [batch.Piece(f.name, f.path, F.col(f.column) if f.column else F.lit(1), f.first, f.later)], F.col(f.name)) for f in features]
 
 
-def one_hop(catalog: Catalog, path: Path, features: list[Feature]) -> DataFrame:
-    r, src, dst = path.relations[0], catalog.tables[path.start], catalog.tables[path.end]
-    keep = [src.row] + ([r.src_id] if r.src_id != src.row else [])
-    timed = src.time is not None and dst.time is not None
-    left = src.frame.select(*dict.fromkeys([*keep, *([src.time] if timed else [])]))
-    right = dst.frame.withColumn("_one", F.lit(1))
-    wanted = [(f.name, f.column or "_one", f.first) for f in features]
-    key = (r.src_id, r.dst_id)
-    if r.type.to_one:
-        cols = [(n, c) for n, c, _ in wanted]
-        return temporal.asof_lookup(left, right, key, (src.time, dst.time), [dst.row], cols) if timed else temporal.lookup(left, right, key, cols, [dst.row])
-    return temporal.asof_aggregate(left, right, key, (src.time, dst.time), [dst.row], wanted) if timed else temporal.aggregate(left, right, key, wanted, [dst.row])
+def build(catalog: Catalog, features: list[Feature]) -> DataFrame:
+    """main's row key with a column for each feature. Every hop of the tree of their paths runs once for all that comes through it."""
+    main, made = catalog.tables[catalog.main], []
+    for b in dict.fromkeys(BUILDERS.get(f.kind, plain) for f in features):
+        made += b(catalog, [f for f in features if BUILDERS.get(f.kind, plain) is b])
+    pieces = [p for m in made for p in m.pieces]
+    needs = list(dict.fromkeys(c for m in made for c in m.needs))
+    rows = batch.run(catalog, pieces, needs, own={**catalog.modes, **SPECIAL})
+    value = {m.feature: m.value for m in made}
+    return rows.select(main.row, *[value[f].alias(f.name) for f in features])

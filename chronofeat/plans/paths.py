@@ -1,14 +1,15 @@
-"""Path search, and the plan of hops that a path's features run through."""
+"""Path search, and features of single paths."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofeat.model import Catalog, Path
-from chronofeat.operators import temporal
+from chronofeat.plans import batch
+from chronofeat.plans.hops import hops
+
+__all__ = ["hops", "run", "search"]
 
 
 def search(catalog: Catalog, most: int = 3) -> list[Path]:
@@ -23,72 +24,9 @@ def search(catalog: Catalog, most: int = 3) -> list[Path]:
     return found + [p.then(r) for p in found for r in own if r.src == p.end]
 
 
-@dataclass(frozen=True)
-class Hop:
-    """One join of the plan: from table `src` (number on the path) over relations src..dst-1; timed or not; to many or to one."""
-
-    src: int
-    dst: int
-    timed: bool
-    many: bool
-
-
-def hops(unique: list[bool], timed: list[bool]) -> list[Hop]:
-    """Deepest hop first. unique[i]: relation i is to one; timed[i]: table i has a time.
-
-    An untimed table before a timed one is passed over with the to-one hops above it until a timed
-    table is reached; without one the hop sees all rows.
-    """
-    out, i = [], len(unique) - 1
-    while i >= 0:
-        if not timed[i + 1] or timed[i]:
-            out.append(Hop(i, i + 1, timed[i + 1] and timed[i], not unique[i]))
-            i -= 1
-            continue
-        j = i - 1
-        while j >= 0 and unique[j] and not timed[j]:
-            j -= 1
-        if j >= 0 and unique[j] and timed[j]:
-            out.append(Hop(j, i + 1, True, not unique[i]))
-            i = j - 1
-        else:
-            out.append(Hop(i, i + 1, False, not unique[i]))
-            i -= 1
-    return out
-
-
 def run(catalog: Catalog, path: Path, value: str, first: str, later: str, name: str = "feature", times: dict[str, str] | None = None, inherit_time: bool = True) -> DataFrame:
-    """main's rows with one feature: the deepest to-many hop aggregates by `first`, those above it by `later`; to-one hops look up.
-
-    times: time column by table (of its frame); tables without one are untimed. With inherit_time, an untimed table takes the
-    time of the row that its to-one relation leads to.
-    """
-    tables = [catalog.tables[path.start], *(catalog.tables[r.dst] for r in path.relations)]
-    time = [(times or {}).get(n, t.time) for n, t in zip([path.start, *(r.dst for r in path.relations)], tables, strict=True)]
-    frames = [t.frame for t in tables]
-    if inherit_time:
-        for i in range(len(path.relations) - 1, -1, -1):
-            r = path.relations[i]
-            if i and time[i] is None and time[i + 1] is not None and r.type.to_one:
-                frames[i] = temporal.inherit_time(frames[i], frames[i + 1], (r.src_id, r.dst_id), time[i + 1], "_inherited")
-                time[i] = "_inherited"
-    unique = [r.type.to_one for r in path.relations]
-    now, column, done = frames[-1], value, False
-    for hop in hops(unique, [t is not None for t in time]):
-        src, key = frames[hop.src], path.relations[hop.src].src_id
-        if hop.dst - hop.src > 1:
-            middle = [(frames[k], path.relations[k - 1].dst_id, path.relations[k].src_id) for k in range(hop.src + 1, hop.dst)]
-            src, key = temporal.squash(src, middle, key, "_end"), "_end"
-        own, order = path.relations[hop.dst - 1].dst_id, [tables[hop.dst].row]
-        mode = (later if done else first) if hop.many else None
-        done = done or hop.many
-        if hop.timed and hop.many:
-            out = temporal.asof_aggregate(src, now, (key, own), (time[hop.src], time[hop.dst]), order, [("_value", column, mode)])
-        elif hop.timed:
-            out = temporal.asof_lookup(src, now, (key, own), (time[hop.src], time[hop.dst]), order, [("_value", column)])
-        elif hop.many:
-            out = temporal.aggregate(src, now, (key, own), [("_value", column, mode)], order)
-        else:
-            out = temporal.lookup(src, now, (key, own), [("_value", column)], order)
-        now, column = out.drop("_end").withColumnRenamed("_value", f"_v{hop.src}"), f"_v{hop.src}"
-    return now.withColumnRenamed(column, name).select(*tables[0].frame.columns, name) if path.relations else now.withColumn(name, F.col(value))
+    """main's rows with one feature: the deepest to-many hop aggregates by `first`, those above it by `later`; to-one hops look up. See batch.run()."""
+    piece = batch.Piece(name, path, F.col(value), first, later)
+    kept = [c for c in catalog.tables[path.start].frame.columns if c != name]
+    here = Catalog(path.start, catalog.tables, catalog.relations, catalog.target, catalog.modes)
+    return batch.run(here, [piece], kept, times, inherit_time, catalog.modes).select(*kept, name)

@@ -45,12 +45,18 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
 
 def made(path: str, kinds: dict[str, str], digits: int = 6):
     """A query of planned features of a path: name of a kind with its column and detail, and the result's column."""
+    return batched({(path, k): (v, digits) for k, v in kinds.items()})
+
+
+def batched(kinds: dict[tuple[str, str], tuple[str, int]]):
+    """A query of planned features of many paths, in one run: path and kind, and the result's column and digits."""
 
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = catalog(spark, sf_dir)
-        short = {f: "__".join([f.kind, f.column or "rows", *map(str, f.detail)]) for f in plan.candidates(c, 2) if f.path.name == path}
+        short = {f: (f.path.name, "__".join([f.kind, f.column or "rows", *map(str, f.detail)])) for f in plan.candidates(c, 2)}
         some = [f for f, s in short.items() if s in kinds]
-        return plan.build(c, some).select("o_orderkey", *[r6(f.name, digits).alias(kinds[short[f]]) for f in some])
+        rows = plan.build(c, some)
+        return rows.select("o_orderkey", *[r6(f.name, kinds[short[f]][1]).alias(kinds[short[f]][0]) for f in some])
 
     return q
 
@@ -185,7 +191,18 @@ def induced_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return te.temporal(o, "c_mktsegment", "y", "bin", 5.0, "feature").select("o_orderkey", r6("feature").alias("feature"))
 
 
+#: Features of five paths and of all builders, run together.
+TOGETHER = {
+    (PARTS, "target_encoding__p_brand"): ("brand", 6), (PARTS, "hist_encoding__p_size"): ("size", 6), (ITEMS, "factorized_encoding__l_returnflag__l_linestatus"): ("flags", 6),
+    (CUSTOMER, "bag_encoding__words"): ("words", 6), ("orders", "target_encoding__o_orderpriority"): ("priority", 6), (OWN, "sequential_regression__o_totalprice"): ("slope", 1),
+    (ITEMS, "one_hot_mean__l_returnflag__R"): ("share", 6), (ITEMS, "one_hot_sum__l_returnflag__R"): ("n", 6),
+    (ITEMS, "max_diff_min__l_shipdate"): ("span", 6), (ITEMS, "time_diff__l_shipdate"): ("since", 6), (ITEMS, "time_diff_same_table__l_shipdate__l_due"): ("gap", 6),
+    (ITEMS, "mean__l_quantity"): ("mean_quantity", 6), (ITEMS, "max__l_quantity"): ("max_quantity", 6), (PARTS, "mean__p_size"): ("mean_size", 6), (PARTS, "max__p_size"): ("max_size", 6),
+    (PARTS, "nunique__p_brand"): ("brands", 6), (CUSTOMER, "identify__c_acctbal"): ("acctbal", 6), (OWN, "count__rows"): ("so_far", 6),
+}
+
 QUERIES = {
+    "planned_together": batched(TOGETHER),
     "planned_target_encoding": made(PARTS, {"target_encoding__p_brand": "feature"}),
     "planned_target_encoding_timed": made("orders", {"target_encoding__o_orderpriority": "feature"}),
     "planned_factorized_encoding": made(ITEMS, {"factorized_encoding__l_returnflag__l_linestatus": "feature"}),
@@ -229,3 +246,8 @@ SQL = {
     "te_induced_temporal": f"WITH {O}, a AS (SELECT o.*, c_mktsegment AS c FROM o JOIN customer ON c_custkey = o_custkey), b AS (SELECT c, bin, coalesce(sum(y), 0) AS s, count(y) AS n FROM a GROUP BY 1, 2), p AS (SELECT x.c, x.bin, coalesce(sum(z.s), 0) AS s, coalesce(sum(z.n), 0) AS n FROM b x LEFT JOIN b z ON z.c = x.c AND z.bin < x.bin GROUP BY 1, 2) SELECT o_orderkey, round(CASE WHEN n = 0 THEN m ELSE (s + m * 5) / (n + 5) END, 6) + 0.0 AS feature FROM a JOIN p USING (c, bin), m",
     "te_adversarial_temporal": f"WITH {O}, v AS (SELECT grp FROM o GROUP BY 1 HAVING avg(is_train) BETWEEN 0.01 AND 0.99), b AS (SELECT o.grp, bin, coalesce(sum(CASE WHEN v.grp IS NOT NULL THEN y END), 0) AS s, count(CASE WHEN v.grp IS NOT NULL THEN y END) AS n FROM o LEFT JOIN v ON v.grp = o.grp GROUP BY 1, 2), p AS (SELECT x.grp, x.bin, coalesce(sum(z.s), 0) AS s, coalesce(sum(z.n), 0) AS n FROM b x LEFT JOIN b z ON z.grp = x.grp AND z.bin < x.bin GROUP BY 1, 2) SELECT o_orderkey, round(CASE WHEN n = 0 THEN m ELSE (s + m * 40) / (n + 40) END, 6) + 0.0 AS feature FROM o JOIN p ON p.grp = o.grp AND p.bin = o.bin, m",
 }
+PARTED = {"planned_target_encoding": "brand", "planned_hist_encoding": "size", "planned_factorized_encoding": "flags", "planned_bag_encoding": "words", "planned_target_encoding_timed": "priority", "planned_slope": "slope"}
+PLAIN_SQL = """SELECT s.o_orderkey, round(avg(l_quantity), 6) + 0.0 AS mean_quantity, max(l_quantity)::DOUBLE AS max_quantity, round(avg(p_size), 6) + 0.0 AS mean_size, max(p_size)::DOUBLE AS max_size,
+count(DISTINCT p_brand)::DOUBLE AS brands, any_value(c_acctbal)::DOUBLE AS acctbal, (SELECT count(*) FROM orders d WHERE d.o_custkey = s.o_custkey AND d.o_orderdate <= s.o_orderdate)::DOUBLE AS so_far
+FROM orders s LEFT JOIN lineitem ON l_orderkey = s.o_orderkey LEFT JOIN part ON p_partkey = l_partkey LEFT JOIN customer ON c_custkey = s.o_custkey GROUP BY s.o_orderkey, s.o_custkey, s.o_orderdate"""
+SQL["planned_together"] = "SELECT * FROM (" + PLAIN_SQL + ") " + " ".join([f"JOIN (SELECT o_orderkey, feature AS {v} FROM ({SQL[k]})) USING (o_orderkey)" for k, v in PARTED.items()] + [f"JOIN ({SQL[k]}) USING (o_orderkey)" for k in ("planned_one_hot", "planned_time_features")])
