@@ -94,3 +94,30 @@ def tf_idf(rows: DataFrame, row: str, bag: Column) -> DataFrame:
     return matrix.join(often, "word").select(row, "word", (F.col("n") * F.log(F.lit(n) / F.col("df"))).alias("weight"))
 
 
+
+
+def bucket(word: Column, size: int) -> Column:
+    """A number below size by 32 bits of the word's MD5."""
+    return F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long"), F.lit(size))
+
+
+def fit_idf(rows: DataFrame, row: str, bag: Column, size: int) -> DataFrame:
+    """(bucket, idf): ln(rows / rows with a word of the bucket), fitted once for many tables. A vocabulary of any size becomes `size` numbers."""
+    n = rows.count()
+    held = rows.select(row, F.explode(F.array_distinct(F.transform(F.filter(bag, lambda w: w.isNotNull()), lambda w: bucket(w, size)))).alias("bucket"))
+    return held.groupBy("bucket").agg(F.log(F.lit(float(n)) / F.count(F.lit(1))).alias("idf"))
+
+
+def hashed_tf_idf(rows: DataFrame, row: str, bag: Column, idf: DataFrame, size: int) -> DataFrame:
+    """(row, indices, values): sparse vectors of count x idf by hashed word, in the order of their indices. Words of buckets that idf doesn't know, and bags without words, add nothing."""
+    counts = rows.select(row, F.explode(bag).alias("word")).filter("word IS NOT NULL").groupBy(row, bucket(F.col("word"), size).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    weighted = counts.join(F.broadcast(idf), "bucket").select(row, F.struct(F.col("bucket").alias("i"), (F.col("n") * F.col("idf")).alias("v")).alias("cell"))  # idf has at most size rows
+    cells = weighted.groupBy(F.col(row).alias("_row")).agg(F.sort_array(F.collect_list("cell")).alias("_cells"))
+    out = rows.select(row).join(cells, F.col(row) == F.col("_row"), "left")
+    return out.select(row, F.coalesce(F.transform("_cells", lambda c: c["i"]), F.array().cast("array<bigint>")).alias("indices"), F.coalesce(F.transform("_cells", lambda c: c["v"]), F.array().cast("array<double>")).alias("values"))
+
+
+def heaviest_word(weights: DataFrame, row: str) -> DataFrame:
+    """Of (row, word, weight) each row's word of largest weight, alike to nine decimals to the smaller word."""
+    best = F.min(F.struct((-F.round("weight", 9)).alias("w"), F.col("word").alias("word")))
+    return weights.groupBy(row).agg(best.alias("_b")).select(row, F.col("_b.word").alias("word"), (-F.col("_b.w")).alias("weight"))

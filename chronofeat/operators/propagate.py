@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronofeat.model import Catalog, Relation
 from chronofeat.operators.blocks import quantiles
 from chronofeat.operators.selection import auc_table
 from chronofeat.operators.temporal import lookup
@@ -57,3 +60,68 @@ def train_counts(src: DataFrame, dst: DataFrame, key: tuple[str, str], is_train:
     sums = src.filter(F.col(key[0]).isNotNull()).groupBy(F.col(key[0]).alias("_k")).agg(F.sum(F.col(is_train).cast("long")).alias("n_train"), F.count(F.lit(1)).alias("n_all"))
     out = dst.join(sums, dst[key[1]] == sums["_k"], "left").drop("_k")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_train", "n_all")})
+
+
+def walk(catalog: Catalog) -> Iterator[tuple[str, list[Relation]]]:
+    """Tables by their distance from main, each with the relations that lead to it from tables one step nearer."""
+    steps = [r for r in catalog.relations if r.src != r.dst]
+    steps += [r.inverse for r in steps]
+    reached, edge = {catalog.main}, {catalog.main}
+    while edge:
+        found: dict[str, list[Relation]] = {}
+        for r in steps:
+            if r.src in edge and r.dst not in reached:
+                found.setdefault(r.dst, []).append(r)
+        yield from found.items()
+        edge = set(found)
+        reached |= edge
+
+
+def targets_of(catalog: Catalog, name: str = "_target", surrogates: bool = False) -> Catalog:
+    """The catalog with a column for a target in each table that a relation leads to: the mean of what its parents carry to it, of those that are not null. main's is its own.
+
+    surrogates: tables other than main then get, in its place, the most telling of their own columns as 0/1 (with_surrogate()); the walk itself goes by carried targets.
+    """
+    main = catalog.tables[catalog.main]
+    carried = {catalog.main: main.frame.withColumn(name, F.col(catalog.target).cast("double"))}
+    for dst, ways in walk(catalog):
+        rows, parts = catalog.tables[dst].frame, []
+        for i, r in enumerate(ways):
+            rows = pseudo_target(carried[r.src], rows, (r.src_id, r.dst_id), name, f"_part{i}", one_source=r.type.value[0])
+            parts.append(f"_part{i}")
+        some = F.filter(F.array(*parts), lambda x: x.isNotNull())
+        mean = F.aggregate(some, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(some), F.lit(0))
+        carried[dst] = rows.withColumn(name, mean).drop(*parts)
+    if surrogates:
+        keys = {(r.src, r.src_id) for r in catalog.relations} | {(r.dst, r.dst_id) for r in catalog.relations}
+        for t in [t for t in carried if t != catalog.main]:
+            of = lambda role, t=t: [c for c, r in catalog.tables[t].roles.items() if r == role and (t, c) not in keys]
+            carried[t] = with_surrogate(carried[t], of("n"), of("c"), name, name)
+    return catalog.replaced(**carried)
+
+
+def counts_of(catalog: Catalog, is_train: str) -> Catalog:
+    """The catalog with `n_train` and `n_all` in each table that a relation leads to: main's rows behind a row, in training and in all.
+
+    Rows that refer to a table are summed; a row that others are parts of hands its counts on to each. Of several parents the one whose training
+    shares differ most, by their standard deviation, is kept.
+    """
+    main = catalog.tables[catalog.main]
+    both = ["n_train", "n_all"]
+    held = {catalog.main: main.frame.withColumns({"n_train": F.col(is_train).cast("long"), "n_all": F.lit(1).cast("long")})}
+    for dst, ways in walk(catalog):
+        rows = catalog.tables[dst].frame
+        for i, r in enumerate(ways):
+            src = held[r.src].filter(F.col(r.src_id).isNotNull())
+            if r.type.value[0]:
+                rows = lookup(rows, src, (r.dst_id, r.src_id), [(f"_{c}{i}", c) for c in both])
+            else:
+                sums = src.groupBy(F.col(r.src_id).alias("_k")).agg(*[F.sum(c).alias(f"_{c}{i}") for c in both])
+                rows = rows.join(sums, rows[r.dst_id] == sums["_k"], "left").drop("_k")
+            rows = rows.withColumns({f"_{c}{i}": F.coalesce(f"_{c}{i}", F.lit(0)).cast("long") for c in both})
+        best = 0
+        if len(ways) > 1:
+            spread = rows.agg(*[F.stddev_pop(F.try_divide(F.col(f"_n_train{i}"), F.col(f"_n_all{i}"))).alias(f"s{i}") for i in range(len(ways))]).first()
+            best = max(range(len(ways)), key=lambda i: (spread[f"s{i}"] if spread[f"s{i}"] is not None else -1.0, -i))
+        held[dst] = rows.withColumns({c: F.col(f"_{c}{best}") for c in both}).drop(*[f"_{c}{i}" for c in both for i in range(len(ways))])
+    return catalog.replaced(**held)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofeat.functions import categorical as cat
 from chronofeat.functions import scalar
 from chronofeat.model import Catalog, Relation, RelationType, Table
-from chronofeat.operators import selection, temporal
+from chronofeat.operators import propagate, selection, temporal
 from chronofeat.plans import features as plan
-from chronofeat.plans import learn, stats
+from chronofeat.plans import learn, stats, tuning
 from chronofeat.queries import encodings
-from chronofeat.queries.asof import EVENTS_SQL, events
+from chronofeat.queries.asof import EVENTS_SQL, TIE, events
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -233,6 +235,91 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_end(s, ["event_type", "start"]).select("event_type", F.unix_seconds("start").alias("start"), "n", r6(F.col("total")).alias("total"), r6(F.col("mean")).alias("mean"), "last")
 
 
+def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("w"))
+    idf = cat.fit_idf(p, "p_partkey", F.col("w"), 64)
+    out = cat.hashed_tf_idf(p, "p_partkey", F.col("w"), idf, 64)
+    return out.select("p_partkey", F.explode(F.arrays_zip("indices", "values")).alias("c")).select("p_partkey", F.col("c.indices").alias("bucket"), r6(F.col("c.values")).alias("weight"))
+
+
+def heaviest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("w"))
+    return cat.heaviest_word(cat.tf_idf(p, "p_partkey", F.col("w")), "p_partkey").select("p_partkey", "word", r6(F.col("weight")).alias("weight"))
+
+
+def asof_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of a user's values so far, at each event, by a stream that gets events in several batches, a tenth of them up to two hours late."""
+    from chronofeat.session import shared_folder
+    from chronofeat.streaming import asof
+    from chronofeat.streaming.events import read_stream, run_to_end
+
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    came = F.unix_seconds("ts") + F.when(F.col("event_id") % 10 == 0, F.pmod(F.xxhash64("event_id"), F.lit(7000))).otherwise(0)
+    ends = e.agg(F.min(came).alias("a"), F.max(came).alias("b")).first()
+    step = ((ends["b"] or 0) - (ends["a"] or 0)) // 3 + 1
+    folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    for part in range(3):  # in the order in which they came
+        e.filter((came >= (ends["a"] or 0) + part * step) & (came < (ends["a"] or 0) + (part + 1) * step)).coalesce(1).write.mode("append").parquet(folder)
+    # A row of nobody's, long after, lets the watermark pass all others.
+    e.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), (F.coalesce("ts", F.current_timestamp()) + F.expr("INTERVAL 9 DAYS")).alias("ts"), F.lit(0.0).alias("value")).select(*[F.col(c).cast(t) for c, t in e.dtypes]).coalesce(1).write.mode("append").parquet(folder)
+    stream = read_stream(spark, folder, e, files=1)
+    rows = asof.sides(stream, stream, ("user_id", "user_id"), ("ts", "ts"), ("event_id", "event_id"), "value")
+    out = run_to_end(asof.answered(rows, "mean", "2 hours"), ["id"], "append")
+    return out.filter("id >= 0").select(F.col("id").alias("event_id"), r6(F.col("value") + TIE).alias("feature"))
+
+
+def tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trials of a search of trees by Parzen estimators with halving, best first."""
+    o = encodings.orders(spark, sf_dir)
+    space = {"maxDepth": tuning.Between(1, 5, whole=True), "stepSize": tuning.Between(0.02, 0.5, log=True), "subsamplingRate": tuning.Among((0.6, 0.8, 1.0))}
+    found = tuning.tune(o, "o_orderkey", "y", ["o_totalprice", "bin", "grp"], space, 4, 2, "bin", 2, (2, 4))
+    return spark.createDataFrame([(i, t.params["maxDepth"], float(t.params["stepSize"]), float(t.params["subsamplingRate"]), t.rung, float(t.score)) for i, t in enumerate(found)], "place int, depth int, step double, share double, rung int, auc double")
+
+
+def sales(spark: SparkSession, sf_dir: str) -> Catalog:
+    """Items with their customer and supplier, both of whom have a nation: it is reached by two parents."""
+    o, i = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    s = i.join(o, i["l_orderkey"] == o["o_orderkey"]).select(F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("s_row"), F.col("o_custkey").alias("s_custkey"), F.col("l_suppkey").alias("s_suppkey"), (F.col("l_returnflag") == "R").cast("double").alias("y"), (F.col("l_linenumber") % 3 == 0).cast("int").alias("is_train"))
+    t = {"sales": Table(s, "s_row"), "customer": Table(table(spark, sf_dir, "customer"), "c_custkey", None, {"c_acctbal": "n", "c_mktsegment": "c"}), "supplier": Table(table(spark, sf_dir, "supplier"), "s_suppkey", None, {"s_acctbal": "n"}), "nation": Table(table(spark, sf_dir, "nation"), "n_nationkey")}
+    one = RelationType.MANY_TO_ONE
+    rel = [Relation("sales", "s_custkey", "customer", "c_custkey", one), Relation("sales", "s_suppkey", "supplier", "s_suppkey", one), Relation("customer", "c_nationkey", "nation", "n_nationkey", one), Relation("supplier", "s_nationkey", "nation", "n_nationkey", one)]
+    return Catalog("sales", t, rel, "y")
+
+
+def each_table(c: Catalog, columns: list[Column]) -> DataFrame:
+    """Columns of all tables but main, by table and key."""
+    parts = [c.tables[t].frame.select(F.lit(t).alias("tab"), F.col(c.tables[t].row).cast("long").alias("key"), *columns) for t in ("customer", "supplier", "nation")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def propagated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return each_table(propagate.targets_of(sales(spark, sf_dir)), [r6(F.col("_target")).alias("target")])
+
+
+def propagated_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = propagate.targets_of(sales(spark, sf_dir), surrogates=True)
+    return c.tables["supplier"].frame.select("s_suppkey", r6(F.col("_target")).alias("target"))
+
+
+def propagated_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return each_table(propagate.counts_of(sales(spark, sf_dir), "is_train"), [F.col("n_train"), F.col("n_all")])
+
+
+SALES = "s AS (SELECT o_custkey AS c, l_suppkey AS p, (l_returnflag = 'R')::INT::DOUBLE AS y, (l_linenumber % 3 = 0)::INT AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
+CARRIED = f"""{SALES}, m AS (SELECT avg(y) AS m FROM s),
+c AS (SELECT c_custkey AS k, any_value(c_nationkey) AS n, (coalesce(sum(y), 0) + 1000 * any_value(m)) / (count(y) + 1000) AS v FROM customer LEFT JOIN s ON c = c_custkey, m GROUP BY 1),
+u AS (SELECT s_suppkey AS k, any_value(s_nationkey) AS n, (coalesce(sum(y), 0) + 1000 * any_value(m)) / (count(y) + 1000) AS v FROM supplier LEFT JOIN s ON p = s_suppkey, m GROUP BY 1),
+a AS (SELECT n_nationkey AS k, (coalesce(sum(v), 0) + 1000 * (SELECT avg(v) FROM c)) / (count(v) + 1000) AS v FROM nation LEFT JOIN c ON c.n = n_nationkey GROUP BY 1),
+b AS (SELECT n_nationkey AS k, (coalesce(sum(v), 0) + 1000 * (SELECT avg(v) FROM u)) / (count(v) + 1000) AS v FROM nation LEFT JOIN u ON u.n = n_nationkey GROUP BY 1)"""
+PROPAGATED_SQL = f"""WITH {CARRIED} SELECT 'customer' AS tab, k::BIGINT AS key, round(v, 6) + 0.0 AS target FROM c UNION ALL SELECT 'supplier', k, round(v, 6) + 0.0 FROM u UNION ALL SELECT 'nation', a.k, round((a.v + b.v) / 2, 6) + 0.0 FROM a JOIN b USING (k)"""
+COUNTED_SQL = f"""WITH {SALES}, c AS (SELECT c_custkey AS k, any_value(c_nationkey) AS n, coalesce(sum(t), 0) AS t, count(c) AS a FROM customer LEFT JOIN s ON c = c_custkey GROUP BY 1),
+u AS (SELECT s_suppkey AS k, any_value(s_nationkey) AS n, coalesce(sum(t), 0) AS t, count(p) AS a FROM supplier LEFT JOIN s ON p = s_suppkey GROUP BY 1),
+x AS (SELECT n_nationkey AS k, coalesce(sum(t), 0) AS t, coalesce(sum(a), 0) AS a FROM nation LEFT JOIN c ON c.n = n_nationkey GROUP BY 1), y AS (SELECT n_nationkey AS k, coalesce(sum(t), 0) AS t, coalesce(sum(a), 0) AS a FROM nation LEFT JOIN u ON u.n = n_nationkey GROUP BY 1),
+w AS (SELECT (SELECT coalesce(stddev_pop(t / nullif(a, 0)::DOUBLE), -1) FROM x) >= (SELECT coalesce(stddev_pop(t / nullif(a, 0)::DOUBLE), -1) FROM y) AS w)
+SELECT 'customer' AS tab, k::BIGINT AS key, t::BIGINT AS n_train, a::BIGINT AS n_all FROM c UNION ALL SELECT 'supplier', k, t, a FROM u UNION ALL SELECT 'nation', x.k, CASE WHEN w THEN x.t ELSE y.t END, CASE WHEN w THEN x.a ELSE y.a END FROM x JOIN y USING (k), w"""
+SURROGATES_SQL = f"""WITH {CARRIED}, f AS (SELECT s_suppkey, (s_acctbal > (SELECT median(s_acctbal) FROM supplier))::INT AS x, (v > (SELECT avg(v) FROM u))::INT AS z, v FROM supplier JOIN u ON k = s_suppkey),
+r AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS r FROM f), g AS (SELECT abs((sum(r) FILTER (z = 1) - sum(z) * (sum(z) + 1) / 2) / nullif(sum(z) * sum(1 - z), 0) - 0.5) AS d FROM r)
+SELECT s_suppkey, round(CASE WHEN d > 0 THEN x ELSE v END, 6) + 0.0 AS target FROM f, g"""
 PLAN_SQL = """WITH p(path, hops, many, tab, timed) AS (VALUES ('orders', 0, false, 'orders', true), ('orders_customer_c_custkey', 1, false, 'customer', false), ('orders_customer_c_custkey_nation_n_nationkey', 2, false, 'nation', false),
   ('orders_lineitem_l_orderkey', 1, true, 'lineitem', false), ('orders_orders_o_custkey', 1, true, 'orders', true)),
 c(tab, col, role) AS (VALUES ('orders', 'o_totalprice', 'n'), ('orders', 'o_orderstatus', 'c'), ('customer', 'c_acctbal', 'n'), ('customer', 'c_mktsegment', 'c'), ('nation', 'n_name', 'c'), ('lineitem', 'l_quantity', 'n'), ('lineitem', 'l_returnflag', 'c')),
@@ -300,6 +387,13 @@ QUERIES = {
     "fit_predict": fit_predict,
     "model_search": searched,
     "stream_hourly": stream,
+    "hashed_tf_idf": hashed,
+    "heaviest_word": heaviest,
+    "stream_asof_mean": asof_stream,
+    "model_tuned": tuned,
+    "propagated_targets": propagated,
+    "propagated_surrogate": propagated_surrogates,
+    "propagated_counts": propagated_counts,
 }
 SQL = {
     "time_parts_events": "SELECT event_id, hour(ts)::INT AS hour, year(ts)::INT AS year, dayofyear(ts)::INT AS dayofyear, (isodow(ts) - 1)::INT AS weekday, (isodow(ts) >= 6)::INT AS weekend, (hour(ts) // 6)::INT AS quarter_of_day, round((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6, 6) + 0.0 AS seconds FROM events",
@@ -338,4 +432,10 @@ s AS (SELECT s.o_orderkey, count(*) AS n, list(d.o_totalprice ORDER BY d.o_order
 SELECT o_orderkey, round(c_acctbal, 6) + 0.0 AS acctbal, c_mktsegment AS segment, round(a, 6) + 0.0 AS mean_quantity, round(b, 6) + 0.0 AS max_quantity, coalesce(c, 0)::DOUBLE AS flags, n::DOUBLE AS orders_so_far, round(list_sum(p[-10:]), 6) + 0.0 AS last_ten
 FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN l ON l_orderkey = o_orderkey JOIN s USING (o_orderkey)""",
     "stream_hourly": "SELECT event_type, epoch(date_trunc('hour', ts))::BIGINT AS start, count(*) AS n, round(sum(value), 6) + 0.0 AS total, round(avg(value), 6) + 0.0 AS mean, arg_max(value, ts) AS last FROM events GROUP BY 1, 2",
+    "hashed_tf_idf": "WITH c AS (SELECT p_partkey, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS bucket, count(*) AS n FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY 1, 2), d AS (SELECT bucket, count(*) AS df FROM c GROUP BY 1) SELECT p_partkey, bucket, round(n * ln((SELECT count(*) FROM part) / df::DOUBLE), 6) + 0.0 AS weight FROM c JOIN d USING (bucket)",
+    "heaviest_word": "WITH c AS (SELECT p_partkey, w, count(*) AS n FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY 1, 2), d AS (SELECT w, count(*) AS df FROM c GROUP BY 1), x AS (SELECT p_partkey, w, round(n * ln((SELECT count(*) FROM part) / df::DOUBLE), 9) AS x FROM c JOIN d USING (w)) SELECT p_partkey, w AS word, round(x, 6) + 0.0 AS weight FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY x DESC, w) AS r FROM x) WHERE r = 1",
+    "stream_asof_mean": f"WITH e AS (SELECT * FROM events) SELECT a.event_id, round(avg(b.value) + {TIE}, 6) + 0.0 AS feature FROM e a JOIN e b ON a.user_id = b.user_id AND b.ts <= a.ts GROUP BY 1",
+    "propagated_targets": PROPAGATED_SQL,
+    "propagated_surrogate": SURROGATES_SQL,
+    "propagated_counts": COUNTED_SQL,
 }
