@@ -34,6 +34,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE, LEAST_TOTAL, LEAST_MEAN = r"[A-Za-z0-9+/_=-]{20,}", 15.0, 0.75
 SPANS = "array<struct<start:bigint,k:int,end:bigint>>"
 SAMPLE_STRINGS, SMOOTH = 3000, 0.5
+#: Characters that are taken apart at a time.
+PIECE = 256
 
 
 def places(rows: DataFrame, kind: str, pattern: str, group: int, least: int) -> DataFrame:
@@ -50,9 +52,18 @@ def places(rows: DataFrame, kind: str, pattern: str, group: int, least: int) ->
     return placed.filter(F.col("token").isNotNull() & (F.col("size") >= least)).select("doc_id", "_th", F.lit(kind).alias("kind"), "start", "end", "token").distinct()
 
 
-def pairs(token: Column) -> Column:
-    """The character pairs of a token."""
-    return F.transform(F.sequence(F.lit(1), F.char_length(token) - 1), lambda i: F.substring(token, i, F.lit(2)))
+def pieces(token: Column) -> Column:
+    """A token in pieces of PIECE characters, each with the first character of the next, so that their pairs are the token's: the time is in proportion to its length."""
+    cut_up = F.regexp_extract_all(token, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    whole = F.zip_with(cut_up, F.slice(cut_up, F.lit(2), F.greatest(F.size(cut_up), F.lit(1))), lambda a, b: F.concat(a, F.coalesce(F.substring(b, 1, 1), F.lit(""))))
+    return F.filter(whole, lambda p: F.char_length(p) > 1)
+
+
+def with_pairs(rows: DataFrame, token: str, keep: list[str]) -> DataFrame:
+    """A row with `pair` for each pair of neighbouring characters of the token; a row holds a piece's pairs at most before they are spread."""
+    by_piece = rows.select(*keep, F.explode(pieces(F.col(token))).alias("_piece"))
+    pair = F.transform(F.sequence(F.lit(1), F.char_length("_piece") - 1), lambda i: F.substring(F.col("_piece"), i, F.lit(2)))
+    return by_piece.select(*keep, F.explode(pair).alias("pair"))
 
 
 def random_pairs(spark: SparkSession) -> DataFrame:
@@ -60,7 +71,7 @@ def random_pairs(spark: SparkSession) -> DataFrame:
     digest = F.sha2(F.col("id").cast("string"), 256)
     base64 = F.base64(F.unhex(digest))
     random = spark.range(SAMPLE_STRINGS).select(F.explode(F.array(F.substring(digest, 1, 40), base64, F.regexp_replace(F.upper(base64), "[+/=]", ""))).alias("token"))
-    return random.select(F.explode(pairs(F.col("token"))).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n1"))
+    return with_pairs(random, "token", []).groupBy("pair").agg(F.count(F.lit(1)).alias("n1"))
 
 
 def ordinary_words(docs: DataFrame) -> DataFrame:
@@ -75,7 +86,7 @@ def ordinary_pairs(words: DataFrame) -> DataFrame:
     first, last = F.substring(low, 1, 1), F.substring(low, -1, 1)
     form = lambda token, n: F.struct(token.alias("token"), n.alias("n"))
     forms = F.array(form(w, 2 * c), form(low, c), form(F.initcap(low), 2 * c), form(F.concat(last, F.lit("_")), c), form(F.concat(F.lit("_"), first), c))
-    inside = words.select(F.explode(forms).alias("f")).select(F.explode(pairs(F.col("f.token"))).alias("pair"), F.col("f.n").alias("n"))
+    inside = with_pairs(words.select(F.explode(forms).alias("f")).select("f.token", "f.n"), "token", ["n"]).select("pair", "n")
     # The hump of a camel-case name: last and first letters meet by their shares.
     ends = words.groupBy(last.alias("z")).agg(F.sum(c).alias("n"))
     starts = words.groupBy(F.upper(first).alias("a")).agg(F.sum(c).alias("n"))
@@ -101,7 +112,7 @@ def model(docs: DataFrame) -> DataFrame:
 
 def likely(found: DataFrame, ratios: DataFrame) -> DataFrame:
     """Those candidates that the models take for random strings."""
-    scored = found.select("doc_id", "_th", "start", "end", F.explode(pairs(F.col("token"))).alias("pair")).join(F.broadcast(ratios), "pair")
+    scored = with_pairs(found, "token", ["doc_id", "_th", "start", "end"]).join(F.broadcast(ratios), "pair")
     total = scored.groupBy("doc_id", "_th", "start", "end").agg(F.sum("ratio").alias("total"), F.avg("ratio").alias("mean"))
     return total.filter((F.col("total") >= LEAST_TOTAL) & (F.col("mean") >= LEAST_MEAN)).select("doc_id", "_th", F.lit("markov").alias("kind"), "start", "end")
 

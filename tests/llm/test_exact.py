@@ -125,6 +125,22 @@ def test_secrets(spark):
     assert cleaned[901] == "token:secret:abcdefghijklmnop [secret]" and "deadbeef" not in cleaned[902] and cleaned[903] == "akia none"
 
 
+def test_secrets_in_long_tokens(spark):
+    """A token of a megabyte takes time in proportion to its length; pairs across its pieces count."""
+    import time
+
+    rng = random.Random(3)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    long = "".join(rng.choices(chars, k=1_000_000))
+    begin = time.time()
+    got = {r["doc_id"]: r["spans"] for r in secretscan.scan(spark.createDataFrame([(1, "data " + long + " end"), (2, "x" * 700_000)], "doc_id long, text string")).collect()}
+    assert got[1] == "markov:5:1000005" and got[2] == "" and time.time() - begin < 120
+    token = "".join(rng.choices(chars, k=1000))
+    pairs = secretscan.with_pairs(spark.createDataFrame([(token,), (token[:257],), ("ab",), ("a",)], "t string"), "t", []).groupBy("pair").count().collect()
+    want = Counter(t[i : i + 2] for t in (token, token[:257], "ab", "a") for i in range(len(t) - 1))
+    assert {r["pair"]: r["count"] for r in pairs} == want
+
+
 def test_secrets_by_likelihood(spark):
     """The spans of the models against their counts in plain Python."""
     rng = random.Random(8)
