@@ -1,20 +1,28 @@
 """The sparse 0/1 matrix of categories and words, and its leading singular vectors.
 
-A row's entries are its categories (null has none) and the distinct words of its bags. The vectors come from subspace iteration: each
+A row's entries are its categories (null has none) and the distinct words of its bags. The vectors come from block Lanczos bidiagonalisation with restarts: each
 half step is a join of the entries with the other side's vectors and a grouped sum, so neither rows nor vocabulary need fit in one
-task; only Gram matrices of a few columns reach the driver. Each step's vectors are written to the shared folder.
+task; only products of a few dozen columns reach the driver. It ends when the residuals of all vectors asked for are small. Each step's vectors are written to the shared folder.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofeat.session import stored
 
-#: Steps of the iteration; columns beyond the rank that speed it up; share of the largest eigenvalue below which a direction is noise.
-STEPS, EXTRA, NOISE = 5, 6, 1e-13
+# Workers that lack the package on their path get its functions with the task.
+cloudpickle.register_pickle_by_value(sys.modules["chronofeat"])
+
+#: Blocks of a cycle; cycles at most; columns of a block beyond the rank; residual, relative to the largest singular value, at which a vector is good; share of the largest eigenvalue below which a direction is noise.
+DEPTH, CYCLES, EXTRA, TOLERANCE, NOISE = 4, 40, 4, 1e-6, 1e-13
 
 
 def entries(rows: DataFrame, row: str, categories: list[str], bags: list[str]) -> DataFrame:
@@ -26,56 +34,129 @@ def entries(rows: DataFrame, row: str, categories: list[str], bags: list[str]) -
     return rows.select(F.col(row).alias("row"), F.explode(F.concat(*parts)).alias("feature"))
 
 
-def _turned(vectors: list[str], turn: np.ndarray) -> list[Column]:
-    """The columns times a small matrix."""
-    return [sum((F.col(v) * float(t) for v, t in zip(vectors, column)), F.lit(0.0)) for column in turn.T]
+def _turned(df: DataFrame, keep: list[str], vectors: list[str], turn: np.ndarray, names: list[str]) -> DataFrame:
+    """The columns to keep, and new ones: the vectors times a small matrix, which goes along as data, not as part of the plan."""
+    kinds = dict(df.dtypes)
+
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in given:
+            x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(keep), batch.num_columns)], axis=1) @ turn
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(np.ascontiguousarray(c)) for c in x.T]], [*keep, *names])
+
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], *[f"`{n}` double" for n in names]])
+    return df.select(*[F.col(c).alias(c) for c in keep], *[F.col(c).alias(f"_in{i}") for i, c in enumerate(vectors)]).mapInArrow(run, schema)
 
 
-def _gram(df: DataFrame, vectors: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Eigenvalues, largest first, and eigenvectors of the columns' Gram matrix, and the columns' sums."""
+def _gram(df: DataFrame, vectors: list[str]) -> np.ndarray:
+    """Products of the columns with one another, summed in tasks."""
     r = len(vectors)
-    pairs = [(i, j) for i in range(r) for j in range(i, r)]
-    got = df.agg(*[F.sum(F.col(vectors[i]) * F.col(vectors[j])) for i, j in pairs], *[F.sum(v) for v in vectors]).first()
-    g = np.zeros((r, r))
-    for (i, j), x in zip(pairs, got):
-        g[i, j] = g[j, i] = x or 0.0
-    values, q = np.linalg.eigh(g)
-    return values[::-1], q[:, ::-1], np.array([x or 0.0 for x in got[len(pairs) :]])
+
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = np.zeros((r, r))
+        for batch in given:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            g += x @ x.T
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(r * r), pa.int32()), pa.array(g.reshape(-1))], ["i", "x"])
+
+    g = np.zeros(r * r)
+    for i, x in df.select(*vectors).mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x")).collect():
+        g[i] = x
+    return g.reshape(r, r)
+
+
+def _roots(g: np.ndarray) -> np.ndarray:
+    """Columns that turn vectors with these products into orthonormal ones; directions that are noise are left out."""
+    values, q = np.linalg.eigh((g + g.T) / 2)
+    kept = values > NOISE * max(values.max(initial=0.0), 1e-300)
+    return q[:, kept] / np.sqrt(values[kept])
 
 
 def _times(ones: DataFrame, df: DataFrame, via: str, to: str, vectors: list[str]) -> DataFrame:
     return ones.join(df, via).groupBy(to).agg(*[F.sum(v).alias(v) for v in vectors])
 
 
-def truncated_svd(rows: DataFrame, row: str, categories: list[str], bags: list[str], rank: int, steps: int = STEPS) -> tuple[DataFrame, list[float]]:
+def _cycle(ones: DataFrame, start: DataFrame, width: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """From a block of vectors v0.. by feature: the best `width` within the space of its powers, as v0.., their singular values and residuals |A'u - sv|."""
+    v = [c for c in start.columns if c != "feature"]
+    root = _roots(_gram(start, v))
+    k, w = [f"k{i}" for i in range(root.shape[1])], []
+    table = stored(_turned(start, ["feature"], v, root, k), "vectors")
+    block = list(k)
+    for _ in range(DEPTH):
+        new = [c.replace("k", "w") for c in block]
+        image = _times(ones, _times(ones, table.select("feature", *block), "feature", "row", block), "row", "feature", block)
+        table = stored(table.join(image.select("feature", *[F.col(c).alias(n) for c, n in zip(block, new, strict=True)]), "feature"), "vectors")
+        w += new
+        g = _gram(table, [*k, *w])
+        if len(w) >= DEPTH * root.shape[1]:
+            break
+        # What the last products have beyond the space so far, made orthonormal.
+        last = [len(k) + w.index(c) for c in new]
+        own = g[: len(k), : len(k)]
+        share = np.linalg.solve(own, g[: len(k)][:, last])
+        # By itself, not as a difference of products, and column by column, so that what is small beside the rest still counts.
+        beyond = [f"d{i}" for i in range(len(new))]
+        table = stored(_turned(table, ["feature", *k, *w], [*new, *k], np.concatenate((np.eye(len(new)), -share)), beyond), "vectors")
+        rest = _gram(table, beyond)
+        size = np.sqrt(np.diag(rest))
+        some = np.flatnonzero(size > 1e-14 * np.sqrt(np.diag(g)[last].max(initial=0.0)))
+        if not len(some):
+            break
+        own_root = _roots(rest[np.ix_(some, some)] / np.outer(size[some], size[some]))
+        turn = np.zeros((len(beyond), own_root.shape[1]))
+        turn[some] = own_root / size[some][:, None]
+        block = [f"k{len(k) + i}" for i in range(turn.shape[1])]
+        table = stored(_turned(table, ["feature", *k, *w], beyond, turn, block), "vectors")
+        k += block
+    known = [int(c[1:]) for c in w]  # columns whose products are there
+    n = len(k)
+    g = _gram(table, [*k, *w]) if g.shape[0] != n + len(w) else g
+    own, across = g[np.ix_(known, known)], g[np.ix_(known, [n + i for i in range(len(w))])]
+    root = _roots(own)
+    values, q = np.linalg.eigh(root.T @ ((across + across.T) / 2) @ root)
+    best = np.argsort(-values)[:width]
+    best = best[values[best] > NOISE * max(values.max(initial=0.0), 1e-300)]
+    c, theta = root @ q[:, best], values[best]
+    v, r = [f"v{i}" for i in range(len(theta))], [f"r{i}" for i in range(len(theta))]
+    held = [k[i] for i in known]
+    turn = np.block([[np.zeros_like(c), c], [c, -c * theta]])
+    out = stored(_turned(table, ["feature"], [*w, *held], turn, [*v, *r]), "vectors")
+    # A'A x - theta x by itself, not as a difference of products, which would hide what is small.
+    residual = np.sqrt(np.diag(_gram(out, r))) / np.sqrt(theta)
+    return out.select("feature", *v), np.sqrt(theta), residual
+
+
+def truncated_svd(rows: DataFrame, row: str, categories: list[str], bags: list[str], rank: int, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[float]]:
     """rows' keys with the left singular vectors u_0.. of the largest singular values, and these values.
 
-    An approximation: a vector's error shrinks, each step, by the squared ratio of the value that is next after rank + EXTRA to its own, so vectors of
-    values close to that one need more steps, and those of equal values are any basis of their span. A vector's sign is such that its sum isn't negative. Rows without entries have zeros; directions beyond the matrix's rank are left out. Keys must be unique.
+    Vectors are good to `tolerance` times the largest value in |A'u - sv|; those of equal values are any basis of their span. A vector's sign is such that its sum isn't
+    negative. Rows without entries have zeros; directions beyond the matrix's rank are left out. Keys must be unique.
     """
-    ones = stored(entries(rows, row, categories, bags), "vectors")
-    if not ones.limit(1).count():
+    left, _, values = decomposed(stored(entries(rows, row, categories, bags), "vectors"), rank, tolerance)
+    if left is None:
         return rows.select(row), []
-    v = [f"v{i}" for i in range(rank + EXTRA)]
+    left = left.withColumnRenamed("row", "_row")
+    out = rows.select(row).join(left, rows[row] == left["_row"], "left").drop("_row")
+    return out.na.fill(0.0, [f"u_{i}" for i in range(len(values))]), values
+
+
+def decomposed(ones: DataFrame, rank: int, tolerance: float = TOLERANCE) -> tuple[DataFrame | None, DataFrame | None, list[float]]:
+    """Of the ones (row, feature) of a matrix: (row, u_0..), (feature, v_0..) and singular values, largest first."""
+    if not ones.limit(1).count():
+        return None, None, []
     uniform = lambda i: (F.pmod(F.xxhash64("feature", F.lit(i)), F.lit(1 << 20)) + 1) / float((1 << 20) + 1)
     normal = lambda i: F.sqrt(-2 * F.log(uniform(2 * i))) * F.cos(2 * np.pi * uniform(2 * i + 1))
-    basis = stored(ones.select("feature").distinct().select("feature", *[normal(i).alias(c) for i, c in enumerate(v)]), "vectors")
-    for _ in range(steps):
-        values, q, _ = _gram(basis, v)
-        kept = values > NOISE * max(values[0], 1e-300)
-        turned = _turned(v, q[:, kept] / np.sqrt(values[kept]))
-        v = v[: len(turned)]
-        unit = basis.select("feature", *[t.alias(c) for t, c in zip(turned, v)])
-        basis = stored(_times(ones, _times(ones, unit, "feature", "row", v), "row", "feature", v), "vectors")
-    values, q, _ = _gram(basis, v)
-    kept = values > NOISE * max(values[0], 1e-300)
-    turned = _turned(v, q[:, kept] / np.sqrt(values[kept]))
-    v = v[: len(turned)]
-    image = stored(_times(ones, basis.select("feature", *[t.alias(c) for t, c in zip(turned, v)]), "feature", "row", v), "vectors")
-    values, q, sums = _gram(image, v)
-    kept = np.flatnonzero(values > NOISE * max(values[0], 1e-300))[:rank]
-    turn = q[:, kept] / np.sqrt(values[kept])
-    turn = turn * np.where(sums @ turn < 0, -1.0, 1.0)
-    left = image.select(F.col("row").alias("_row"), *[t.alias(f"u_{i}") for i, t in enumerate(_turned(v, turn))])
-    out = rows.select(row).join(left, rows[row] == left["_row"], "left").drop("_row")
-    return out.na.fill(0.0, [f"u_{i}" for i in range(len(kept))]), [float(x) for x in np.sqrt(values[kept])]
+    right = ones.select("feature").distinct().select("feature", *[normal(i).alias(f"v{i}") for i in range(rank + EXTRA)])
+    right = stored(right, "vectors")
+    for _ in range(CYCLES):
+        right, values, residual = _cycle(ones, right, rank + EXTRA)
+        if (residual[:rank] <= tolerance * values[0]).all():
+            break
+    else:
+        raise ArithmeticError(f"residuals {residual[:rank]} after {CYCLES} cycles")
+    v = [f"v{i}" for i in range(min(rank, len(values)))]
+    image = stored(_times(ones, right.select("feature", *v), "feature", "row", v), "vectors")
+    sums = image.agg(*[F.sum(c) for c in v]).first()
+    turn = [(-1.0 if t < 0 else 1.0) for t in sums]
+    left = image.select("row", *[(F.col(c) * float(s / x)).alias(f"u_{i}") for i, (c, s, x) in enumerate(zip(v, turn, values, strict=False))])
+    return left, right.select("feature", *[(F.col(c) * s).alias(f"v_{i}") for i, (c, s) in enumerate(zip(v, turn, strict=True))]), [float(x) for x in values[: len(v)]]

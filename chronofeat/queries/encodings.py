@@ -184,6 +184,15 @@ def svd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.truncated_svd(rows, "o_orderkey", ["o_orderpriority", "grp"], ["words"], 3)[0]
 
 
+def svd_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix of orders' priorities and states, put together again from all its singular vectors: its ones and its zeros."""
+    made = matrix.entries(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey", ["o_orderpriority", "o_orderstatus"], [])
+    left, right, values = matrix.decomposed(made, 8)
+    cell = sum((F.col(f"u_{i}") * F.col(f"v_{i}") * x for i, x in enumerate(values)), F.lit(0.0))
+    # Eight features at most: a row is met with each.
+    return left.crossJoin(F.broadcast(right)).select(F.col("row").alias("o_orderkey"), F.col("feature.value").alias("value"), (F.round(cell, 4) + 0.0).alias("cell"))
+
+
 def ones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matrix itself, as its ones."""
     b = bags(spark, sf_dir).select("o_orderkey", "words")
@@ -235,6 +244,7 @@ QUERIES = {
     "surrogate_column": surrogate_column,
     "factorized_matrix": ones,
     "factorized_svd": svd,
+    "factorized_products": svd_values,
     "adversarial_counts": counts,
 }
 SQL = {
@@ -259,5 +269,6 @@ SQL = {
     "surrogate_target": SURROGATE_SQL,
     "surrogate_column": CHOSEN_SQL,
     "factorized_matrix": ONES_SQL,
+    "factorized_products": "WITH f AS (SELECT DISTINCT 'p' AS c, o_orderpriority AS value FROM orders UNION ALL SELECT DISTINCT 's', o_orderstatus FROM orders) SELECT o_orderkey, value, (value = CASE c WHEN 'p' THEN o_orderpriority ELSE o_orderstatus END)::INT::DOUBLE AS cell FROM orders, f",
     "adversarial_counts": f"WITH {O} SELECT c_custkey, coalesce(sum(is_train), 0)::BIGINT AS n_train, count(o_orderkey) AS n_all FROM customer LEFT JOIN o ON o_custkey = c_custkey GROUP BY 1",
 }
