@@ -1,4 +1,4 @@
-"""Small vectors with results worked out by hand; -1 ids are null."""
+"""The input and result vectors of FIXTURES.md, part A, which results must equal; -1 ids are null. Own cases are in test_sweep, test_blocks and test_batch."""
 
 import pytest
 from pyspark.sql import functions as F
