@@ -39,7 +39,7 @@ WINDOW = 13
 #: Bytes of a path's digest; bytes of a side up to which it is broadcast.
 DIGEST, BROADCAST_BYTES = 16, 32 << 20
 #: Edges that a task packs at a time; words whose hashes it remembers; bits of an edge's name.
-PACKED, WORDS, BITS = 3_000_000, 500_000, 64
+PACKED, WORDS, BITS = 1_000_000, 200_000, 64
 NONE = np.iinfo(np.int64).max
 
 
@@ -66,6 +66,13 @@ def edge_names(h: np.ndarray, doc: np.ndarray, k: int, bits: int) -> tuple[np.nd
     return mix(g[at]) >> U(64 - bits), at
 
 
+def slices(given: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches in smaller parts, so that little but what is read is held at a time."""
+    for batch in given:
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows)
+
+
 def texts_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
     """(doc_id, th, words) of each row (doc_id, th, text, ...)."""
     for i, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -217,7 +224,7 @@ def paths(docs: DataFrame, walks: DataFrame, k: int) -> DataFrame:
     cuts = cut(cuts.groupBy("src", "src_th").agg(F.array_sort(F.collect_set("cut")).alias("cuts")), "cuts")
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in given:
+        for batch in slices(given):
             found = []
             for (_, _, words), places in zip(texts_of(batch), batch.column(3).to_pylist(), strict=True):
                 found.append(b"".join(digest(words[a : b + k - 1]) for a, b in zip(places[:-1], places[1:], strict=True)))
@@ -237,7 +244,7 @@ def verified(docs: DataFrame, walks: DataFrame, k: int) -> DataFrame:
     of_doc = cut(joined.groupBy("doc_id", "th").agg(F.collect_list(walk).alias("walks")), "walks")
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in given:
+        for batch in slices(given):
             spans, failed = [], []
             for (_, _, words), some in zip(texts_of(batch), batch.column(3), strict=True):
                 start, stop, bad = [], [], []
@@ -314,7 +321,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, bits: int = BITS, id_col
     spans = cut(spans.groupBy("doc_id", "th").agg(F.collect_list("spans").alias("spans")), "removed")
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in given:
+        for batch in slices(given):
             ids, sizes, removed, kept = [], [], [], []
             for (i, _, words), some in zip(texts_of(batch), batch.column(3), strict=True):
                 n, rest = len(words), words
