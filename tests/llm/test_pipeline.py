@@ -93,5 +93,5 @@ def test_stages_carry_clashing_names_and_stand_empty_tables_and_long_texts(spark
 
 def test_registered():
     names = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(names)
