@@ -18,6 +18,19 @@ def low(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
 
+def test_licenses_grant_no_more_than_the_text(spark):
+    long = "This work is licensed under a Creative Commons {} 4.0 International License."
+    names = {"Attribution": "cc-by", "Attribution-NonCommercial": "cc-by-nc", "Attribution-ShareAlike": "cc-by-sa", "Attribution-NoDerivatives": "cc-by-nd", "Attribution-NonCommercial-ShareAlike": "cc-by-nc-sa", "Attribution-NonCommercial-NoDerivatives": "cc-by-nc-nd"}
+    cases = [(long.format(n), label) for n, label in names.items()]
+    cases += [(f"some words, Creative Commons {n} 4.0 International, and more", label) for n, label in names.items()]
+    cases += [(f"Licensed under {label.upper()} 4.0.", label) for label in names.values()]
+    cases += [(long.format("Attribution") + " But the images: " + long.format("Attribution-NonCommercial"), "cc-by,cc-by-nc")]
+    cases += [("licensed under CC BY-XX 4.0", ""), ("licensed under cc by", ""), ("This work is licensed under a Creative Commons Sampling 4.0 International License", ""), ("licensed under the apache foundation", ""), ("This work is licensed under a Creative Commons Attribution 3.0 Unported License.", "cc-by")]
+    cases += [(long.format("Attribution-NonCommercial").replace("work", "very long " * 50_000 + "work"), "cc-by-nc")]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in licenses.scan(d).collect()} == {i: label for i, (_, label) in enumerate(cases)}
+
+
 @pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
 def test_jaccard(spark, n, percent):
     def shingles(t):
