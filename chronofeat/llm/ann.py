@@ -6,7 +6,8 @@ cuts are medians of a sample of at most SAMPLE projected vectors, its boxes hold
 most about BLOCK vectors; a cell with more, such as one of many equal vectors, has several. A query goes to the cells nearest in
 the projection, in rounds of growing number, and verifies their vectors in double precision, until a chi-square test says
 that an unseen vector nearer than its k-th best would almost surely have shown up: the squared projected distance over
-the squared true one has DIMS degrees of freedom. Only queries and their best k move between rounds.
+the squared true one has DIMS degrees of freedom. Queries of near cells travel as blocks, one row for each cell that any of them
+opens, with their k-th best so far: a block of candidates hands on what reaches it and nothing else, so rows follow the queries, not the cells.
 
 Vectors whose distances are all alike (random ones of many dimensions) leave little to prune: most cells pass the test, and the
 search verifies most of the table.
@@ -50,6 +51,11 @@ def chi_square_quantile(p: float, m: int) -> float:
     return hi
 
 
+def cell_size(rows: int) -> int:
+    """Vectors to a cell: four times the root of all rows, so that small tables have a tree as well; BLOCK at most."""
+    return min(BLOCK, math.ceil(4 * math.sqrt(rows)))
+
+
 class Index:
     """Projection and kd-tree of the vectors of one length."""
 
@@ -66,7 +72,7 @@ class Index:
 
     def grow(self, points: np.ndarray) -> None:
         """Cut the widest side at its median until there are enough cells, or no side is left to cut."""
-        want, cells, todo = min(CELLS, -(-self.rows // BLOCK)), 1, [(np.arange(len(points)), None)]
+        want, cells, todo = min(CELLS, -(-self.rows // cell_size(self.rows))), 1, [(np.arange(len(points)), None)]
         while todo:
             rows, place = todo.pop(0)
             x = points[rows]
@@ -157,55 +163,111 @@ def candidate_blocks(v: DataFrame, index: dict[int, Index]) -> DataFrame:
     return packed(in_parts(placed, BLOCK, "vec_id"), index, "vec_id")
 
 
-def routes(queries: DataFrame, index: dict[int, Index], begin: int, end: int) -> DataFrame:
-    """(query_id, dim, embedding, cell) of the cells of ranks begin to end - 1 by distance, of queries whose test has not stopped them. kth: the k-th best inner product so far, or null."""
+def query_blocks(queries: DataFrame, index: dict[int, Index]) -> DataFrame:
+    """(dim, block, ids, data): queries of near cells in blocks of about QUERIES."""
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for dim, rows, x in by_length(pdf):
+                yield rows.assign(cell=index[dim].cells(index[dim].project(x)))
+
+    placed = queries.mapInPandas(place, "query_id long, dim int, embedding array<double>, cell int")
+    count = placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"))  # at most CELLS rows a length
+    before = F.sum("n").over(Window.partitionBy("dim").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    starts = count.withColumn("before", F.coalesce(before, F.lit(0)))
+    # A cell's queries are dealt to the blocks that its stretch of the running count touches.
+    at = F.col("before") + F.pmod(F.xxhash64("query_id", F.lit(3)), F.col("n"))
+    dealt = placed.join(F.broadcast(starts), ["dim", "cell"]).withColumn("block", F.floor(at / QUERIES).cast("long"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["embedding"].to_numpy()).astype("<f8")
+        return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "ids": [pdf["query_id"].to_numpy().astype("<i8").tobytes()], "data": [x.tobytes()]})
+
+    return dealt.groupBy("dim", "block").applyInPandas(run, "dim int, block long, ids binary, data binary")
+
+
+def member_blocks(blocks: DataFrame) -> DataFrame:
+    """(query_id, dim, block)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                yield pd.DataFrame({"query_id": np.frombuffer(r.ids, "<i8"), "dim": r.dim, "block": r.block})
+
+    return blocks.select("dim", "block", "ids").mapInPandas(run, "query_id long, dim int, block long")
+
+
+def routes(blocks: DataFrame, best: DataFrame, index: dict[int, Index], begin: int, end: int) -> DataFrame:
+    """(dim, block, cell, at, kth): the cells of ranks begin to end - 1 by distance that queries of a block open, the places of those queries in the block, and their k-th best inner products so far (-inf: none).
+
+    best: (dim, block, known), by query the k-th best so far.
+    """
     limit = chi_square_quantile(SURE, DIMS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for dim, rows, x in by_length(pdf):
-                i = index[dim]
-                for a in range(0, len(x), QUERIES):
-                    q, some = x[a : a + QUERIES], rows.iloc[a : a + QUERIES]
-                    bound = i.bounds(i.project(q, True))
-                    order = np.argsort(bound, 1, kind="stable")[:, begin:end]
-                    # Squared distance of the k-th best once the query is scaled, infinite while there is none.
-                    kth = some["kth"].to_numpy(dtype=float, na_value=np.nan)
-                    kth = np.where(np.isnan(kth), np.inf, 2 * i.most**2 - 2 * kth * i.most / np.sqrt((q * q).sum(1)))
-                    at, j = np.nonzero(np.take_along_axis(bound, order, 1) <= limit * kth[:, None])
-                    if len(at):
-                        yield pd.DataFrame({"query_id": some["query_id"].to_numpy()[at], "dim": dim, "embedding": list(q[at]), "cell": order[at, j]})
-
-    return queries.mapInPandas(run, "query_id long, dim int, embedding array<double>, cell int")
-
-
-def best_of(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best candidates of each query in a block; ids of candidates ascend."""
+            for r in pdf.itertuples(index=False):
+                i, ids = index[int(r.dim)], np.frombuffer(r.ids, "<i8")
+                q = np.frombuffer(r.data, "<f8").reshape(len(ids), -1)
+                known = {x["query_id"]: x["kth"] for x in r.known} if r.known is not None else {}
+                kth = np.array([known.get(x, -np.inf) for x in ids.tolist()])
+                bound = i.bounds(i.project(q, True))
+                order = np.argsort(bound, 1, kind="stable")[:, begin:end]
+                # Squared distance of the k-th best once the query is scaled, infinite while there is none.
+                far = 2 * i.most**2 - 2 * kth * i.most / np.sqrt((q * q).sum(1))
+                at, j = np.nonzero(np.take_along_axis(bound, order, 1) <= limit * far[:, None])
+                cells = order[at, j]
+                by = np.argsort(cells, kind="stable")
+                at, cells = at[by], cells[by]
+                edge = np.flatnonzero(np.diff(cells, prepend=-1))
+                parts = np.split(at, edge[1:]) if len(edge) else []
+                if parts:
+                    yield pd.DataFrame({"dim": r.dim, "block": r.block, "cell": cells[edge], "at": [p.astype("<i4").tobytes() for p in parts], "kth": [kth[p].astype("<f8").tobytes() for p in parts]})
+
+    return blocks.join(best, ["dim", "block"], "left").mapInPandas(run, "dim int, block long, cell int, at binary, kth binary")
+
+
+def best_of(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query the k best candidates in a block that reach its least score: places of queries, ids, scores. Ids of candidates ascend."""
     dot = q @ c.T
     dot[qid[:, None] == cid[None]] = -np.inf
     # Products of a matrix may round equal vectors differently: those near the k-th best are computed one by one.
     slack = 1e-9 * (1 + np.abs(np.where(np.isinf(dot), 0, dot)).max())
     kth = np.partition(dot, -k, axis=1)[:, -k] if len(cid) > k else np.full(len(qid), -np.inf)
-    at, row = np.nonzero((dot >= kth[:, None] - slack) & ~np.isinf(dot))
+    at, row = np.nonzero((dot >= np.maximum(kth, least)[:, None] - slack) & ~np.isinf(dot))
     score = np.einsum("nd,nd->n", q[at], c[row])
-    order = np.lexsort((row, -score, at))
-    at, row, score = at[order], row[order], score[order]
-    first = np.searchsorted(at, at)
-    keep = np.arange(len(at)) - first < k
-    return pd.DataFrame({"query_id": qid[at[keep]], "vec_id": cid[row[keep]], "score": score[keep]})
+    fine = score >= least[at]
+    at, row, score = at[fine], row[fine], score[fine]
+    return leaders(at, cid[row], score, k)
+
 
+def leaders(at: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query by score, then id."""
+    order = np.lexsort((ids, -score, at))
+    at, ids, score = at[order], ids[order], score[order]
+    keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[keep], ids[keep], score[keep]
 
-def searched(asked: DataFrame, blocks: DataFrame, index: dict[int, Index], k: int) -> DataFrame:
-    """SCHEMA rows of the routed queries and their cells' blocks."""
+
+def searched(asked: DataFrame, queries: DataFrame, blocks: DataFrame, index: dict[int, Index], k: int) -> DataFrame:
+    """SCHEMA rows of the routed queries in their cells' blocks that reach the k-th best so far. Blocks of queries that come together in a task are folded before they are handed on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                vectors = lambda b: np.frombuffer(b, "<f8").reshape(-1, r.dim)  # noqa: B023, E731
-                yield best_of(np.frombuffer(r.q_ids, "<i8"), vectors(r.q_data), np.frombuffer(r.ids, "<i8"), vectors(r.data), k)
-
-    q = packed(in_parts(asked, QUERIES, "query_id"), index, "query_id").select("dim", "cell", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    return q.join(blocks.select("dim", "cell", "ids", "data"), ["dim", "cell"]).mapInPandas(run, SCHEMA)
+            for _, rows in pdf.groupby(["dim", "block"]):
+                first = rows.iloc[0]
+                qid = np.frombuffer(first["q_ids"], "<i8")
+                q = np.frombuffer(first["q_data"], "<f8").reshape(len(qid), -1)
+                found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+                for r in rows.itertuples(index=False):
+                    some = np.frombuffer(r.at, "<i4").astype(np.int64)
+                    ids = np.frombuffer(r.ids, "<i8")
+                    at, cid, score = best_of(qid[some], q[some], ids, np.frombuffer(r.data, "<f8").reshape(len(ids), -1), k, np.frombuffer(r.kth, "<f8"))
+                    found = leaders(*(np.concatenate(x) for x in zip(found, (some[at], cid, score), strict=True)), k)
+                yield pd.DataFrame({"query_id": qid[found[0]], "vec_id": found[1], "score": found[2]})
+
+    asked = asked.join(queries.select("dim", "block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), ["dim", "block"])
+    return asked.join(blocks.select("dim", "cell", "ids", "data"), ["dim", "cell"]).mapInPandas(run, SCHEMA)
 
 
 def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -216,7 +278,7 @@ def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", opened: list | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score. `opened` takes the rounds' frames of (query_id, dim, embedding, cell)."""
+    """query_id, rank, vec_id, score. `opened` takes the rounds' frames of (dim, block, cell, at, kth)."""
     v = cut(valid(vectors, id_col, vec_col), "vectors")
     index = indexes(v)
     found = [v.sparkSession.createDataFrame([], SCHEMA)]
@@ -228,14 +290,16 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
         for dim, i in index.items():
             own = boxes[boxes["dim"] == dim].set_index("cell").reindex(range(len(i.cuts) + 1))
             i.lo, i.hi = (own[[f"{side}{d}" for d in range(DIMS)]].fillna(np.inf).to_numpy() for side in ("lo", "hi"))
-        queries = v.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "dim", "embedding")
+        asking = cut(query_blocks(v.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "dim", "embedding"), index), "queries")
+        member = member_blocks(asking)
         begin, end, cells = 0, FIRST, max(len(i.cuts) + 1 for i in index.values())
         while begin < cells:
             kth = ranked().filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
-            asked = cut(routes(queries.join(kth, "query_id", "left"), index, begin, end), "asked")
+            best = kth.join(member, "query_id").groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "kth")).alias("known"))  # a block's queries at most
+            asked = cut(routes(asking, best, index, begin, end), "asked")
             if opened is not None:
                 opened.append(asked)
-            found = [cut(found[0].unionByName(searched(asked, blocks, index, k)), "found")]
+            found = [cut(found[0].unionByName(searched(asked, asking, blocks, index, k)), "found")]
             found = [cut(ranked().drop("rank"), "best")]
             begin, end = end, 4 * end
     return ranked().select("query_id", "rank", "vec_id", "score")
