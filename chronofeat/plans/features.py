@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from chronofeat.model import Catalog, Path, Table
 from chronofeat.operators.aggregates import COUNTED, ORDERED
 from chronofeat.plans import batch, paths
+from chronofeat.plans.dependencies import Dependency, one_in_substance
 
 
 @dataclass(frozen=True)
@@ -113,9 +114,17 @@ def identify(path: Path, table: Table) -> list[Feature]:
     return [Feature("identify", path, c, "last", "last", cost(path)) for c, r in table.roles.items() if r in "nct"]
 
 
-def candidates(catalog: Catalog, most_hops: int = 3, most: int | None = None) -> list[Feature]:
-    """Features of all paths, cheapest first; at most so many."""
+def candidates(catalog: Catalog, most_hops: int = 3, most: int | None = None, depends: set[Dependency] | None = None) -> list[Feature]:
+    """Features of all paths, cheapest first; at most so many. depends: what keys determine (`dependencies.known`); without it relations are what they are declared to be.
+
+    Columns that a to-many path determines are looked up along it, and neither aggregated nor counted by value.
+    """
     found = [f for p in paths.search(catalog, most_hops) for r in RULES for f in r(p, catalog.tables[p.end])]
+    if depends is not None:
+        one = lambda f: f.column is not None and f.path.to_many and one_in_substance(f.path, f.column, depends)
+        found = [f for f in found if not ((f.kind in KINDS or f.kind.startswith("one_hot")) and one(f))]
+        looked_up = [Feature("identify", p, c, "last", "last", cost(p)) for p in paths.search(catalog, most_hops) if p.to_many for c, r in catalog.tables[p.end].roles.items() if r in "nct"]
+        found += [f for f in looked_up if one(f)]
     return sorted(found, key=lambda f: (f.cost, f.name))[:most]
 
 

@@ -10,7 +10,7 @@ from chronofeat.model import Catalog, Path, Relation, RelationType, Table
 from chronofeat.operators import selection, temporal
 from chronofeat.operators import target_encoding as te
 from chronofeat.plans import features as plan
-from chronofeat.plans import manipulations, paths
+from chronofeat.plans import dependencies, fit, manipulations, paths
 from chronofeat.queries import encodings
 from chronofeat.queries.asof import TIE
 from chronofeat.queries.encodings import O, orders
@@ -191,6 +191,46 @@ def induced_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return te.temporal(o, "c_mktsegment", "y", "bin", 5.0, "feature").select("o_orderkey", r6("feature").alias("feature"))
 
 
+def in_substance(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The catalog with items that carry their order's priority and their part's brand: of many items, one value by order and by part."""
+    c = catalog(spark, sf_dir)
+    o, p = c.tables["orders"].frame, c.tables["part"].frame
+    items = c.tables["lineitem"]
+    rows = items.frame.join(o.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("l_priority")), "l_orderkey", "left")
+    rows = rows.join(p.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("l_brand")), "l_partkey", "left")
+    tables = {**c.tables, "lineitem": Table(rows, items.row, items.time, {**items.roles, "l_priority": "c", "l_brand": "c"})}
+    return Catalog(c.main, tables, c.relations, c.target)
+
+
+def key_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dependencies.of_catalog(in_substance(spark, sf_dir)).select("table", "key", "column", "keys", "varying")
+
+
+def looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What items determine by their order is looked up along the to-many relation, beside a mean of what they do not."""
+    c = in_substance(spark, sf_dir)
+    offered = plan.candidates(c, 1, depends=dependencies.known(c))
+    names = {("identify", "l_priority"): "priority", ("mean", "l_quantity"): "quantity"}
+    some = {f: names[f.kind, f.column] for f in offered if f.path.name == ITEMS and (f.kind, f.column) in names}
+    rows = plan.build(c, list(some))
+    return rows.select("o_orderkey", *[(r6(f.name) if v == "quantity" else F.col(f.name)).alias(v) for f, v in some.items()])
+
+
+def model_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions for orders without a target by everything in a row: dependencies, learned order of candidates, gates, limits, bagging."""
+    return fit.predict(fit.fit(in_substance(spark, sf_dir), most_hops=1, most=24, iterations=8))
+
+
+def dependency_sql() -> str:
+    items = ["l_quantity", "l_returnflag", "l_linestatus", "l_shipdate", "l_due", "l_priority", "l_brand", "l_partkey", "l_orderkey"]
+    own = ["o_totalprice", "o_orderpriority", "o_custkey", "o_orderkey"]
+    parts = [(t, f, k, c) for t, f, keys, cols in (("lineitem", "i", ("l_orderkey", "l_partkey"), items), ("orders", "orders", ("o_custkey",), own)) for k in keys for c in cols if k != c]
+    one = lambda t, f, k, c: f"SELECT '{t}' AS \"table\", '{k}' AS key, '{c}' AS \"column\", count(*) AS keys, count(*) FILTER (d > 1) AS varying FROM (SELECT count(DISTINCT {c}) AS d FROM {f} WHERE {k} IS NOT NULL GROUP BY {k})"
+    return """WITH i AS (SELECT lineitem.*, l_shipdate + to_days(l_linenumber::INT) AS l_due, o_orderpriority AS l_priority, p_brand AS l_brand
+FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN part ON p_partkey = l_partkey)
+""" + " UNION ALL ".join(one(*p) for p in parts)
+
+
 #: Features of five paths and of all builders, run together.
 TOGETHER = {
     (PARTS, "target_encoding__p_brand"): ("brand", 6), (PARTS, "hist_encoding__p_size"): ("size", 6), (ITEMS, "factorized_encoding__l_returnflag__l_linestatus"): ("flags", 6),
@@ -202,6 +242,9 @@ TOGETHER = {
 }
 
 QUERIES = {
+    "key_dependencies": key_dependencies,
+    "planned_in_substance": looked_up,
+    "model_fit": model_fit,
     "planned_together": batched(TOGETHER),
     "planned_target_encoding": made(PARTS, {"target_encoding__p_brand": "feature"}),
     "planned_target_encoding_timed": made("orders", {"target_encoding__o_orderpriority": "feature"}),
@@ -225,6 +268,8 @@ QUERIES = {
     "te_adversarial_temporal": encodings.encoded(te.regularized, "grp", "y", "is_train", 40.0, time="bin"),
 }
 SQL = {
+    "key_dependencies": dependency_sql(),
+    "planned_in_substance": "SELECT o_orderkey, CASE WHEN count(l_orderkey) > 0 THEN any_value(o_orderpriority) END AS priority, round(avg(l_quantity), 6) + 0.0 AS quantity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
     "planned_target_encoding": f"WITH {I}, b AS (SELECT i.*, p_brand FROM i LEFT JOIN part ON p_partkey = l_partkey), {loo('p_brand', 'b')} {BACK}",
     "planned_target_encoding_timed": f"WITH {Y}, m AS (SELECT avg(y) AS m FROM o), b AS (SELECT o_orderpriority AS c, o_orderdate AS t, coalesce(sum(y), 0) AS s, count(y) AS n FROM o GROUP BY 1, 2), p AS (SELECT x.c, x.t, coalesce(sum(z.s), 0) AS s, coalesce(sum(z.n), 0) AS n FROM b x LEFT JOIN b z ON z.c = x.c AND z.t < x.t GROUP BY 1, 2) SELECT o_orderkey, round(CASE WHEN n = 0 THEN m ELSE (s + m * 5) / (n + 5) END, 6) + 0.0 AS feature FROM o JOIN p ON c = o_orderpriority AND t = o_orderdate, m",
     "planned_factorized_encoding": pair_sql(),
