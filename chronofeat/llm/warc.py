@@ -8,8 +8,9 @@ least `min_revisit` bytes.
 
 Defined cases: a null payload is empty; a null id is written as an empty record
 id, sorts after all others, and refers to or is referred to like any other;
-rows that repeat an id and payload are both responses or both revisits; an empty
-table gives an empty archive; other columns are ignored.
+rows that repeat an id and payload are both responses or both revisits; very long
+payloads are stored and rebuilt whole, one row each; an empty table gives an empty
+archive; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,16 +23,19 @@ from pyspark.sql import functions as F
 from chronofeat.session import shared_folder
 
 CRLF = "\r\n"
+#: WARC-Date of records whose table has no time; every record must have one.
+DATE = "1970-01-01T00:00:00Z"
 
 
-def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_revisit: int = 100) -> None:
-    """Two Parquet tables under path: payloads(digest, payload) and records(id, header, digest)."""
+def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_revisit: int = 100, date_col: str | None = None) -> None:
+    """Two Parquet tables under path: payloads(digest, payload) and records(id, header, digest). date_col: the time of capture; without it, and where it is null, records are dated DATE."""
     body = F.encode(F.coalesce(F.col(body_col).cast("string"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), body.alias("payload"))
+    date = F.coalesce(F.date_format(F.col(date_col), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(DATE)) if date_col else F.lit(DATE)
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), body.alias("payload"), date.alias("date"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     # One row per digest: the map side already folds copies, so a payload that a third of all pages share is no hot group.
     rows.groupBy("digest").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
-    light = rows.select("id", "url", "digest", F.octet_length("payload").cast("long").alias("n"))
+    light = rows.select("id", "url", "date", "digest", F.octet_length("payload").cast("long").alias("n"))
     firsts = light.filter(F.col("n") >= min_revisit).groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     light = light.join(firsts, "digest", "left")
     again = F.col("first_id").isNotNull() & (F.col("id").isNull() | (F.col("id") != F.col("first_id")))
@@ -40,6 +44,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", F.when(again, "revisit").otherwise("response")),
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(">"))),
+        line("WARC-Date", F.col("date")),
         line("WARC-Target-URI", F.regexp_replace("url", "[\r\n]", "")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         F.when(again, F.concat(line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("first_id").cast("string"), F.lit(">"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(""),
@@ -71,13 +76,23 @@ def record_bytes() -> F.Column:
     return F.concat("header", F.when(F.col("record_type") == "revisit", F.encode(F.lit(""), "UTF-8")).otherwise(F.col("payload")), F.encode(F.lit(CRLF * 2), "UTF-8"))
 
 
+def rebuilt(archive: DataFrame) -> DataFrame:
+    """read_archive() with `record` and `body`: what a reader finds in a response's record after its header, by the header's Content-Length; null where record and header disagree. A revisit's body is what it refers to."""
+    length = F.regexp_extract(F.decode("header", "UTF-8"), r"\r\nContent-Length: (\d+)\r\n", 1).cast("int")
+    rows = archive.withColumn("record", record_bytes())
+    whole = F.octet_length("record") == F.octet_length("header") + length + len(CRLF * 2)
+    found = F.when(F.col("record_type") == "revisit", F.col("payload")).otherwise(F.substr("record", F.octet_length("header") + 1, length))
+    return rows.withColumn("body", F.when(whole, found))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return read_archive(spark, path).select(
+    digest = F.sha2("body", 256)
+    return rebuilt(read_archive(spark, path)).select(
         F.col("id").alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.when(F.col("intact"), F.sha2("payload", 256)).alias("payload_digest"),
+        F.octet_length("body").cast("long").alias("payload_bytes"),
+        F.when(F.col("intact") & (digest == F.col("digest")), digest).alias("payload_digest"),
         "record_type",
         "refers_to",
     )

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronofeat.llm import ann, jaccard, licenses, packing, pretoken, secretscan, sharding, suffixes, warc
 from tests.llm.helpers import docs, empty, rows
@@ -294,6 +295,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert kinds[5, 100] == ("revisit", 3) and kinds[3, 100] == ("response", None) and kinds[None, 100] == ("revisit", 3) and kinds[9, 120] == ("revisit", 4) and kinds[2, 5] == ("response", None)
     for r in got:
         assert r["intact"] and bytes(r["record"]) == bytes(r["header"]) + (b"" if r["record_type"] == "revisit" else bytes(r["payload"])) + b"\r\n\r\n"
+        assert b"\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n" in bytes(r["header"])
+    bodies = warc.rebuilt(warc.read_archive(spark, f"{tmp_path}/a")).collect()
+    assert Counter((r["id"], bytes(r["body"])) for r in bodies) == Counter((p[0], (p[2] or "").encode()) for p in pages)
+    longer = warc.read_archive(spark, f"{tmp_path}/a").withColumn("payload", F.concat("payload", F.lit(b"y")))
+    assert all(r["body"] is None for r in warc.rebuilt(longer).collect() if r["record_type"] == "response")
+    timed = d.withColumn("seen", F.when(F.col("page_id") == 5, F.lit("2024-02-03 04:05:06").cast("timestamp_ntz")))
+    warc.write_archive(timed, f"{tmp_path}/c", date_col="seen")
+    dates = {r["id"]: bytes(r["header"]).split(b"WARC-Date: ")[1][:20] for r in warc.read_archive(spark, f"{tmp_path}/c").collect()}
+    assert dates[5] == b"2024-02-03T04:05:06Z" and dates[1] == b"1970-01-01T00:00:00Z"
     assert spark.read.parquet(f"{tmp_path}/a/payloads").count() == 4
     warc.write_archive(d.limit(0), f"{tmp_path}/b")
     assert warc.read_archive(spark, f"{tmp_path}/b").count() == 0
