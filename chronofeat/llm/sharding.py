@@ -8,7 +8,10 @@ its cycle until it is inside. The permuted number p gives shard p mod k and slot
 p div k, so the counts of any two shards differ by one at most (law `rows`), and
 the place of any row follows from its number, n, k and the seed alone.
 
-Defined cases: null ids come first; a null text has no bytes; rows alike in all
+Groups of equal texts are not kept together: each row has its own place.
+
+Defined cases: null ids come first; a null text has no bytes; very long texts count
+by their bytes like any other and are never shuffled; rows alike in all
 of id, size and checksum take neighbouring numbers in any order; an empty table
 gives an empty result; other columns are ignored.
 """

@@ -17,7 +17,7 @@ A suffix array of the whole corpus is built piece by piece where it matters:
 
 Each deal's size is the corpus over four times the shuffle partitions. Texts are shuffled once, to their anchors.
 
-Defined cases: a null text is empty; a null id counts as larger than any other; rows that repeat an id
+Defined cases: very long texts are read whole, each within one task; a null text is empty; a null id counts as larger than any other; rows that repeat an id
 are judged each by its text, and remove nothing from one another; texts under LENGTH bytes stay whole; an empty table
 gives an empty result; other columns are ignored.
 """
