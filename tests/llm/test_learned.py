@@ -65,6 +65,25 @@ def test_toxicity_against_plain_python(spark):
         assert [(x["first"], x["last"]) for x in got[i]["passages"]] == [f[:2] for f in strong]
 
 
+def test_tokens_beyond_those_that_a_task_holds_reach_their_texts(spark, monkeypatch):
+    rng = random.Random(32)
+    bad = [f"vile{k}" for k in range(6)]
+    made = [(i, " ".join([text(rng, 40)] + (rng.sample(bad, 3) + [text(rng, 9)] + rng.sample(bad, 2) if i % 4 == 0 else []))) for i in range(400)] + [(500, ""), (501, None), (502, "vile0 " * 9000)]
+    d = toxicity.texts_of(spark.createDataFrame(made, "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    whole = toxicity.train(d, labels)
+    assert whole["rest"] is None and len(whole["token"]) >= 6
+    order = lambda model: sorted(tuple(r) for r in toxicity.score_rows(d, model).collect())
+    want = order(whole)
+    monkeypatch.setattr(toxicity, "TASK_TOKENS", 2)
+    parts = toxicity.train(d, labels)
+    assert len(parts["token"]) == 2 and parts["rest"].count() == len(whole["token"]) - 2
+    got = order(parts)
+    spans = lambda r: [(x["first"], x["last"], round(x["score"], 6)) for x in r[4]]
+    for x, y in zip(got, want, strict=True):
+        assert x[:2] == y[:2] and abs(x[2] - y[2]) < 1e-6 and spans(x) == spans(y)
+
+
 def test_toxicity_of_held_out_documents(spark):
     """Measured at this size: 0.98 of held-out documents right, where 0.88 are not toxic."""
     d = "/root/testdata/sf0.1"
