@@ -34,8 +34,9 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE, LEAST_TOTAL, LEAST_MEAN = r"[A-Za-z0-9+/_=-]{20,}", 15.0, 0.75
 SPANS = "array<struct<start:bigint,k:int,end:bigint>>"
 SAMPLE_STRINGS, SMOOTH = 3000, 0.5
-#: Characters that are taken apart at a time.
-PIECE = 256
+MERGED = "array<struct<start:bigint,end:bigint>>"
+#: Characters of a token that are taken apart at a time, and of a text that is redacted.
+PIECE, PAGE = 256, 4096
 
 
 def places(rows: DataFrame, kind: str, pattern: str, group: int, least: int) -> DataFrame:
@@ -149,15 +150,26 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def merged(spans: DataFrame) -> DataFrame:
+    """(doc_id, _th, spans) with overlapping spans as one, in order: structs (start, end). Spans of a row are spread out, so no array grows step by step."""
+    flat = spans.select("doc_id", "_th", F.inline("spans"))
+    w = Window.partitionBy("doc_id", "_th").orderBy("start", "end", "k")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    flat = flat.withColumn("_first", (F.coalesce(before, F.lit(0)) <= F.col("start")).cast("int"))
+    flat = flat.withColumn("_run", F.sum("_first").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    one = flat.groupBy("doc_id", "_th", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return one.groupBy("doc_id", "_th").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, spans): whole rows as structs, and their spans, an empty array where there are none. Only rows with spans are shuffled, where these are few."""
-    spans = cut(spans_by_row(keyed(docs, id_col, text_col)), "spans")
+    """(row, spans): whole rows as structs, and their spans, merged, an empty array where there are none. Only rows with spans are shuffled, where these are few."""
+    spans = cut(merged(spans_by_row(keyed(docs, id_col, text_col))), "spans")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     held = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("_th"))
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}._th") == F.col(f"{b}._th"))
     keys = small(spans.select("doc_id", "_th")).alias("k")
     some = held.alias("h").join(keys, same("h", "k"), "left_semi").alias("h").join(spans.alias("s"), same("h", "s")).select("h.row", "s.spans")
-    none = held.alias("h").join(keys, same("h", "k"), "left_anti").select("h.row", F.array().cast(SPANS).alias("spans"))
+    none = held.alias("h").join(keys, same("h", "k"), "left_anti").select("h.row", F.array().cast(MERGED).alias("spans"))
     return some.unionByName(none)
 
 
@@ -171,14 +183,28 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """text with every span replaced; spans are merged where they overlap."""
-    state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(s: Column, x: Column) -> Column:
-        gap = F.when(x["start"] >= s["at"], F.concat(F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark))).otherwise("")
-        return F.struct(F.concat(s["out"], gap).alias("out"), F.greatest(s["at"], x["end"]).alias("at"))
-
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, state, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.char_length(text)))))
+    """text with every span of with_spans() replaced. The text is cut into pages first, so the time is in proportion to its length and the number of spans."""
+    size = F.lit(PAGE).cast("long")
+    pages = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+    part = lambda page, a, n: F.substring(page, a.cast("int"), n.cast("int"))
+
+    def between(p: Column, a: Column, b: Column) -> Column:
+        """Characters a (from 0) up to b of the pages."""
+        i, j = F.floor(a / size), F.floor((b - 1) / size)
+        page = lambda k: F.element_at(p, (k + 1).cast("int"))
+        many = F.concat(part(page(i), a % size + 1, size), F.array_join(F.slice(p, (i + 2).cast("int"), F.greatest(j - i - 1, F.lit(0)).cast("int")), ""), part(page(j), F.lit(1), (b - 1) % size + 1))
+        return F.when(a >= b, F.lit("")).when(i == j, part(page(i), a % size + 1, b - a)).otherwise(many)
+
+    def whole(given: Column) -> Column:
+        p, at = given["pages"], given["at"]
+        count = F.size(at)
+        end = lambda k: F.when(k > 0, F.element_at(at, F.greatest(k, F.lit(1)))["end"]).otherwise(F.lit(0).cast("long"))
+        gaps = F.transform(at, lambda s, k: F.concat(between(p, end(k), s["start"]), F.lit(mark)))
+        return F.concat(F.array_join(gaps, ""), between(p, end(count), F.char_length(text).cast("long")))
+
+    # Pages and spans are bound once, as the variable of a lambda, not taken again for each span.
+    given = F.struct(pages.alias("pages"), spans.alias("at"))
+    return F.when(F.size(spans) == 0, text).otherwise(F.element_at(F.transform(F.array(given), whole), 1))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,6 +139,38 @@ def test_secrets(spark):
     assert cleaned[901] == "token:secret:abcdefghijklmnop [secret]" and "deadbeef" not in cleaned[902] and cleaned[903] == "akia none"
 
 
+def test_redaction_of_many_spans(spark):
+    """Spans at, across and between the edges of pages, merged where they overlap; a text of 300,000 spans takes time in proportion to them."""
+    import time
+
+    rng = random.Random(4)
+    n = 3 * secretscan.PAGE
+    edges = [0, 1, secretscan.PAGE - 1, secretscan.PAGE, secretscan.PAGE + 1, n - 1, n]
+    made = []
+    for i in range(60):
+        t = "".join(rng.choices("aé😀 \n", k=rng.choice([0, 1, 9, secretscan.PAGE, n, n + 7])))
+        places = sorted({min(e, len(t)) for e in [*edges, *(rng.randrange(n) for _ in range(9))]})
+        at = sorted(rng.sample(places, min(4, len(places))))
+        spans = [(a, rng.randrange(1, 4), b) for a, b in zip(at, at[1:]) if a < b and rng.random() < 0.7]
+        spans += [(max(0, a - 2), 4, b - 1) for a, _, b in spans if b - a > 3 and rng.random() < 0.3]
+        made.append((i, i * 7, t, sorted(set(spans))))
+    d = spark.createDataFrame(made, f"doc_id long, _th long, text string, spans {secretscan.SPANS}")
+    joined = d.select("doc_id", "text").join(secretscan.merged(d), "doc_id", "left")
+    spans = secretscan.F.coalesce("spans", secretscan.F.array().cast(secretscan.MERGED))
+    got = {r["doc_id"]: r["t"] for r in joined.select("doc_id", secretscan.redacted(secretscan.F.col("text"), spans, "#").alias("t")).collect()}
+    for i, _, t, found in made:
+        out, end = "", 0
+        for a, _, b in found:
+            if a >= end:
+                out += t[end:a] + "#"
+            end = max(end, b)
+        assert got[i] == out + t[end:]
+    begin = time.time()
+    long = spark.range(1).select(secretscan.F.expr("repeat('key=abcdef0123456789 ', 300000)").alias("text"), secretscan.F.expr("transform(sequence(0L, 299999L), i -> struct(i * 21 + 4 AS start, i * 21 + 20 AS end))").alias("spans"))
+    assert long.select(secretscan.redacted(secretscan.F.col("text"), secretscan.F.col("spans"), "#").alias("t")).filter("t = repeat('key=# ', 300000)").count() == 1
+    assert time.time() - begin < 60
+
+
 def test_secrets_in_long_tokens(spark):
     """A token of a megabyte takes time in proportion to its length; pairs across its pieces count."""
     import time
