@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from chronofeat.operators.blocks import running_sum
 from chronofeat.session import stored
 
+#: Values that Spark may broadcast; by their compressed bytes it would take a hundred times as many.
+FEW = 1 << 14
 #: Calendar features: the span of the column, in hours, beyond which each is worth having.
 HOURS = {"hour": 2, "year": 500 * 24, "dayofyear": 100 * 24, "weekday": 48, "weekend": 48, "quarter_of_day": 8}
 
@@ -54,7 +56,9 @@ def log_pair(a: str, b: str, sign: int = 1) -> Column:
 def rank_bucket(rows: DataFrame, col: str, name: str, buckets: int = 100) -> DataFrame:
     """Average rank of the value over (rows / buckets), rounded down. Ranks come from counts per distinct value, summed along ranges of values."""
     counts = stored(rows.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n")), "values")
-    step = max(1, (counts.agg(F.sum("_n")).first()[0] or 0) // buckets)
+    size = counts.agg(F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("values")).first()
+    step = max(1, (size["rows"] or 0) // buckets)
     upto = running_sum(counts, [], [col], F.col("_n"), "_upto")
     mean_rank = F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2
-    return rows.join(upto.select(col, F.floor(mean_rank / step).alias(name)), col, "left")
+    told = upto.select(col, F.floor(mean_rank / step).alias(name))
+    return rows.join(told.hint("merge") if size["values"] > FEW else told, col, "left")

@@ -18,10 +18,10 @@ WEIGHT = 1000.0
 def pseudo_target(src: DataFrame, dst: DataFrame, key: tuple[str, str], y: str, name: str, one_source: bool = False) -> DataFrame:
     """dst with the mean target of the source rows that refer to it, smoothed by WEIGHT rows of the overall mean; with one_source, a copy of the one row's target."""
     if one_source:
-        return lookup(dst, src, (key[1], key[0]), [(name, y)])
+        return lookup(dst, src, (key[1], key[0]), [(name, y)], large=True)
     mean = src.agg(F.avg(y).alias("_m"))
     sums = src.filter(F.col(key[0]).isNotNull()).groupBy(F.col(key[0]).alias("_k")).agg(F.sum(y).alias("_s"), F.count(y).alias("_n"))
-    out = dst.join(sums, dst[key[1]] == sums["_k"], "left").crossJoin(F.broadcast(mean))
+    out = dst.join(sums.hint("merge"), dst[key[1]] == sums["_k"], "left").crossJoin(F.broadcast(mean))
     value = (F.coalesce("_s", F.lit(0.0)) + WEIGHT * F.col("_m")) / (F.coalesce("_n", F.lit(0)) + WEIGHT)
     return out.withColumn(name, value).drop("_k", "_s", "_n", "_m")
 

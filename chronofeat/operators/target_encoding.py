@@ -151,7 +151,7 @@ def bag(rows: DataFrame, row: str, words: str, y: str, k1: float, k2: float, nam
         each = each.join(past, ["_w", time]).join(mean, time)
         own_y, own_n = F.lit(0.0), F.lit(0.0)
     sums = each.groupBy(row).agg(F.sum(F.col("_c") * (F.col("_T") - own_y + k1 * F.col("_mw"))).alias("_num"), F.max(F.col("_mw").isNull()).alias("_none"), F.sum(F.col("_c") * (F.col("_N") - own_n + k1)).alias("_den"))
-    t = with_mean(rows, y).join(sums, row, "left")
+    t = with_mean(rows, y).join(sums.hint("merge"), row, "left")
     value = F.when(F.col("_den").isNull(), F.col("_m")).when(~F.col("_none"), F.try_divide(F.col("_num") + F.col("_m") * k2, F.col("_den") + k2))
     return t.withColumn(name, F.when(F.col(words).isNotNull(), value)).drop("_num", "_den", "_none", "_m")
 

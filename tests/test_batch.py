@@ -83,3 +83,16 @@ def test_flagship_does_not_change(spark):
     before = asof.asof_all(spark, DATA).columns
     assert planner.QUERIES["user_aggregate"](spark, DATA).count()
     assert asof.asof_all(spark, DATA).columns == before
+
+
+def test_large_tables_are_not_broadcast(spark, monkeypatch):
+    """Spark goes by compressed bytes; a table of many rows does not pass the driver, one of few rows may."""
+    def plan():
+        c = few(spark)
+        c.tables["b"] = Table(spark.range(60).selectExpr("CAST(id AS INT) AS b", "CAST(id % 12 AS INT) AS a_id", "CAST(id % 5 AS INT) AS c_id"), "b")
+        c.tables["c"] = Table(spark.range(5).selectExpr("CAST(id AS INT) AS c", "id * 10.0D AS y"), "c")
+        return batch.run(c, [batch.Piece("y", Path("a", tuple(c.relations[:2])), F.col("y"), "sum", "sum")])._jdf.queryExecution().executedPlan().toString()
+
+    assert "BroadcastExchange" in plan()
+    monkeypatch.setattr(batch, "FEW", 3)
+    assert "BroadcastExchange" not in plan()
