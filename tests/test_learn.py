@@ -65,3 +65,12 @@ def test_log_pairs_go_by_different_rows(spark, monkeypatch):
     monkeypatch.setattr(selection, "auc_table", lambda r, *a: seen.append(r.count()) or whole(r, *a))
     few, many = (sorted(map(tuple, selection.log_pair_gain(x, ["a", "b", "c"], "y", -1.0).collect())) for x in (d, reduce(type(d).unionAll, [d] * 7)))
     assert seen == [len(set(rows))] * 2 and few == many and len(few) == 6
+
+
+def test_row_numbers_are_sorted_once(spark):
+    """Numbers come from places within written ranges: what is left to do has no sort of the rows."""
+    d = spark.range(5000).selectExpr("(id * 7919) % 5000 AS v", "id AS i")
+    out = global_row_number(d, ["v", "i"], "n", 300)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [v" not in plan and "Scan parquet" in plan
+    assert sorted((r["v"], r["n"]) for r in out.collect()) == [(i, i + 1) for i in range(5000)]
