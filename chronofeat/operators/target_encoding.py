@@ -11,6 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofeat.session import stored
+
+#: Rows whose words a task of bag() counts, about; rows of totals that may be broadcast.
+TASK, FEW = 1 << 16, 1 << 16
 #: Decay times to a stretch of exponential(); e to twice that is still a double.
 FADE = 300.0
 #: Least share of training rows, and of others, among a category's or word's rows that it isn't one-sided.
@@ -122,22 +126,35 @@ def factorized(rows: DataFrame, c1: str, c2: str, y: str, k: tuple[float, float,
     return t.withColumn(name, F.when(F.col(c1).isNotNull() & F.col(c2).isNotNull(), value)).drop("_m", *[f"_{x}{i}" for x in "sn" for i in range(3)])
 
 
-def bag(rows: DataFrame, row: str, words: str, y: str, k1: float, k2: float, name: str, time: str | None = None, is_train: str | None = None) -> DataFrame:
+def told(table: DataFrame) -> DataFrame:
+    """A table to be joined with words: broadcast if it has few rows, which are counted."""
+    kept = stored(table, "totals")
+    return F.broadcast(kept) if kept.count() <= FEW else kept
+
+
+def bag(rows: DataFrame, row: str, words: str | DataFrame, y: str, k1: float, k2: float, name: str, time: str | None = None, is_train: str | None = None) -> DataFrame:
     """Encoding of a bag of words: totals of its words, weighted by their counts; the row's own part left out, or, with a time, strictly earlier rows only.
 
     num = sum of c x (T - y c + k1 m_w), den = sum of c x (N - c + k1) over words; the result is (num + k2 m) / (den + k2).
     T and N are a word's target-weighted and plain counts over rows with a known target; m_w is their ratio over all words.
     With is_train, one-sided words (by occurrences in training rows) gather no targets, and leave none out, but still smooth.
+    words: a column of rows, or a frame (row, words) of parts of bags, any number to a row, so that no bag is gathered.
     """
     carried = [row, y, *([time] if time else []), *([is_train] if is_train else [])]
-    each = rows.select(*carried, F.explode(words).alias("_w")).groupBy(*carried, "_w").agg(F.count(F.lit(1)).cast("double").alias("_c"))
+    whole = isinstance(words, str)
+    parts = rows.select(row, F.col(words).alias("words")).filter(F.size("words") > 0) if whole else words
+    # As many tasks as keep each at some TASK rows of main, whatever the table's size.
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // TASK)
+    each = parts.select(row, "words").repartition(tasks, row).select(row, F.explode("words").alias("_w")).groupBy(row, "_w").agg(F.count(F.lit(1)).cast("double").alias("_c"))
+    each = stored(each.join(rows.select(*carried).hint("merge"), row), "words")
     if is_train:
         share = each.groupBy("_w").agg((F.sum(F.col("_c") * F.col(is_train)) / F.sum("_c")).between(SHARE, 1 - SHARE).alias("_valid"))
-        each = each.join(share, "_w").withColumn("_y", F.when(F.col("_valid"), F.col(y))).drop(y, "_valid").withColumnRenamed("_y", y)
+        each = each.join(told(share), "_w").withColumn("_y", F.when(F.col("_valid"), F.col(y))).drop(y, "_valid").withColumnRenamed("_y", y)
     known = F.when(F.col(y).isNotNull(), F.col("_c"))
     each = each.withColumns({"_yc": F.col("_c") * F.col(y), "_kc": known})
     if time is None:
         per = each.groupBy("_w").agg(F.coalesce(F.sum("_yc"), F.lit(0.0)).alias("_T"), F.coalesce(F.sum("_kc"), F.lit(0.0)).alias("_N"))
+        per = told(per)
         all_words = per.agg(F.try_divide(F.sum("_T"), F.sum("_N")).alias("_mw"))
         each = each.join(per, "_w").crossJoin(F.broadcast(all_words))
         own_y, own_n = F.coalesce("_yc", F.lit(0.0)), F.coalesce("_kc", F.lit(0.0))
@@ -148,12 +165,12 @@ def bag(rows: DataFrame, row: str, words: str, y: str, k1: float, k2: float, nam
         per_bin = bins.groupBy(time).agg(F.sum("_t").alias("_t"), F.sum("_n").alias("_n"))  # a row per time bin
         upto = Window.orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
         mean = per_bin.select(time, F.try_divide(F.coalesce(F.sum("_t").over(upto), F.lit(0.0)), F.coalesce(F.sum("_n").over(upto), F.lit(0.0))).alias("_mw"))
-        each = each.join(past, ["_w", time]).join(mean, time)
+        each = each.join(told(past), ["_w", time]).join(told(mean), time)
         own_y, own_n = F.lit(0.0), F.lit(0.0)
     sums = each.groupBy(row).agg(F.sum(F.col("_c") * (F.col("_T") - own_y + k1 * F.col("_mw"))).alias("_num"), F.max(F.col("_mw").isNull()).alias("_none"), F.sum(F.col("_c") * (F.col("_N") - own_n + k1)).alias("_den"))
     t = with_mean(rows, y).join(sums.hint("merge"), row, "left")
     value = F.when(F.col("_den").isNull(), F.col("_m")).when(~F.col("_none"), F.try_divide(F.col("_num") + F.col("_m") * k2, F.col("_den") + k2))
-    return t.withColumn(name, F.when(F.col(words).isNotNull(), value)).drop("_num", "_den", "_none", "_m")
+    return t.withColumn(name, F.when(F.col(words).isNotNull(), value) if whole else value).drop("_num", "_den", "_none", "_m")
 
 
 def through(rows: DataFrame, dst: DataFrame, key: tuple[str, str], c: str) -> DataFrame:

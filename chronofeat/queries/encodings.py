@@ -36,10 +36,17 @@ def bags(spark: SparkSession, sf_dir: str) -> DataFrame:
 B = f"""{O}, w AS (SELECT o_orderkey, y, bin, w, count(*)::DOUBLE AS c FROM (SELECT o_orderkey, y, bin, unnest(string_split(p_name, ' ')) AS w FROM o JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey) GROUP BY 1, 2, 3, 4)"""
 
 
-def marked_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """bags() with is_train and, in each bag, a word that only training rows or only others hold."""
-    b = bags(spark, sf_dir).withColumn("side", F.col("o_orderkey") % 5)
-    return b.select("o_orderkey", "y", "bin", (F.col("side") != 0).cast("int").alias("is_train"), F.concat("words", F.array(F.concat(F.lit("side"), F.col("side").cast("string")))).alias("words"))
+def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders, and the words of bags() as (o_orderkey, words), a row an item."""
+    i = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.split("p_name", " ").alias("words"))
+    return orders(spark, sf_dir).select("o_orderkey", "y", "bin", "is_train"), i.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("o_orderkey"), "words")
+
+
+def marked_bags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """parts() with, in each bag, a word that only training rows or only others hold."""
+    o, words = parts(spark, sf_dir)
+    return o, words.unionByName(o.select("o_orderkey", F.array(F.concat(F.lit("side"), (F.col("o_orderkey") % 5).cast("string"))).alias("words")))
 
 
 def customer_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +68,11 @@ def encoded(f, *args, **kw):
     return q
 
 
-def encoded_bag(time: str | None, made=bags, is_train: str | None = None):
+def encoded_bag(time: str | None, made=parts, is_train: str | None = None):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return te.bag(made(spark, sf_dir), "o_orderkey", "words", "y", 5.0, 20.0, "feature", time, is_train).select("o_orderkey", (F.round("feature", 6) + 0.0).alias("feature"))
+        got = made(spark, sf_dir)
+        rows, words = got if isinstance(got, tuple) else (got, "words")
+        return te.bag(rows, "o_orderkey", words, "y", 5.0, 20.0, "feature", time, is_train).select("o_orderkey", (F.round("feature", 6) + 0.0).alias("feature"))
 
     return q
 
