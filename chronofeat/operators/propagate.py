@@ -11,6 +11,7 @@ from chronofeat.model import Catalog, Relation
 from chronofeat.operators.blocks import quantiles
 from chronofeat.operators.selection import auc_table
 from chronofeat.operators.temporal import lookup
+from chronofeat.session import stored
 
 WEIGHT = 1000.0
 
@@ -50,8 +51,10 @@ def surrogate(rows: DataFrame, numbers: list[str], categories: list[str], y: str
 
 def with_surrogate(rows: DataFrame, numbers: list[str], categories: list[str], y: str, name: str) -> DataFrame:
     """rows with the most telling column of surrogate() as 0/1, ties to the smaller name; the pseudo target itself where no column tells anything."""
-    flags = halves(rows, numbers, categories)
-    best = ranked(rows, flags, y).filter("distance > 0").first() if flags else None
+    # What carried the target here runs once, not for each statistic; only columns that statistics need are written.
+    kept = stored(rows.select(*dict.fromkeys([y, *numbers, *categories])), "told") if numbers or categories else rows
+    flags = halves(kept, numbers, categories)
+    best = ranked(kept, flags, y).filter("distance > 0").first() if flags else None
     return rows.withColumn(name, (flags[best["feature"]] if best else F.col(y)).cast("double"))
 
 

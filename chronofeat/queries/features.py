@@ -279,7 +279,7 @@ def tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sales(spark: SparkSession, sf_dir: str) -> Catalog:
     """Items with their customer and supplier, both of whom have a nation: it is reached by two parents."""
     o, i = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    s = i.join(o, i["l_orderkey"] == o["o_orderkey"]).select(F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("s_row"), F.col("o_custkey").alias("s_custkey"), F.col("l_suppkey").alias("s_suppkey"), (F.col("l_returnflag") == "R").cast("double").alias("y"), (F.col("l_linenumber") % 3 == 0).cast("int").alias("is_train"))
+    s = i.join(o.hint("merge"), i["l_orderkey"] == o["o_orderkey"]).select(F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("s_row"), F.col("o_custkey").alias("s_custkey"), F.col("l_suppkey").alias("s_suppkey"), (F.col("l_returnflag") == "R").cast("double").alias("y"), (F.col("l_linenumber") % 3 == 0).cast("int").alias("is_train"))
     t = {"sales": Table(s, "s_row"), "customer": Table(table(spark, sf_dir, "customer"), "c_custkey", None, {"c_acctbal": "n", "c_mktsegment": "c"}), "supplier": Table(table(spark, sf_dir, "supplier"), "s_suppkey", None, {"s_acctbal": "n"}), "nation": Table(table(spark, sf_dir, "nation"), "n_nationkey")}
     one = RelationType.MANY_TO_ONE
     rel = [Relation("sales", "s_custkey", "customer", "c_custkey", one), Relation("sales", "s_suppkey", "supplier", "s_suppkey", one), Relation("customer", "c_nationkey", "nation", "n_nationkey", one), Relation("supplier", "s_nationkey", "nation", "n_nationkey", one)]

@@ -80,3 +80,13 @@ def test_quantiles(spark):
         assert got["c"] is None
         for i, c in enumerate("ab"):
             assert math.isclose(got[c], np.quantile([r[i] for r in rows if r[i] is not None], share), abs_tol=1e-12)
+
+
+def test_quantiles_order_few_values(spark, monkeypatch):
+    """Only values near the quantile are put in order; where the guess misses, all are, with the same result."""
+    d = spark.range(20000).selectExpr("CAST((id * 7919) % 20000 AS DOUBLE) AS a")
+    seen, whole = [], blocks._quantiles
+    monkeypatch.setattr(blocks, "_quantiles", lambda r, *a: seen.append(r.dropna().count()) or whole(r, *a))
+    assert blocks.quantiles(d, ["a"], 0.5) == {"a": 9999.5} and seen[0] < 200
+    monkeypatch.setattr(blocks, "NEAR", -0.1)
+    assert blocks.quantiles(d, ["a"], 0.5) == {"a": 9999.5} and seen[1] == 20000
