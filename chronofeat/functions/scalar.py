@@ -53,12 +53,17 @@ def log_pair(a: str, b: str, sign: int = 1) -> Column:
     return F.log1p(F.col(a)) + sign * F.log1p(F.col(b))
 
 
-def rank_bucket(rows: DataFrame, col: str, name: str, buckets: int = 100) -> DataFrame:
-    """Average rank of the value over (rows / buckets), rounded down. Ranks come from counts per distinct value, summed along ranges of values."""
+def rank_buckets(rows: DataFrame, col: str, name: str, buckets: int = 100) -> DataFrame:
+    """(value, name), by value, to be joined: average rank of the value over (rows / buckets), rounded down. Ranks come from counts per distinct value, summed along ranges of values."""
     counts = stored(rows.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n")), "values")
     size = counts.agg(F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("values")).first()
     step = max(1, (size["rows"] or 0) // buckets)
     upto = running_sum(counts, [], [col], F.col("_n"), "_upto")
     mean_rank = F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2
     told = upto.select(col, F.floor(mean_rank / step).alias(name))
-    return rows.join(told.hint("merge") if size["values"] > FEW else told, col, "left")
+    return told.hint("merge") if size["values"] > FEW else told
+
+
+def rank_bucket(rows: DataFrame, col: str, name: str, buckets: int = 100) -> DataFrame:
+    """rows with rank_buckets()."""
+    return rows.join(rank_buckets(rows, col, name, buckets), col, "left")

@@ -4,6 +4,7 @@ Known targets are those that are not null; m is their mean over all rows, later
 towards m. Totals per category are grouped and joined back, so a category that a third of all rows
 hold is summed map side first. Running totals are kept per category and time bin, not per row.
 A null category has a null encoding. Division by zero is null.
+source: rows of the same columns that totals and means are taken from, where rows themselves are dear to compute again.
 """
 
 from __future__ import annotations
@@ -25,21 +26,21 @@ def global_mean(rows: DataFrame, y: str) -> DataFrame:
     return F.broadcast(rows.agg(F.avg(y).alias("_m")))  # one row
 
 
-def with_mean(rows: DataFrame, y: str) -> DataFrame:
-    return rows.crossJoin(global_mean(rows, y))
+def with_mean(rows: DataFrame, y: str, source: DataFrame | None = None) -> DataFrame:
+    return rows.crossJoin(global_mean(source or rows, y))
 
 
-def totals(rows: DataFrame, ids: list[str], y: str, s: str, n: str, valid: Column | None = None) -> DataFrame:
+def totals(rows: DataFrame, ids: list[str], y: str, s: str, n: str, valid: Column | None = None, source: DataFrame | None = None) -> DataFrame:
     """rows with sum and number of known targets over rows alike in ids."""
     v = F.col(y) if valid is None else F.when(valid, F.col(y))
-    sums = rows.filter(" AND ".join(f"`{i}` IS NOT NULL" for i in ids)).groupBy(*ids).agg(F.coalesce(F.sum(v), F.lit(0.0)).alias(s), F.count(v).alias(n))
+    sums = (source or rows).filter(" AND ".join(f"`{i}` IS NOT NULL" for i in ids)).groupBy(*ids).agg(F.coalesce(F.sum(v), F.lit(0.0)).alias(s), F.count(v).alias(n))
     return rows.join(sums, ids, "left")
 
 
-def past_totals(rows: DataFrame, ids: list[str], y: str, time: str, s: str, n: str, valid: Column | None = None) -> DataFrame:
+def past_totals(rows: DataFrame, ids: list[str], y: str, time: str, s: str, n: str, valid: Column | None = None, source: DataFrame | None = None) -> DataFrame:
     """rows with sum and number of known targets over rows alike in ids whose time is strictly smaller."""
     v = F.col(y) if valid is None else F.when(valid, F.col(y))
-    bins = rows.groupBy(*ids, time).agg(F.coalesce(F.sum(v), F.lit(0.0)).alias("_s"), F.count(v).alias("_n"))
+    bins = (source or rows).groupBy(*ids, time).agg(F.coalesce(F.sum(v), F.lit(0.0)).alias("_s"), F.count(v).alias("_n"))
     before = Window.partitionBy(*ids).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
     past = bins.select(*ids, time, F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias(s), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(n))
     return rows.join(past, [*ids, time], "left")
@@ -50,9 +51,9 @@ def smooth(s: Column, n: Column, m: Column, k: float | Column) -> Column:
     return F.try_divide(s + m * k, n + k)
 
 
-def leave_one_out(rows: DataFrame, c: str, y: str, k: float, name: str) -> DataFrame:
+def leave_one_out(rows: DataFrame, c: str, y: str, k: float, name: str, source: DataFrame | None = None) -> DataFrame:
     """Mean of the category's other targets, smoothed."""
-    t = totals(with_mean(rows, y), [c], y, "_s", "_n")
+    t = totals(with_mean(rows, y, source), [c], y, "_s", "_n", source=source)
     own = F.coalesce(F.col(y), F.lit(0.0))
     value = smooth(F.col("_s") - own, F.col("_n") - F.col(y).isNotNull().cast("int"), F.col("_m"), k)
     return t.withColumn(name, F.when(F.col(c).isNotNull(), F.when(F.coalesce("_n", F.lit(0)) == 0, F.col("_m")).otherwise(value))).drop("_s", "_n", "_m")
@@ -65,9 +66,9 @@ def whole(rows: DataFrame, c: str, y: str, k: float, name: str) -> DataFrame:
     return t.withColumn(name, F.when(F.col(c).isNotNull(), value)).drop("_s", "_n", "_m")
 
 
-def temporal(rows: DataFrame, c: str, y: str, time: str, k: float, name: str) -> DataFrame:
+def temporal(rows: DataFrame, c: str, y: str, time: str, k: float, name: str, source: DataFrame | None = None) -> DataFrame:
     """Mean of the category's targets of strictly earlier times, smoothed."""
-    t = past_totals(with_mean(rows, y), [c], y, time, "_s", "_n")
+    t = past_totals(with_mean(rows, y, source), [c], y, time, "_s", "_n", source=source)
     value = F.when(F.coalesce("_n", F.lit(0)) == 0, F.col("_m")).otherwise(smooth(F.col("_s"), F.col("_n"), F.col("_m"), k))
     return t.withColumn(name, F.when(F.col(c).isNotNull(), value)).drop("_s", "_n", "_m")
 
@@ -110,15 +111,15 @@ def regularized(rows: DataFrame, c: str, y: str, is_train: str, k: float, name:
     return t.withColumn(name, F.when(F.col(c).isNotNull(), value)).drop("_s", "_n", "_m", "_y", "_valid")
 
 
-def factorized(rows: DataFrame, c1: str, c2: str, y: str, k: tuple[float, float, float], name: str, time: str | None = None) -> DataFrame:
+def factorized(rows: DataFrame, c1: str, c2: str, y: str, k: tuple[float, float, float], name: str, time: str | None = None, source: DataFrame | None = None) -> DataFrame:
     """Mean over the pair of categories, smoothed to the means of either, which are smoothed to m: k = (k0, k1, k2).
 
     Without a time the row's own target is left out; with one, only strictly earlier rows count.
     """
     k0, k1, k2 = map(float, k)
-    t = with_mean(rows, y)
+    t, source = with_mean(rows, y, source), source or rows
     for i, ids in enumerate(([c1], [c2], [c1, c2])):
-        t = totals(t, ids, y, f"_s{i}", f"_n{i}") if time is None else past_totals(t, ids, y, time, f"_s{i}", f"_n{i}")
+        t = totals(t, ids, y, f"_s{i}", f"_n{i}", source=source) if time is None else past_totals(t, ids, y, time, f"_s{i}", f"_n{i}", source=source)
     own, one = (F.coalesce(y, F.lit(0.0)), F.col(y).isNotNull().cast("int")) if time is None else (F.lit(0.0), F.lit(0))
     mean = lambda i: F.try_divide(F.col(f"_s{i}") - own, (F.col(f"_n{i}") - one).cast("double"))
     pair = F.try_divide(mean(0) * k1 + mean(1) * k2 + F.col("_s2") - own, k1 + k2 + F.col("_n2") - one)
@@ -132,7 +133,7 @@ def told(table: DataFrame) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= FEW else kept
 
 
-def bag(rows: DataFrame, row: str, words: str | DataFrame, y: str, k1: float, k2: float, name: str, time: str | None = None, is_train: str | None = None) -> DataFrame:
+def bag(rows: DataFrame, row: str, words: str | DataFrame, y: str, k1: float, k2: float, name: str, time: str | None = None, is_train: str | None = None, source: DataFrame | None = None) -> DataFrame:
     """Encoding of a bag of words: totals of its words, weighted by their counts; the row's own part left out, or, with a time, strictly earlier rows only.
 
     num = sum of c x (T - y c + k1 m_w), den = sum of c x (N - c + k1) over words; the result is (num + k2 m) / (den + k2).
@@ -141,12 +142,12 @@ def bag(rows: DataFrame, row: str, words: str | DataFrame, y: str, k1: float, k2
     words: a column of rows, or a frame (row, words) of parts of bags, any number to a row, so that no bag is gathered.
     """
     carried = [row, y, *([time] if time else []), *([is_train] if is_train else [])]
-    whole = isinstance(words, str)
-    parts = rows.select(row, F.col(words).alias("words")).filter(F.size("words") > 0) if whole else words
+    whole, source = isinstance(words, str), source or rows
+    parts = source.select(row, F.col(words).alias("words")).filter(F.size("words") > 0) if whole else words
     # As many tasks as keep each at some TASK rows of main, whatever the table's size.
-    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // TASK)
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), source.count() // TASK)
     each = parts.select(row, "words").repartition(tasks, row).select(row, F.explode("words").alias("_w")).groupBy(row, "_w").agg(F.count(F.lit(1)).cast("double").alias("_c"))
-    each = stored(each.join(rows.select(*carried).hint("merge"), row), "words")
+    each = stored(each.join(source.select(*carried).hint("merge"), row), "words")
     if is_train:
         share = each.groupBy("_w").agg((F.sum(F.col("_c") * F.col(is_train)) / F.sum("_c")).between(SHARE, 1 - SHARE).alias("_valid"))
         each = each.join(told(share), "_w").withColumn("_y", F.when(F.col("_valid"), F.col(y))).drop(y, "_valid").withColumnRenamed("_y", y)
@@ -168,7 +169,7 @@ def bag(rows: DataFrame, row: str, words: str | DataFrame, y: str, k1: float, k2
         each = each.join(told(past), ["_w", time]).join(told(mean), time)
         own_y, own_n = F.lit(0.0), F.lit(0.0)
     sums = each.groupBy(row).agg(F.sum(F.col("_c") * (F.col("_T") - own_y + k1 * F.col("_mw"))).alias("_num"), F.max(F.col("_mw").isNull()).alias("_none"), F.sum(F.col("_c") * (F.col("_N") - own_n + k1)).alias("_den"))
-    t = with_mean(rows, y).join(sums.hint("merge"), row, "left")
+    t = with_mean(rows, y, source).join(sums.hint("merge"), row, "left")
     value = F.when(F.col("_den").isNull(), F.col("_m")).when(~F.col("_none"), F.try_divide(F.col("_num") + F.col("_m") * k2, F.col("_den") + k2))
     return t.withColumn(name, F.when(F.col(words).isNotNull(), value) if whole else value).drop("_num", "_den", "_none", "_m")
 

@@ -110,3 +110,12 @@ def test_only_keys_that_are_asked_for_are_carried(spark):
     assert "LeftSemi" in out._jdf.queryExecution().executedPlan().toString()
     want = {a: max((n % 7 * 10.0 for n in range(500) if n % 50 == a % 2 and n % 7 <= a), default=None) for a in range(6)}
     assert {r["v"]: r["x"] for r in out.collect()} == want
+
+
+def test_encodings_of_a_table_share_its_lookups(spark):
+    """However many encodings a table has, main is carried to it and its columns are looked up once."""
+    c = few(spark)
+    c.target = "t"
+    found = {f.kind: f for f in features.candidates(c, 2) if f.path.name == "a.b_a_id.c_c" and f.kind.endswith("encoding")}
+    scans = lambda *kinds: features.build(c, [found[k] for k in kinds])._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+    assert scans("target_encoding") == scans("target_encoding", "hist_encoding") > 0
