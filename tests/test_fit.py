@@ -54,6 +54,21 @@ def test_dependencies_by_brute_force(spark):
     assert ("trips", "person", "far") not in dependencies.known(c)
 
 
+def test_only_what_no_key_breaks_goes_through_all_rows(spark, monkeypatch):
+    c, calls, whole = small(spark), [], dependencies.dependencies
+
+    def seen(frame, keys, columns, some=1):
+        calls.append((keys, columns, some))
+        return whole(frame, keys, columns, some)
+
+    full = {(r["table"], r["key"], r["column"]) for r in dependencies.of_catalog(c).filter("varying = 0").collect()}
+    monkeypatch.setattr(dependencies, "dependencies", seen)
+    monkeypatch.setattr(dependencies, "SOME", 2)
+    assert dependencies.known(c) == full
+    over_all = {(k, x) for keys, columns, some in calls if some == 1 for k in keys for x in columns}
+    assert ("person", "home") in over_all and ("person", "far") not in over_all
+
+
 def test_dependencies_of_odd_tables(spark):
     rows = spark.createDataFrame([(None, 1, None), (None, 2, None), (1, None, None), (1, 3, None), (2, 4, None), (2, 4, None), (3, None, None)], "_k int, key int, `column` int")
     got = {(r["key"], r["column"]): (r["keys"], r["varying"]) for r in dependencies.dependencies(rows, ["_k"], ["key", "column"]).collect()}
