@@ -247,6 +247,10 @@ def heaviest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.heaviest_word(cat.tf_idf(p, "p_partkey", F.col("w")), "p_partkey").select("p_partkey", "word", r6(F.col("weight")).alias("weight"))
 
 
+#: Rows of all batches for each file of a batch.
+ROWS = 1 << 20
+
+
 def asof_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean of a user's values so far, at each event, by a stream that gets events in several batches, a tenth of them up to two hours late."""
     from chronofeat.session import shared_folder
@@ -255,14 +259,15 @@ def asof_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
     came = F.unix_seconds("ts") + F.when(F.col("event_id") % 10 == 0, F.pmod(F.xxhash64("event_id"), F.lit(7000))).otherwise(0)
-    ends = e.agg(F.min(came).alias("a"), F.max(came).alias("b")).first()
+    ends = e.agg(F.min(came).alias("a"), F.max(came).alias("b"), F.count(F.lit(1)).alias("n")).first()
     step = ((ends["b"] or 0) - (ends["a"] or 0)) // 3 + 1
     folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    files = 1 + ends["n"] // ROWS  # a batch's
     for part in range(3):  # in the order in which they came
-        e.filter((came >= (ends["a"] or 0) + part * step) & (came < (ends["a"] or 0) + (part + 1) * step)).coalesce(1).write.mode("append").parquet(folder)
+        e.filter((came >= (ends["a"] or 0) + part * step) & (came < (ends["a"] or 0) + (part + 1) * step)).repartition(files).write.mode("append").parquet(folder)
     # A row of nobody's, long after, lets the watermark pass all others.
     e.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), (F.coalesce("ts", F.current_timestamp()) + F.expr("INTERVAL 9 DAYS")).alias("ts"), F.lit(0.0).alias("value")).select(*[F.col(c).cast(t) for c, t in e.dtypes]).coalesce(1).write.mode("append").parquet(folder)
-    stream = read_stream(spark, folder, e, files=1)
+    stream = read_stream(spark, folder, e, files=files)
     rows = asof.sides(stream, stream, ("user_id", "user_id"), ("ts", "ts"), ("event_id", "event_id"), "value")
     out = run_to_end(asof.answered(rows, "mean", "2 hours"), ["id"], "append")
     return out.filter("id >= 0").select(F.col("id").alias("event_id"), r6(F.col("value") + TIE).alias("feature"))

@@ -1,7 +1,8 @@
 """As-of aggregates of a stream: facts change a key's state, asks read it, both in the order of their times.
 
-Rows of a key wait in its state until the watermark has passed them: no earlier row can come any more, so they are taken in time order, facts of a
-time before its asks, and each ask is answered by the state that it sees. A timer wakes keys that get no rows. Rows that come later than the watermark allows are dropped.
+Keys are dealt to buckets by their hash; a bucket's keys share a state, since Spark calls Python once for each state and batch, which costs milliseconds. Rows
+wait there until the watermark has passed them: no earlier row can come any more, so they are taken in time order, facts of a
+time before its asks, and each ask is answered by what its key has seen. A timer wakes buckets that get no rows. Rows that come later than the watermark allows are dropped.
 A key's waiting rows are those of the lateness allowed; what is left of older ones is a few numbers.
 """
 
@@ -17,6 +18,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 MODES = ("count", "sum", "mean", "max", "min", "last")
 FACT, ASK = 0, 1
+#: Buckets that keys are dealt to; a bucket's state is its share of all keys, a few numbers each.
+BUCKETS = 1 << 12
 
 
 def seen(state: tuple | None, x: float) -> tuple:
@@ -41,30 +44,30 @@ def sides(facts: DataFrame, asks: DataFrame, key: tuple[str, str], time: tuple[s
     return fact.unionByName(ask)
 
 
-def answered(rows: DataFrame, mode: str, late: str = "2 hours") -> DataFrame:
-    """(key, id, ts, value) of the asks among rows (key, ts, tag, id, value). Null keys and times are dropped; null values change nothing."""
+def answered(rows: DataFrame, mode: str, late: str = "2 hours", buckets: int = BUCKETS) -> DataFrame:
+    """(key, id, ts, value) of the asks among rows (key, ts, tag, id, value). Null keys and times are dropped; null values change nothing. buckets: more for very many keys; fixed while a stream lasts."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}; known: {', '.join(MODES)}")
 
     def run(key: tuple, given: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, held = pickle.loads(state.get[0]) if state.exists else ([], None)
+        waiting, held = pickle.loads(state.get[0]) if state.exists else ([], {})
         if not state.hasTimedOut:
             for pdf in given:
-                waiting += zip(pdf["ms"].tolist(), pdf["tag"].tolist(), pdf["id"].tolist(), pdf["value"].tolist(), strict=True)
+                waiting += zip(pdf["ms"].tolist(), pdf["tag"].tolist(), pdf["id"].tolist(), pdf["value"].tolist(), pdf["key"].tolist(), strict=True)
         passed = state.getCurrentWatermarkMs()
         ready = sorted(w for w in waiting if w[0] // 1000 <= passed)
         waiting = [w for w in waiting if w[0] // 1000 > passed]
         out = []
-        for us, tag, i, x in ready:
+        for us, tag, i, x, k in ready:
             if tag == ASK:
-                out.append((key[0], i, us, told(held, mode)))
+                out.append((k, i, us, told(held.get(k), mode)))
             elif x == x:  # NaN stands for null
-                held = seen(held, x)
+                held[k] = seen(held.get(k), x)
         state.update((pickle.dumps((waiting, held)),))
         if waiting:
             state.setTimeoutTimestamp(max(passed + 1, min(w[0] for w in waiting) // 1000))
         yield pd.DataFrame(out, columns=["key", "id", "us", "value"])
 
-    timed = rows.filter(F.col("key").isNotNull() & F.col("ts").isNotNull()).withColumn("ms", F.unix_micros("ts")).withWatermark("ts", late)
-    made = timed.groupBy("key").applyInPandasWithState(run, "key string, id long, us long, value double", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = rows.filter(F.col("key").isNotNull() & F.col("ts").isNotNull()).withColumn("ms", F.unix_micros("ts")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).withWatermark("ts", late)
+    made = timed.groupBy("bucket").applyInPandasWithState(run, "key string, id long, us long, value double", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
     return made.select("key", "id", F.timestamp_micros("us").alias("ts"), "value")

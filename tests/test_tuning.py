@@ -84,6 +84,17 @@ def test_stream_is_the_batch(spark, tmp_path, mode):
     assert got == pytest.approx(want)
 
 
+def test_keys_share_states(spark, tmp_path):
+    """Python is called by bucket, not by key: with one bucket for all keys, answers stay each key's own."""
+    made = [(f"k{i % 30}", i, asof.FACT if i < 300 else asof.ASK, i, float(i)) for i in range(330)]
+    folder = f"{tmp_path}/{uuid.uuid4().hex}"
+    for p in (made[:150], made[150:], [("end", 10**6, asof.FACT, 999, 0.0)]):
+        spark.createDataFrame(p, "key string, at long, tag int, id long, value double").coalesce(1).withColumn("ts", F.timestamp_seconds("at")).drop("at").write.mode("append").parquet(folder)
+    stream = read_stream(spark, folder, spark.read.parquet(folder), files=1)
+    out = run_to_end(asof.answered(stream.select("key", "ts", "tag", "id", "value"), "last", "1 hour", buckets=1), ["id"], "append")
+    assert {r["id"]: r["value"] for r in out.collect()} == {i: float(i - 30) for i in range(300, 330)}
+
+
 def test_walk_joins_parents(spark):
     one, many = RelationType.MANY_TO_ONE, RelationType.ONE_TO_MANY
     m = spark.createDataFrame([(0, 1, 1.0, 1), (1, 1, None, 0), (2, 2, 0.0, 1), (3, None, 1.0, 0)], "m int, p int, y double, tr int")
