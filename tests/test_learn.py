@@ -74,3 +74,18 @@ def test_row_numbers_are_sorted_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Sort [v" not in plan and "Scan parquet" in plan
     assert sorted((r["v"], r["n"]) for r in out.collect()) == [(i, i + 1) for i in range(5000)]
+
+
+def test_models_are_fitted_together(spark, monkeypatch):
+    """Two models' jobs run at once: each waits for the other to begin."""
+    import threading
+
+    both = threading.Barrier(2, timeout=30)
+
+    def waits(data, k, past, **params):
+        both.wait()
+        return params["maxDepth"] + k / 10
+
+    monkeypatch.setattr(learn, "held_out", waits)
+    d = spark.createDataFrame([(i, float(i % 2), float(i)) for i in range(40)], "k long, y double, x double")
+    assert learn.search(d, "k", "y", ["x"], [{"maxDepth": 1}, {"maxDepth": 2}], 2) == [({"maxDepth": 2}, 2.05), ({"maxDepth": 1}, 1.05)]
