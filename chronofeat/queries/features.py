@@ -15,6 +15,7 @@ from chronofeat.plans import features as plan
 from chronofeat.plans import learn, stats, tuning
 from chronofeat.queries import encodings
 from chronofeat.queries.asof import EVENTS_SQL, TIE, events
+from chronofeat.session import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -212,7 +213,8 @@ def fit_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, names = chosen(spark, sf_dir)
     o = encodings.orders(spark, sf_dir)
     numbers = [n for n in names if n != "identify__orders_customer_c_custkey__c_mktsegment"]
-    rows = o.select("o_orderkey", "y", "bin", "o_totalprice").join(out.select("o_orderkey", *numbers), "o_orderkey")
+    # Folds, models and predictions read it.
+    rows = stored(o.select("o_orderkey", "y", "bin", "o_totalprice").join(out.select("o_orderkey", *numbers), "o_orderkey"), "features")
     feats = [*numbers, "bin", "o_totalprice"]
     models = learn.fit_bagged(rows, "o_orderkey", "y", feats)
     return learn.predict(models, rows.filter("y IS NULL"), feats).select("o_orderkey", "prediction")
