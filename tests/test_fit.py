@@ -1,15 +1,19 @@
 """Dependencies of keys, learned order of candidates, and the way from a catalog to predictions."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from chronofeat.model import Catalog, Path, Relation, RelationType, Table
+from chronofeat.operators import blocks, selection
+from chronofeat.operators.aggregates import grouped
 from chronofeat.operators.selection import auc_of
 from chronofeat.plans import dependencies, fit
 from chronofeat.plans import features as plan
 from chronofeat.plans.priority import Priority, spread
+from chronofeat.queries import planner
 
 MANY = RelationType.ONE_TO_MANY
 
@@ -143,3 +147,80 @@ def test_nothing_to_fit(spark):
     c = small(spark)
     with pytest.raises(ValueError):
         fit.fit(Catalog("people", {"people": Table(c.tables["people"].frame.withColumn("own", F.lit(1.0)), "id")}, [], "y"))
+
+
+def test_all_candidates_are_built(spark, monkeypatch):
+    """Neither the number of rows nor the width of a run leaves a candidate out, and runs don't change what a feature is worth."""
+    c = small(spark, 200)
+    names = {f.name for f in plan.candidates(c, 1, depends=dependencies.known(c))}
+    whole = fit.worth(fit.built(c, plan.candidates(c, 1, depends=dependencies.known(c))), "y")
+    monkeypatch.setattr(selection, "feature_limit", lambda train, test: 3)
+    monkeypatch.setattr(fit, "WIDE", 9, raising=False)
+    fitted = fit.fit(c, most_hops=1, iterations=1, folds=2)
+    assert len(names) > 20 and set(fitted.matrix.columns) == {"id", "y", *names}
+    assert set(fitted.gains) == set(whole) and all(abs(fitted.gains[n] - whole[n][0]) < 1e-9 for n in whole)
+    assert fitted.matrix.count() == 200 and fit.predict(fitted).count() == 50
+
+
+def test_the_query_takes_all_candidates(spark, monkeypatch):
+    def seen(c, most_hops=2, most=None, **_):
+        depends = dependencies.known(c)
+        assert most is None and len(plan.candidates(c, most_hops, depends=depends)) == len(plan.candidates(c, 5, depends=depends)) > 100
+        raise StopIteration
+
+    monkeypatch.setattr(fit, "fit", seen)
+    with pytest.raises(StopIteration):
+        planner.model_fit(spark, "/root/testdata/sf0.001")
+
+
+def test_gates_in_one_count_of_values(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(float(rng.random() < 0.4) if i % 4 else None, float(i % 4 == 0), rng.choice([None, float("nan"), float("inf"), *map(float, range(40))]), rng.random(), None) for i in range(400)]
+    d = spark.createDataFrame(rows, "y double, t double, a double, b double, none double")
+    stored_, counted = selection.stored, []
+    monkeypatch.setattr(selection, "stored", lambda *a: counted.append(a) or stored_(*a))
+    for size in (1 << 16, 10):
+        monkeypatch.setattr(blocks, "BLOCK", size)
+        del counted[:]
+        got = {r["feature"]: (r["gain"], r["drift"]) for r in selection.gates(d, ["a", "b", "none"], "y", "t").collect()}
+        assert len(counted) == 1 and set(got) == {"a", "b"}
+        for f in "ab":
+            for label, value in zip("yt", got[f], strict=True):
+                ok = [(r[2 if f == "a" else 3], r["yt".index(label)]) for r in rows]
+                ok = [(x, z) for x, z in ok if z is not None and x is not None and abs(x) < float("inf")]
+                pos, neg = [x for x, z in ok if z], [x for x, z in ok if not z]
+                auc = sum((p > q) + (p == q) / 2 for p in pos for q in neg) / len(pos) / len(neg)
+                assert abs(value - abs(auc - 0.5)) < 1e-9
+
+
+@pytest.mark.parametrize("few", [1 << 14, 1])
+def test_frequencies_of_many_categories(spark, monkeypatch, few):
+    monkeypatch.setattr(fit, "FEW", few, raising=False)
+    rows = [(i, float(i % 2), "abc"[i % 3] if i % 5 else None, f"v{i % 7}", float(i)) for i in range(60)]
+    out = fit.numbers(spark.createDataFrame(rows, "id int, y double, p string, q string, x double"), "id", "y")
+    assert out.columns == ["id", "y", "p", "q", "x"]
+    p, q = Counter(r[2] for r in rows), Counter(r[3] for r in rows)
+    assert sorted(map(tuple, out.collect())) == [(i, y, float(p[a]), float(q[b]), x) for i, y, a, b, x in rows]
+    plan_ = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan_.count("Join") == 2 and plan_.count("Relation") == 3  # rows are read once, not once more for each category
+
+
+def test_distinct_counts_go_apart(spark):
+    """Rows are multiplied for distinct counts with the columns that are counted only."""
+    rng = random.Random(4)
+    rows = [(rng.randrange(9), rng.choice([None, "a", "b", "c"]), rng.random(), rng.random()) for _ in range(200)]
+    d = spark.createDataFrame(rows, "k int, v string, x double, other double")
+    out = grouped(d, ["k"], [], [("mean", "other", "mean"), ("nunique", "v", "nunique"), ("duplicates", "v", "duplicates"), ("xs", "x", "nunique")])
+    for r in out.collect():
+        v, x, other = [[row[i] for row in rows if row[0] == r["k"] and row[i] is not None] for i in (1, 2, 3)]
+        assert (r["nunique"], r["duplicates"], r["xs"]) == (len(set(v)), len(v) - len(set(v)) if v else None, len(set(x))) and abs(r["mean"] - sum(other) / len(other)) < 1e-12
+    multiplied = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Expand" in line]
+    assert multiplied and not any("other#" in line for line in multiplied)
+
+
+def test_what_is_aggregated_joins_after_hops_along_time(spark):
+    """Hops along time read main's rows more than once, so items, which these would repeat, are aggregated after them and read once."""
+    c = planner.catalog(spark, "/root/testdata/sf0.001")
+    some = [f for f in plan.candidates(c, 1) if (f.kind, f.column) in {("mean", "l_quantity"), ("max", "o_totalprice")}]
+    some.sort(key=lambda f: f.kind == "max")
+    assert [f.column for f in some] == ["l_quantity", "o_totalprice"] and plan.build(c, some)._jdf.queryExecution().sparkPlan().toString().count("lineitem.parquet") == 1
